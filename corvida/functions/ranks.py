@@ -187,3 +187,25 @@ def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
         F.coalesce("preserved", F.lit(0)).cast("bigint").alias("preserved"),
     )
     return res if keys else res.drop(ALL)
+
+
+def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "pos", buckets: int = 64) -> DataFrame:
+    """0-based position inside each key; ``order`` is numeric and unique per key."""
+    return prefix_sums(df.withColumn("_unit", F.lit(1)), keys, order, "_unit", out, buckets).drop("_unit")
+
+
+def with_neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], offsets: Sequence[int]) -> DataFrame:
+    """Attach each column of the rows ``offset`` positions away as ``<col>_m1`` / ``<col>_p1`` and so on.
+
+    Every row is sent to the positions that want it, so a long series spreads over all tasks.
+    """
+    def tag(o):
+        return f"m{-o}" if o < 0 else f"p{o}"
+
+    sent = df.select(*keys, F.col(pos), F.struct(*cols).alias("_v"), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"))
+    got = sent.select(*keys, (F.col(pos) - F.col("_o")).alias(pos), "_o", "_v").groupBy(*keys, pos).agg(
+        *[F.max(F.when(F.col("_o") == o, F.col("_v"))).alias(f"_{tag(o)}") for o in offsets])
+    res = df.join(got, [*keys, pos], "left")
+    for o in offsets:
+        res = res.withColumns({f"{c}_{tag(o)}": F.col(f"_{tag(o)}")[c] for c in cols}).drop(f"_{tag(o)}")
+    return res

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvida.catalog.registry import LINES_SQL, lines, query, r, rounded, table
 from corvida.functions.columns import poisson_weight_sql, portable_hash_sql
-from corvida.functions.ranks import concordance
+from corvida.functions.ranks import bounded_groups, concordance
 from corvida.operators import clean, errors
 
 FLAGS = {
@@ -105,7 +105,8 @@ def win3(spark, sf):
 
 @query("win4_order_preservation", f"WITH {SERIES_SQL} SELECT * FROM {ORDER_SQL}")
 def win4(spark, sf):
-    return concordance(series_rows(spark, sf), ["series_id"], "experimental", "predicted")
+    d = series_rows(spark, sf)
+    return concordance(d, ["series_id"], "experimental", "predicted", bounded_groups(d, ["series_id"]))
 
 
 @query("win5_trend_outliers", f"WITH {SERIES_SQL}, {OUTLIER_SQL} SELECT se.original_index, se.series_id, coalesce(o, false) AS trend_outlier FROM se LEFT JOIN ou USING (original_index)")

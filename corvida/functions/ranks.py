@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL = "_all"
+GROUP_LIMIT = 1_000_000
+
+
+def bounded_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> bool:
+    """True when no key holds more than ``limit`` rows (one counting job).
+
+    Callers check once and pass the answer on as ``bounded``: groups known to be small use
+    plain windows and the built-in percentile, any larger one the split forms below.
+    """
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).isEmpty()
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -16,7 +26,7 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 def prefix_sums(
     df: DataFrame, keys: Sequence[str], order: str, measure: str,
-    out: str = "before", buckets: int = 64,
+    out: str = "before", buckets: int = 64, bounded: bool = False,
 ) -> DataFrame:
     """Sum of ``measure`` over strictly smaller ``order`` values of the same key.
 
@@ -24,6 +34,9 @@ def prefix_sums(
     approximate quantiles; a window runs inside a bucket and the bucket totals are
     carried over, so the largest sort is 1/buckets of a key.
     """
+    if bounded and keys:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out, F.coalesce(F.sum(measure).over(w), F.lit(0)))
     d, k = _keyed(df, keys)
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = d.groupBy(*k).agg(
@@ -43,23 +56,23 @@ def prefix_sums(
     return d.drop("_bucket", "_in", "_off", *([] if keys else [ALL]))
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64, bounded: bool = False) -> DataFrame:
     """(keys, value, ties, less, average_rank): one row per distinct value of a key."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("ties"))
-    r = prefix_sums(counts, keys, value, "ties", "less", buckets)
+    r = prefix_sums(counts, keys, value, "ties", "less", buckets, bounded)
     return r.withColumn("average_rank", F.col("less") + (F.col("ties") + 1) / 2.0)
 
 
-def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, buckets: int = 64) -> DataFrame:
+def with_average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, buckets: int = 64, bounded: bool = False) -> DataFrame:
     """Attach the tie-averaged rank of ``value`` inside each key."""
-    r = value_ranks(df, keys, value, buckets).select(*keys, value, F.col("average_rank").alias(out))
+    r = value_ranks(df, keys, value, buckets, bounded).select(*keys, value, F.col("average_rank").alias(out))
     return df.join(r, [*keys, value])
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman") -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman", bounded: bool = False) -> DataFrame:
     """Rank correlation per key; null when a side is constant."""
     d, k = _keyed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), keys)
-    d = with_average_rank(with_average_rank(d, k, x, "_rx"), k, y, "_ry")
+    d = with_average_rank(with_average_rank(d, k, x, "_rx", bounded=bounded), k, y, "_ry", bounded=bounded)
     res = d.groupBy(*k).agg(F.count("*").alias("n"), safe_corr("_rx", "_ry").alias(out))
     return res if keys else res.drop(ALL)
 
@@ -72,6 +85,7 @@ def safe_corr(x, y) -> Column:
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value, probs: Mapping[str, float], accuracy: int = 10000,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one column per entry of ``probs``.
 
@@ -83,6 +97,8 @@ def exact_quantiles(
     d, k = _keyed(df.select(*keys, v.cast("double").alias("_v")), keys)
     d = d.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     names, ps = list(probs), [float(probs[n]) for n in probs]
+    if bounded and keys:
+        return d.groupBy(*k).agg(*[F.percentile("_v", p).alias(n) for n, p in zip(names, ps)])
     eps = 4.0 / accuracy
     lo = [max(p - eps, 0.0) for p in ps]
     hi = [min(p + eps, 1.0) for p in ps]
@@ -121,12 +137,12 @@ def exact_quantiles(
     return res if keys else res.drop(ALL)
 
 
-def robust_sigma(df: DataFrame, keys: Sequence[str], value: str, out: str = "sigma") -> DataFrame:
+def robust_sigma(df: DataFrame, keys: Sequence[str], value: str, out: str = "sigma", bounded: bool = False) -> DataFrame:
     """Per key: 1.4826*MAD, else population deviation, else IQR/1.349, else 1e-6."""
     d, k = _keyed(df.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull()), keys)
-    q = exact_quantiles(d, k, "_x", {"_med": 0.5, "_q1": 0.25, "_q3": 0.75})
+    q = exact_quantiles(d, k, "_x", {"_med": 0.5, "_q1": 0.25, "_q3": 0.75}, bounded=bounded)
     dev = d.join(q, k).withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
-    mad = exact_quantiles(dev, k, "_dev", {"_mad": 0.5})
+    mad = exact_quantiles(dev, k, "_dev", {"_mad": 0.5}, bounded=bounded)
     pop = d.groupBy(*k).agg(F.stddev_pop("_x").alias("_sd"))
     tiny = 1e-12
     sig = (
@@ -149,7 +165,7 @@ def bias_corrected_moments(c) -> tuple[Column, Column]:
     return skew, kurt
 
 
-def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool = False) -> DataFrame:
     """Per key: pairs with different x (``comparable``) and those ordered alike in y (``preserved``).
 
     Two rows with different x-ranks first differ at exactly one bit of the rank; at that
@@ -159,7 +175,7 @@ def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     """
     d, k = _keyed(df.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), keys)
     d = d.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    ranks = value_ranks(d, k, "_x")
+    ranks = value_ranks(d, k, "_x", bounded=bounded)
     totals = ranks.groupBy(*k).agg(
         F.sum("ties").alias("_n"), F.sum(F.col("ties") * (F.col("ties") - 1) / 2).alias("_tied")
     )
@@ -178,7 +194,7 @@ def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
         F.sum(F.when(F.col("_side") == 0, F.col("_c")).otherwise(0)).alias("_left"),
         F.sum(F.when(F.col("_side") == 1, F.col("_c")).otherwise(0)).alias("_right"),
     )
-    good = prefix_sums(per_y, node, "_y", "_left", "_lb").groupBy(*k).agg(
+    good = prefix_sums(per_y, node, "_y", "_left", "_lb", bounded=bounded).groupBy(*k).agg(
         F.sum(F.col("_lb") * F.col("_right")).alias("preserved")
     )
     res = totals.join(good, k, "left").select(
@@ -189,12 +205,13 @@ def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     return res if keys else res.drop(ALL)
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "pos", buckets: int = 64) -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = "pos", buckets: int = 64, bounded: bool = False) -> DataFrame:
     """0-based position inside each key; ``order`` is numeric and unique per key."""
-    return prefix_sums(df.withColumn("_unit", F.lit(1)), keys, order, "_unit", out, buckets).drop("_unit")
+    return prefix_sums(df.withColumn("_unit", F.lit(1)), keys, order, "_unit", out, buckets, bounded).drop("_unit")
 
 
-def with_neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], offsets: Sequence[int]) -> DataFrame:
+def with_neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], offsets: Sequence[int],
+                    bounded: bool = False) -> DataFrame:
     """Attach each column of the rows ``offset`` positions away as ``<col>_m1`` / ``<col>_p1`` and so on.
 
     Every row is sent to the positions that want it, so a long series spreads over all tasks.
@@ -202,6 +219,9 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence
     def tag(o):
         return f"m{-o}" if o < 0 else f"p{o}"
 
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy(pos)
+        return df.withColumns({f"{c}_{tag(o)}": F.lag(c, -o).over(w) for o in offsets for c in cols})
     sent = df.select(*keys, F.col(pos), F.struct(*cols).alias("_v"), F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"))
     got = sent.select(*keys, (F.col(pos) - F.col("_o")).alias(pos), "_o", "_v").groupBy(*keys, pos).agg(
         *[F.max(F.when(F.col("_o") == o, F.col("_v"))).alias(f"_{tag(o)}") for o in offsets])

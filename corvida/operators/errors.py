@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from corvida.functions.columns import poisson_weight, portable_hash, ratio
 from corvida.functions.frames import with_scalars
-from corvida.functions.ranks import concordance, exact_quantiles, prefix_sums, spearman
+from corvida.functions.ranks import bounded_groups, concordance, exact_quantiles, prefix_sums, spearman
 
 ADEQUATE = 10
 
 
 def error_metrics(df: DataFrame, keys: Sequence[str], overall: DataFrame | None = None,
-                  error: str = "error", multiplier: float = 2.0) -> DataFrame:
+                  error: str = "error", multiplier: float = 2.0,
+                  bounded: bool = False) -> DataFrame:
     """Per group: size, MAE, RMSE, bias, median and largest error, share of large errors, MAE against overall."""
     work = df.where(F.col(error).isNotNull() & ~F.isnan(error))
     if overall is None:
@@ -34,7 +35,7 @@ def error_metrics(df: DataFrame, keys: Sequence[str], overall: DataFrame | None
     )
     out = out.withColumn("mae_vs_overall_percent",
                          F.when(F.col("_overall") > 1e-12, (F.col("mae") / F.col("_overall") - 1) * 100)).drop("_overall")
-    med = exact_quantiles(work, keys, F.abs(error), {"median_ae": 0.5})
+    med = exact_quantiles(work, keys, F.abs(error), {"median_ae": 0.5}, bounded=bounded)
     out = out.join(med, list(keys)) if keys else with_scalars(out, med)
     return out.withColumn("reliability", F.when(F.col("n") >= ADEQUATE, "adequate").otherwise("small_group"))
 
@@ -90,7 +91,7 @@ def monotonic_direction(df: DataFrame, key: str, size: str, value: str, out: str
         .when(F.min("_d") >= 0, "increasing").when(F.max("_d") <= 0, "decreasing").otherwise("non_monotonic").alias(out))
 
 
-def trend_outliers(df: DataFrame, key: str, size: str, value: str) -> DataFrame:
+def trend_outliers(df: DataFrame, key: str, size: str, value: str, bounded: bool = False) -> DataFrame:
     """Rows with ``trend_outlier``: robust z of the line residual above 3.5 (4+ points, 3+ sizes)."""
     line = df.where(F.col(size).isNotNull() & F.col(value).isNotNull()).groupBy(key, size).agg(
         F.count("*").alias("c"), F.sum(value).alias("sv")).groupBy(key).agg(
@@ -102,9 +103,9 @@ def trend_outliers(df: DataFrame, key: str, size: str, value: str) -> DataFrame:
     line = line.select(key, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
     res = df.join(line, key, "left").withColumn("_res", F.col(value) - (F.col("intercept") + F.col("slope") * F.col(size)))
     fitted = res.where("_res IS NOT NULL")
-    med = exact_quantiles(fitted, [key], "_res", {"_med": 0.5})
+    med = exact_quantiles(fitted, [key], "_res", {"_med": 0.5}, bounded=bounded)
     dev = fitted.join(med, key).withColumn("_dev", F.abs(F.col("_res") - F.col("_med")))
-    mad = exact_quantiles(dev, [key], "_dev", {"_mad": 0.5})
+    mad = exact_quantiles(dev, [key], "_dev", {"_mad": 0.5}, bounded=bounded)
     res = res.join(med, key, "left").join(mad, key, "left")
     z = F.abs(F.col("_res") - F.col("_med")) / F.when(F.col("_mad") > 1e-15, 1.4826 * F.col("_mad"))
     return res.withColumn("trend_outlier", F.coalesce(z > 3.5, F.lit(False))).drop("slope", "intercept", "_res", "_med", "_mad")
@@ -122,17 +123,18 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, sal
 def series_summary(df: DataFrame, series: str = "series_id", size: str = "size", ident: str = "original_index",
                    min_series_size: int = 5) -> DataFrame:
     """Error metrics and trend diagnostics of every ordered series."""
-    metric = error_metrics(df, [series]).drop("reliability")
+    small = bounded_groups(df, [series])
+    metric = error_metrics(df, [series], bounded=small).drop("reliability")
     agg = df.groupBy(series).agg(
         F.min(size).cast("double").alias("size_min"), F.max(size).cast("double").alias("size_max"),
         safe_slope("error", size).alias("error_size_slope"), safe_slope("absolute_error", size).alias("absolute_error_size_slope"))
-    rho = spearman(df, [series], size, "experimental", "property_size_correlation")
+    rho = spearman(df, [series], size, "experimental", "property_size_correlation", small)
     rho = rho.select(series, F.when(F.col("n") >= 3, F.col("property_size_correlation")).alias("property_size_correlation"))
     mono_e = monotonic_direction(df, series, size, "experimental", "experimental_monotonicity")
     mono_p = monotonic_direction(df, series, size, "predicted", "predicted_monotonicity")
-    order = concordance(df, [series], "experimental", "predicted").select(
+    order = concordance(df, [series], "experimental", "predicted", small).select(
         series, ratio("preserved", "comparable").alias("order_preservation"))
-    outl = trend_outliers(df, series, size, "experimental").groupBy(series).agg(F.count_if("trend_outlier").alias("trend_outlier_count"))
+    outl = trend_outliers(df, series, size, "experimental", small).groupBy(series).agg(F.count_if("trend_outlier").alias("trend_outlier_count"))
     top = top_per_key(df, [series], [F.col("absolute_error").desc(), F.col(ident)], 3, ident)
     top = top.groupBy(series).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", F.col(ident).cast("string").alias("v")))), lambda s: s["v"]), ";").alias("problem_ids"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions.columns import blank_to_null, ratio
 from corvida.functions.labels import consistency_level, pattern_family
-from corvida.functions.ranks import exact_quantiles, prefix_sums, robust_sigma, with_neighbours, with_position
+from corvida.functions.ranks import bounded_groups, exact_quantiles, prefix_sums, robust_sigma, with_neighbours, with_position
 from corvida.session import cut_lineage
 
 BREAK_SCORE = 3.0
@@ -101,7 +101,7 @@ def edge_medians(edges: DataFrame, df: DataFrame, formula: str, pattern: str, va
 def edge_table(df: DataFrame, formula: str, pattern: str, value: str, coordinate: str | None = None,
                min_formulas: int = 1, direct_limit: int = 100_000) -> DataFrame:
     """One row per (edge, formula) with the median difference, its spread and an ambiguity flag."""
-    edges = pattern_edges(pattern_points(df, formula, pattern, value), min_formulas=min_formulas)
+    edges = cut_lineage(pattern_edges(pattern_points(df, formula, pattern, value), min_formulas=min_formulas))
     med = edge_medians(edges, df, formula, pattern, value, direct_limit)
     out = edges.join(med, ["edge_label", "formula"]).withColumns({
         "delta_spread": F.col("max_delta") - F.col("min_delta"), "ambiguous": F.col("n_pairs") > 1})
@@ -111,12 +111,12 @@ def edge_table(df: DataFrame, formula: str, pattern: str, value: str, coordinate
     return out.withColumn("coordinate", F.col("formula").cast("double"))
 
 
-def _fit_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def _fit_trend(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: bool) -> DataFrame:
     """Per key: median below five points, least-squares line from five on."""
     line = df.groupBy(*keys).agg(
         F.count("*").alias("n_points"), F.avg(y).alias("mean_delta"), F.min(x).alias("x_min"), F.max(x).alias("x_max"),
         F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_icpt"))
-    med = exact_quantiles(df, keys, y, {"median_delta": 0.5})
+    med = exact_quantiles(df, keys, y, {"median_delta": 0.5}, bounded=bounded)
     lin = (F.col("n_points") >= 5) & (F.col("x_min") < F.col("x_max"))
     return line.join(med, list(keys)).withColumns({
         "trend_method": F.when(lin, "linear").otherwise("median"), "trend_slope": F.when(lin, F.col("_slope"))})
@@ -127,15 +127,16 @@ def discover_rules(edges: DataFrame, min_points: int = 3) -> tuple[DataFrame, Da
     key = ["edge_label"]
     e = edges.select("edge_label", "formula", "coordinate", "pattern_a", "pattern_b", F.col("median_delta").alias("y"))
     often = e.groupBy("edge_label").agg(F.count("*").alias("_k")).where(F.col("_k") >= min_points).select("edge_label")
-    e = e.join(often, key, "left_semi")
-    fit = _fit_trend(e, key, "coordinate", "y")
+    e = cut_lineage(e.join(often, key, "left_semi"))
+    small = bounded_groups(e, key)
+    fit = _fit_trend(e, key, "coordinate", "y", small)
     d = e.join(fit, key)
     pred = F.when(F.col("trend_method") == "linear", F.col("_icpt") + F.col("_slope") * F.col("coordinate")).otherwise(F.col("median_delta"))
     d = d.withColumn("expected_delta", pred).withColumn("delta_residual", F.col("y") - F.col("expected_delta"))
-    d = d.join(robust_sigma(d, key, "delta_residual", "_rs").select("edge_label", "_rs"), key)
-    d = with_neighbours(with_position(d, key, "coordinate", "pos"), key, "pos", ["y", "formula"], [-1])
+    d = cut_lineage(d.join(robust_sigma(d, key, "delta_residual", "_rs", small).select("edge_label", "_rs"), key))
+    d = with_neighbours(with_position(d, key, "coordinate", "pos", bounded=small), key, "pos", ["y", "formula"], [-1], small)
     d = d.withColumn("delta_change", F.col("y") - F.col("y_m1")).withColumnRenamed("y_m1", "previous_delta").withColumnRenamed("formula_m1", "previous_formula")
-    d = d.join(robust_sigma(d, key, "delta_change", "_cs").select("edge_label", F.col("median").alias("_cm"), "_cs"), key, "left")
+    d = d.join(robust_sigma(d, key, "delta_change", "_cs", small).select("edge_label", F.col("median").alias("_cm"), "_cs"), key, "left")
     change = F.when(F.col("delta_change").isNotNull(),
                     F.when(F.col("_cs") > 1e-12, F.abs(F.col("delta_change") - F.col("_cm")) / F.col("_cs")).otherwise(0.0))
     main = F.signum("median_delta")
@@ -173,7 +174,7 @@ def broken_edges(details: DataFrame) -> DataFrame:
 def change_wording(details: DataFrame) -> DataFrame:
     """Change to the previous point in words."""
     d, c = F.col("delta"), F.col("delta_change")
-    num = lambda v: F.format_number(F.abs(v), "0.000")
+    num = lambda v: F.format_string("%.3f", F.abs(v))
     first = F.when(d > 0, F.concat("pattern_a", F.lit(" above "), "pattern_b", F.lit(" by "), num(d))).when(
         d < 0, F.concat("pattern_b", F.lit(" above "), "pattern_a", F.lit(" by "), num(d))).otherwise(
         F.concat("pattern_a", F.lit(" equals "), "pattern_b"))
@@ -256,21 +257,23 @@ def series_points(memberships: DataFrame) -> DataFrame:
     m = memberships.where("coordinate IS NOT NULL AND value IS NOT NULL")
     base = m.groupBy(*key).agg((F.max("value") - F.min("value")).alias("spread"), F.count("*").alias("replicates"),
                                F.avg("complexity").alias("complexity"))
-    return base.join(exact_quantiles(m, key, "value", {"value": 0.5}), key)
+    return base.join(exact_quantiles(m, key, "value", {"value": 0.5}, bounded=bounded_groups(m, key)), key)
 
 
 def own_series(points: DataFrame, min_points: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary, details, steps): steps against the median step, points against their local line."""
     key = ["series_id"]
+    points = cut_lineage(points)
+    small = bounded_groups(points, key)
     size = points.groupBy("series_id").agg(
         F.count("*").alias("n_points"), F.min("coordinate").alias("coordinate_min"), F.max("coordinate").alias("coordinate_max"),
         F.greatest((F.max("value") - F.min("value")) * 0.02, F.lit(1e-6)).alias("_floor"),
         F.first("series_domain").alias("series_domain"), F.avg("complexity").alias("complexity")).where(F.col("n_points") >= min_points)
     p = points.select("series_id", F.col("coordinate").alias("x"), F.col("value").alias("y")).join(size, key)
-    p = with_neighbours(with_position(p, key, "x", "pos"), key, "pos", ["x", "y"], [-2, -1, 1, 2])
+    p = cut_lineage(with_neighbours(with_position(p, key, "x", "pos", bounded=small), key, "pos", ["x", "y"], [-2, -1, 1, 2], small))
     p = p.withColumn("step", (F.col("y") - F.col("y_m1")) / (F.col("x") - F.col("x_m1")))
     steps = p.where("step IS NOT NULL")
-    sg = robust_sigma(steps, key, "step", "_s").select("series_id", F.col("median").alias("median_step"), "_s")
+    sg = robust_sigma(steps, key, "step", "_s", small).select("series_id", F.col("median").alias("median_step"), "_s")
     p = p.join(sg, key).withColumn("_ds", F.greatest("_s", "_floor"))
     first, last = F.col("y_m1").isNull(), F.col("y_p1").isNull()
     x0 = F.when(first, F.col("x_p1")).when(last, F.col("x_m2")).otherwise(F.col("x_m1"))
@@ -278,8 +281,8 @@ def own_series(points: DataFrame, min_points: int = 3) -> tuple[DataFrame, DataF
     x1 = F.when(first, F.col("x_p2")).when(last, F.col("x_m1")).otherwise(F.col("x_p1"))
     y1 = F.when(first, F.col("y_p2")).when(last, F.col("y_m1")).otherwise(F.col("y_p1"))
     p = p.withColumns({"expected": y0 + (F.col("x") - x0) * (y1 - y0) / (x1 - x0), "is_endpoint": first | last})
-    p = p.withColumn("residual", F.col("y") - F.col("expected"))
-    rs = robust_sigma(p, key, "residual", "_r").select("series_id", "_r")
+    p = cut_lineage(p.withColumn("residual", F.col("y") - F.col("expected")))
+    rs = robust_sigma(p, key, "residual", "_r", small).select("series_id", "_r")
     p = p.join(rs, key).withColumn("_rs", F.greatest("_r", "_floor"))
     next_step = (F.col("y_p1") - F.col("y")) / (F.col("x_p1") - F.col("x"))
     p = p.withColumns({
@@ -319,13 +322,14 @@ def compare_series(candidates: DataFrame, references: DataFrame, min_points: int
     key = ["series_domain", "candidate", "reference"]
     j = j.select(*key, "coordinate", "cv", "rv", (F.col("cv") - F.col("rv")).alias("y"))
     often = j.groupBy(*key).agg(F.count("*").alias("_k")).where(F.col("_k") >= min_points).select(*key)
-    j = j.join(often, key, "left_semi")
-    fit = _fit_trend(j, key, "coordinate", "y")
+    j = cut_lineage(j.join(often, key, "left_semi"))
+    small = bounded_groups(j, key)
+    fit = _fit_trend(j, key, "coordinate", "y", small)
     spread = j.groupBy(*key).agg(F.greatest((F.max("y") - F.min("y")) * 0.05, F.lit(1e-6)).alias("_floor"))
     d = j.join(fit, key).join(spread, key)
     d = d.withColumn("expected_delta", F.when(F.col("trend_method") == "linear", F.col("_icpt") + F.col("_slope") * F.col("coordinate"))
                      .otherwise(F.col("median_delta"))).withColumn("delta_residual", F.col("y") - F.col("expected_delta"))
-    d = d.join(robust_sigma(d, key, "delta_residual", "_s").select(*key, "_s"), key)
+    d = d.join(robust_sigma(d, key, "delta_residual", "_s", small).select(*key, "_s"), key)
     d = d.withColumn("score", F.abs("delta_residual") / F.greatest("_s", "_floor"))
     broken = F.col("score") >= BREAK_SCORE
     details = d.select(*key, "coordinate", F.col("cv").alias("candidate_value"), F.col("rv").alias("reference_value"), F.col("y").alias("delta"),
@@ -395,7 +399,8 @@ def transformation_pairs(memberships: DataFrame, min_contexts: int = 1) -> DataF
     if min_contexts > 1:
         often = m.groupBy("variable").agg(F.count_distinct("core").alias("k")).where(F.col("k") >= min_contexts).select("variable")
         m = m.join(often, "variable", "left_semi")
-    v = exact_quantiles(m, ["series_id", "core", "variable"], "value", {"value": 0.5})
+    unit = ["series_id", "core", "variable"]
+    v = cut_lineage(exact_quantiles(m, unit, "value", {"value": 0.5}, bounded=bounded_groups(m, unit)))
     a = v.select("series_id", "core", F.col("variable").alias("variable_a"), F.col("value").alias("value_a"))
     b = v.select("series_id", F.col("variable").alias("variable_b"), F.col("value").alias("value_b"))
     return a.join(b, "series_id").where("variable_a < variable_b").withColumns({
@@ -407,8 +412,8 @@ def transformation_rules(pairs: DataFrame, min_contexts: int = 3) -> tuple[DataF
     key = ["transformation_id"]
     g = pairs.groupBy(*key).agg(F.count_distinct("core").alias("n_contexts"), F.count("*").alias("n_pairs"),
                                 F.greatest((F.max("delta") - F.min("delta")) * 0.05, F.lit(1e-6)).alias("_floor"))
-    p = pairs.join(g.where(F.col("n_contexts") >= min_contexts), key)
-    p = p.join(robust_sigma(p, key, "delta", "_s").select("transformation_id", F.col("median").alias("median_delta"), "_s"), key)
+    p = cut_lineage(pairs.join(g.where(F.col("n_contexts") >= min_contexts), key))
+    p = p.join(robust_sigma(p, key, "delta", "_s", bounded_groups(p, key)).select("transformation_id", F.col("median").alias("median_delta"), "_s"), key)
     p = p.withColumn("score", F.abs(F.col("delta") - F.col("median_delta")) / F.greatest("_s", "_floor"))
     broken = F.col("score") >= BREAK_SCORE
     details = p.withColumn("status", F.when(broken, "breaks_transformation").otherwise("consistent")).drop("_s", "_floor")

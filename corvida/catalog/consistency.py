@@ -182,10 +182,10 @@ def win6(spark, sf):
     return rounded(own(spark, sf)[0], 4)
 
 
-@query("win6_own_series_details", f"""WITH {OWN_SQL} SELECT series_id, series_domain, coordinate, {r('value', 4, 'value')}, {r('ex', 4, 'expected')}, {r('res', 4, 'residual')}, CASE WHEN xa IS NULL OR xb IS NULL THEN 'extrapolation' ELSE 'interpolation' END AS method,
- xa IS NULL OR xb IS NULL AS is_endpoint, {r('score', 4, 'score')}, st AS status FROM o5""")
+@query("win6_own_series_details", f"""WITH {OWN_SQL} SELECT series_id, series_domain, coordinate, {r('value', 7, 'value')}, {r('ex', 7, 'expected')}, {r('res', 7, 'residual')}, CASE WHEN xa IS NULL OR xb IS NULL THEN 'extrapolation' ELSE 'interpolation' END AS method,
+ xa IS NULL OR xb IS NULL AS is_endpoint, {r('score', 6, 'score')}, st AS status FROM o5""")
 def win6_details(spark, sf):
-    return rounded(own(spark, sf)[1], 4)
+    return rounded(own(spark, sf)[1], 7, score=6)
 
 
 @query("win6_own_series_steps", f"""WITH {OWN_SQL} SELECT series_id, xa AS coordinate_from, coordinate AS coordinate_to, {r('value - ya', 4, 'delta')}, {r('step', 4, 'normalized_delta')}, {r('mstep', 4, 'expected_step')}, {r('sb', 4, 'delta_score')},

@@ -123,7 +123,7 @@ def val4(spark, sf):
     return rounded(stats.regression_metrics(d, []).select("n", "rmse", F.col("r2").alias("q2")), 6, rmse=3)
 
 
-@query("val5_group_holdout", f"""WITH {ORDERS_SQL}, d AS (SELECT *, CASE WHEN {portable_hash_sql('nation')} < {int(0.3 * HASH_PRIME)} THEN 'test' ELSE 'train' END AS split FROM om), {ridge_sql('m', 'd', where="split = 'train'")},
+@query("val5_group_holdout", f"""WITH {ORDERS_SQL}, d AS (SELECT *, CASE WHEN {portable_hash_sql('CAST(nation AS BIGINT)')} < {int(0.3 * HASH_PRIME)} THEN 'test' ELSE 'train' END AS split FROM om), {ridge_sql('m', 'd', where="split = 'train'")},
 s AS (SELECT d.*, {PRED} AS p FROM d, m) SELECT split, n, {r('rmse', 4, 'rmse')}, {r('r2', 6, 'r2')}, {r('mae', 4, 'mae')} FROM ({score_sql('s', 'split')})""")
 def val5(spark, sf):
     _, s = validation.group_holdout(order_matrix(spark, sf), X, "y", portable_hash("nation"), 0.3)

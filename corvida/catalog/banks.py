@@ -321,9 +321,11 @@ def src13(spark, sf):
     return t.groupBy(parsers.sniff_format("text").alias("fmt")).agg(F.count("*").alias("n"))
 
 
-@query("src16_page_links")
+@query("src16_page_links", """WITH h AS (SELECT page_id, trim(replace(unnest(regexp_extract_all(html, '(?i)href=[''"]([^''"]+)[''"]', 1)), '&amp;', '&')) AS h FROM pages),
+u AS (SELECT page_id, CASE WHEN h LIKE 'http%' THEN h WHEN h LIKE '/%' THEN 'https://example.org' || h ELSE 'https://example.org/cgi/' || h END AS url FROM h WHERE h <> '')
+SELECT DISTINCT page_id, url FROM u WHERE regexp_matches(lower(url), '[aeiou]$') OR regexp_matches(url, '(?i)[?&]JCAMP=[^&#]') OR (contains(lower(url), 'download') AND regexp_matches(lower(url), 'ir|jcamp|spectrum'))""")
 def src16(spark, sf):
-    return parsers.data_links(table(spark, sf, "pages"), "page_id", "html", "https://example.org/cgi/")
+    return parsers.data_links(table(spark, sf, "pages"), "page_id", "html", "https://example.org/cgi/", r"[aeiou]$")
 
 
 JC = "'##TITLE=' || p_name || chr(10) || '##STATE= ' || CASE WHEN p_size % 2 = 0 THEN 'Vapor' ELSE 'Neat X' END || chr(10) || '##XYDATA=(X++(Y..Y))' || chr(10) || p_size || ' 1.5 2.5' || chr(10) || (p_size + 1) || ' ' || p_partkey || chr(10) || '##END='"

@@ -61,8 +61,8 @@ def fit_tree(df: DataFrame, features: Sequence[str], target: str, kind: str = "f
         "boosted": lambda: GBTRegressor(seed=42, **params),
     }[kind]()
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    model = make.setFeaturesCol("_features").setLabelCol(target).setPredictionCol("y_pred").fit(asm.transform(df))
-    return model, lambda d: model.transform(asm.transform(d)).drop("_features")
+    model = make.setFeaturesCol("_features").setLabelCol(target).setPredictionCol("y_pred").fit(asm.transform(df.drop("y_pred")))
+    return model, lambda d: model.transform(asm.transform(d.drop("y_pred"))).drop("_features")
 
 
 def vote(predictions: DataFrame, row: str, weights: dict[str, float]) -> DataFrame:

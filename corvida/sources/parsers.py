@@ -124,17 +124,17 @@ def key_from_name(path) -> dict[str, Column]:
     return {"inchikey": F.when(full != "", full).otherwise(short), "key_kind": F.when(full != "", "full").when(short != "", "short").otherwise("")}
 
 
-def data_links(df: DataFrame, key: str, html: str, base_url: str) -> DataFrame:
-    """(key, url): distinct absolute links to data files in stored pages."""
+def data_links(df: DataFrame, key: str, html: str, base_url: str, ending: str = r"\.(jdx|dx|jcamp)$") -> DataFrame:
+    """(key, url): distinct absolute links to data files (by their ending) in stored pages."""
     href = F.explode(F.regexp_extract_all(html, F.lit(r"""(?i)href=['"]([^'"]+)['"]"""), F.lit(1)))
-    d = df.select(key, F.trim(F.regexp_replace(href, "&amp;", "&")).alias("h")).where("h <> ''")
+    d = df.select(key, href.alias("h")).select(key, F.trim(F.regexp_replace("h", "&amp;", "&")).alias("h")).where("h <> ''")
     origin = base_url.split("/", 3)[0] + "//" + base_url.split("/", 3)[2]
     d = d.withColumn("url", F.when(F.col("h").startswith("http"), F.col("h")).when(F.col("h").startswith("/"), F.concat(F.lit(origin), "h")).otherwise(F.concat(F.lit(base_url), "h")))
     low = F.lower("url")
     param = lambda n: F.regexp_extract("url", rf"(?i)[?&]{n}=([^&#]*)", 1)
     spec = F.contains(F.upper("url"), F.lit("IR-SPEC")) & (param("ID") != "")
     rewritten = F.concat(F.lit(base_url + "cbook.cgi?JCAMP="), param("ID"), F.lit("&Index="), F.when(param("Index") == "", "0").otherwise(param("Index")), F.lit("&Type=IR"))
-    keep = low.rlike(r"\.(jdx|dx|jcamp)$") | (param("JCAMP") != "") | (F.contains(low, F.lit("download")) & low.rlike("ir|jcamp|spectrum"))
+    keep = low.rlike(ending) | (param("JCAMP") != "") | (F.contains(low, F.lit("download")) & low.rlike("ir|jcamp|spectrum"))
     return d.select(key, F.when(keep, F.col("url")).when(spec, rewritten).alias("url")).where("url IS NOT NULL").distinct()
 
 

@@ -8,13 +8,13 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import blank_to_null, finite, to_number
+from corvida.functions.columns import blank_to_null, finite, number_of
 from corvida.functions.ranks import exact_quantiles
 
 
 def numeric_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each listed column by its numeric reading (null where unreadable)."""
-    return df.withColumns({c: to_number(c) for c in cols})
+    return df.withColumns({c: number_of(df, c) for c in cols})
 
 
 def long_values(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +34,7 @@ def clean_numeric(df: DataFrame, cols: Sequence[str], keep_constant: bool = Fals
 
     Returns the cleaned frame and the surviving column names.
     """
-    work = df.withColumns({c: finite(to_number(c)) for c in cols})
+    work = numeric_columns(df, cols).withColumns({c: finite(c) for c in cols})
     stats = work.agg(*[
         a for c in cols
         for a in (F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), )
@@ -66,7 +66,7 @@ def align_columns(df: DataFrame, required: Sequence[str], medians: dict[str, flo
     """Shape a batch to a model's columns: absent ones become 0, gaps the (batch) median."""
     missing = [c for c in required if c not in df.columns]
     have = [c for c in required if c in df.columns]
-    work = df.withColumns({**{c: F.lit(0.0) for c in missing}, **{c: finite(to_number(c)) for c in have}})
+    work = df.withColumns({**{c: F.lit(0.0) for c in missing}, **{c: finite(number_of(df, c)) for c in have}})
     med = medians if medians is not None else (column_medians(work, have) if have else {})
     fill = {c: F.coalesce(F.col(c), F.lit(med.get(c) if med.get(c) is not None else 0.0)) for c in have}
     return (work.withColumns(fill) if fill else work), missing

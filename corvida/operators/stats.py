@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from corvida.functions.columns import blank_to_null, finite, ratio
 from corvida.functions.frames import with_scalars
 from corvida.functions.labels import correlation_strength
-from corvida.functions.ranks import bias_corrected_moments, exact_quantiles, safe_corr, spearman
+from corvida.functions.ranks import GROUP_LIMIT, bias_corrected_moments, exact_quantiles, safe_corr, spearman, with_average_rank
 from corvida.operators.clean import long_values
 
 
@@ -123,9 +123,19 @@ def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
 
 def target_correlations(df: DataFrame, cols: Sequence[str], target: str, top: int | None = 40) -> DataFrame:
     """Pearson and rank correlation of each descriptor with the target, strongest first."""
-    d = long_values(df, cols, keep=[target]).where(F.col("value").isNotNull() & F.col(target).isNotNull())
-    pear = d.groupBy("name").agg(safe_corr("value", target).alias("pearson"))
-    res = spearman(d, ["name"], "value", target).join(pear, "name").where("n >= 3 AND pearson IS NOT NULL")
+    base = df.select(*cols, F.col(target).cast("double").alias("_y")).where("_y IS NOT NULL")
+    size = base.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in cols]).first()
+    small = size["n"] <= GROUP_LIMIT
+    if all(size[f"n_{c}"] == size["n"] for c in cols):
+        # No gaps: the target has the same ranks for every descriptor, so they are computed once.
+        base = with_average_rank(base.withColumn("_g", F.lit(0)), ["_g"], "_y", "_ry", bounded=small)
+        d = with_average_rank(long_values(base, cols, keep=["_y", "_ry"]), ["name"], "value", "_rx", bounded=small)
+        rho = d.groupBy("name").agg(F.count("*").alias("n"), safe_corr("_rx", "_ry").alias("spearman"), safe_corr("value", "_y").alias("pearson"))
+    else:
+        d = long_values(base, cols, keep=["_y"]).where("value IS NOT NULL")
+        pear = d.groupBy("name").agg(safe_corr("value", "_y").alias("pearson"))
+        rho = spearman(d, ["name"], "value", "_y", bounded=small).join(pear, "name")
+    res = rho.where("n >= 3 AND pearson IS NOT NULL")
     res = res.withColumns({
         "strength": correlation_strength("pearson"),
         "direction": F.when(F.col("pearson") > 0, "positive").when(F.col("pearson") < 0, "negative").otherwise("none"),

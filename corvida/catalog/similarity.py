@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvida.catalog.registry import query, r, rounded, table
+from corvida.functions.frames import spread
 from corvida.operators import similarity as sim
 from corvida.session import cut_lineage
 
@@ -23,7 +24,7 @@ COMP = """rc AS (SELECT node, min(reach) AS component FROM (
 
 
 def document_sets(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.size("w") - 2, F.lit(0))
     join = lambda x, y: F.concat_ws(" ", x, y)
     tri = F.zip_with(F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), join), F.slice("w", F.lit(3), n), join)

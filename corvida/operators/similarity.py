@@ -41,10 +41,11 @@ def similar_pairs(nodes: DataFrame, threshold: float, hot_token: int = HOT_TOKEN
     whose list stays long is cut into chunks and the chunk pairs spread over tasks.
     """
     tok = nodes.select("node", "size", F.explode("set").alias("token"))
-    freq = tok.groupBy("token").agg(F.count("*").alias("f"))
+    # Tokens seen once come first in the order, so they use up prefix places but need no list.
+    freq = tok.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     ranked = tok.join(freq, "token").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("o"))
-    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    index = ranked.select("node", "size", F.explode(F.slice("o", F.lit(1), keep)).alias("t")).select("node", "size", "t.token", "t.f").where("f > 1")
+    keep = F.size("o") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    index = ranked.select("node", "size", F.explode(F.slice("o", F.lit(1), F.greatest(keep, F.lit(0)))).alias("t")).select("node", "size", "t.token", "t.f")
     chunks = F.ceil(F.col("f") / hot_token).cast("int")
     index = index.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("chunks", chunks)
     # Chunk pair (i, j), i <= j: a row of chunk c serves every pair that contains c.

@@ -208,3 +208,18 @@ def agg34(spark, sf):
     a = stats.regression_metrics(d.withColumn("y_pred", grams(d, X, "y")[()].ridge(1.0).column()), []).withColumn("method", F.lit("training"))
     b = stats.regression_metrics(d.withColumn("y_pred", F.lit(250000.0)), []).withColumn("method", F.lit("baseline"))
     return rounded(a.unionByName(b).withColumn("quality", quality_label("r2")).select("method", "r2", "rmse", "mae", "quality"), 3, r2=5)
+
+
+@query("join19_importance_outer_merge", f"WITH {LINES_SQL}, {IMP_SQL} SELECT descriptor, {r('c / (SELECT max(c) FROM co)', 6, 'coefficient_score')}, CASE WHEN descriptor = 'x2' THEN 1.0::DOUBLE END AS shap_score, CASE WHEN descriptor = 'x2' THEN 2 ELSE 1 END AS methods_available FROM co")
+def join19(spark, sf):
+    d = lines(spark, sf)
+    m = grams(d, X, "y")[()].ridge(1.0)
+    t = importance.unified_table(coefficient=importance.coefficient_table(spark, m), attribution=importance.linear_attribution(d, m).where("descriptor = 'x2'"))
+    return rounded(t.select("descriptor", "coefficient_score", "shap_score", "methods_available"))
+
+
+@query("win12_combined_rank", f"WITH {LINES_SQL}, {IMP_SQL} SELECT descriptor, CAST(rank() OVER (ORDER BY (cs + ss) / 2 DESC) AS INTEGER) AS combined_rank FROM sc")
+def win12(spark, sf):
+    d = lines(spark, sf)
+    m = grams(d, X, "y")[()].ridge(1.0)
+    return importance.unified_table(coefficient=importance.coefficient_table(spark, m), attribution=importance.linear_attribution(d, m)).select("descriptor", "combined_rank")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import exact_dedup, fingerprints, minhash, packing, sharding
+from corvida.llm import exact_dedup, fingerprints, minhash, packing, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op2(spark, sf):
     return sharding.shard(documents(spark, sf))
 
 
+@query("op3_suffix_dedup")
+def op3(spark, sf):
+    return suffix_dedup.repeated_bytes(documents(spark, sf))
+
+
 @query("op4_near_dedup")
 def op4(spark, sf):
     return minhash.near_groups(documents(spark, sf))

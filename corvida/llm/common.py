@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 WS_CLASS = r"[\x20\x09-\x0D]+"
@@ -130,3 +131,28 @@ def word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def id_bitmap(ids: DataFrame, column: str, max_bits: int = 1 << 28) -> tuple[np.ndarray, int]:
+    """Bitmap of hashed ids, at most ``max_bits`` long; false positives grow beyond that size, misses never happen."""
+    bits = min(max_bits, 1 << max(16, (16 * ids.count()).bit_length()))
+    slot = (F.xxhash64(column).bitwiseAND(F.lit(bits - 1)) + 1).alias("slot")
+    pieces = ids.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("piece"))
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for r in pieces.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096
+        part = np.frombuffer(bytes(r["piece"]), dtype=np.uint8)[: len(bitmap) - at]
+        bitmap[at : at + len(part)] = part
+    return bitmap, bits
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray, bits: int) -> Column:
+    """False only where the id is certainly not in the bitmap."""
+    sent = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def probe(slot: pa.Array) -> pa.Array:
+        s = slot.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
+
+    return probe(F.xxhash64(column).bitwiseAND(F.lit(bits - 1)))

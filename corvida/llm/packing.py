@@ -13,7 +13,6 @@ are packed each; only the id and text columns are read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,13 +25,13 @@ from pyspark.sql import functions as F
 from corvida.llm.common import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-CACHED_WORDS, CACHED_LENGTH = 400_000, 48
+OTHER_SPACE = "\t\n\x0b\x0c\r"
+CACHED_WORDS, CACHED_LENGTH = 1_200_000, 48
 
 
 class WordCache:
     """Token ids per white-space word as packed bytes. The tokenizer drops white space and never joins words, so a text's
-    ids are its words' ids in a row; frequent words are encoded once per worker. At most ``CACHED_WORDS`` are kept."""
+    ids are its words' ids in a row; frequent words are encoded once per worker. The first ``CACHED_WORDS`` are kept."""
 
     _by_path: dict[str, WordCache] = {}
 
@@ -43,7 +42,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> WordCache:
@@ -55,17 +54,17 @@ class WordCache:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
-        words = [w for w in _SPLIT.split(text) if w]
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if not new:
-            return b"".join([known[w] for w in words])
-        fresh = dict(zip(new, self._encode(new)))
-        out = b"".join([known[w] if w in known else fresh[w] for w in words])
-        if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
-        known.update((w, b) for w, b in fresh.items() if len(w) <= CACHED_LENGTH)
-        return out
+        for c in OTHER_SPACE:
+            text = text.replace(c, " ")
+        words = text.split(" ")
+        got = list(map(self.known.get, words))
+        if None in got:
+            new = list({w for w, b in zip(words, got) if b is None})
+            fresh = dict(zip(new, self._encode(new)))
+            got = [fresh[w] if b is None else b for w, b in zip(words, got)]
+            if len(self.known) < CACHED_WORDS:
+                self.known.update((w, b) for w, b in fresh.items() if len(w) <= CACHED_LENGTH)
+        return b"".join(got)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import exact_dedup, fingerprints, minhash, packing, sharding, suffix_dedup
+from corvida.llm import exact_dedup, fingerprints, minhash, packing, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op4(spark, sf):
     return minhash.near_groups(documents(spark, sf))
 
 
+@query("op5_toxic_spans")
+def op5(spark, sf):
+    return toxicity.document_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 @query("op6_scaled_fingerprints")
 def op6(spark, sf):
     return fingerprints.fingerprint_edits(documents(spark, sf))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import exact_dedup, fingerprints, minhash, packing, sharding, suffix_dedup, toxicity
+from corvida.llm import exact_dedup, fingerprints, lm, minhash, packing, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -61,6 +61,11 @@ def op6(spark, sf):
     return fingerprints.fingerprint_edits(documents(spark, sf))
 
 
+@query("op7_bloom_lm")
+def op7(spark, sf):
+    return lm.score_documents(documents(spark, sf))
+
+
 @query("op10_exact_dedup", r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import exact_dedup, fingerprints, lm, minhash, packing, passages, sharding, suffix_dedup, toxicity
+from corvida.llm import exact_dedup, fingerprints, lm, minhash, packing, passages, sentencepiece_scan, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -71,6 +71,11 @@ def op8(spark, sf):
     return passages.fuzzy_passages(documents(spark, sf))
 
 
+@query("op9_sentencepiece_scan")
+def op9(spark, sf):
+    return sentencepiece_scan.round_trip(documents(spark, sf), tokenizer("piece_bpe_32k.model"))
+
+
 @query("op10_exact_dedup", r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)

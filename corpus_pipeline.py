@@ -1,25 +1,44 @@
-"""Corpus pipeline: documents through the stages below, each written as Parquet and read again by the next."""
+"""Corpus pipeline: documents through the stages below, each written as Parquet and read again by the next.
+
+Toxic documents go, then all but one row of equal texts, all but one document of each near-duplicate group, then passages
+that repeat anywhere are cut from the texts; what is left is packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import exact_dedup, packing
+from corvida.llm import exact_dedup, minhash, packing, suffix_dedup, toxicity
 from corvida.llm.catalog import tokenizer
 from corvida.llm.common import written
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.3 or above are rejected."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return minhash.drop_near_copies(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes and more that repeat are cut; a document that holds nothing else stays with an empty text."""
+    return suffix_dedup.drop_repeats(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents, placed in sequences of 2048."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("exact", exact_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("exact dedup", exact_stage), ("near dedup", near_stage), ("suffix-array dedup", passage_stage), ("packing", packing_stage)]
 
 ORACLE_SQL = None
 

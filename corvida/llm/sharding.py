@@ -28,9 +28,9 @@ def place_bundles(vectors: np.ndarray, shards: int, rounds: int = 4000) -> np.nd
     v = vectors / capacity
     residual = np.ones((shards, v.shape[1]))
     out = np.zeros(n, dtype=np.int64)
-    for i in np.argsort(-v[:, 0], kind="stable"):
-        room = residual[:, 0] >= v[i, 0]
-        score = np.where(room, residual @ v[i], -np.inf) if room.any() else residual[:, 0]
+    for i in np.argsort(-v.sum(axis=1), kind="stable"):
+        room = (residual >= v[i]).all(axis=1)
+        score = np.where(room, residual @ v[i], -np.inf) if room.any() else residual.min(axis=1)
         s = int(np.argmax(score))
         out[i] = s
         residual[s] -= v[i]
@@ -41,11 +41,15 @@ def even_bytes(size: np.ndarray, shard: np.ndarray, shards: int, rounds: int) ->
     """Move or exchange bundles between the fullest and the emptiest shard while that narrows their gap."""
     load = np.bincount(shard, weights=size, minlength=shards).astype(np.int64)
     members = [list(np.flatnonzero(shard == s)) for s in range(shards)]
+    open_ = np.ones(shards, dtype=bool)  # shards that can still give
     for _ in range(rounds):
-        hi, lo = int(np.argmax(load)), int(np.argmin(load))
+        hi, lo = int(np.argmax(np.where(open_, load, -1))), int(np.argmin(load))
         gap = int(load[hi] - load[lo])
-        if gap <= 1 or not members[hi]:
+        if gap <= 1 or not open_.any():
             break
+        if not members[hi]:
+            open_[hi] = False
+            continue
         a = np.array(members[hi])
         b = np.array([-1, *members[lo]])
         sb = np.concatenate(([0], size[b[1:]]))
@@ -58,8 +62,9 @@ def even_bytes(size: np.ndarray, shard: np.ndarray, shards: int, rounds: int) ->
             j = int(np.argmin(left))
             if best is None or left[j] < best[0]:
                 best = (int(left[j]), int(a[j]), int(b[order[k[j]]]), int(moved[j]))
-        if best is None or best[0] >= gap:
-            break
+        if best[0] >= gap:
+            open_[hi] = False
+            continue
         _, x, y, moved = best
         members[hi].remove(x)
         members[lo].append(x)

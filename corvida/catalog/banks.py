@@ -315,7 +315,7 @@ def prd5(spark, sf):
 
 # ------------------------------------------------------------------ parsers on real text
 @query("src13_sniff_format", """SELECT fmt, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(ltrim(h), '^[\\{\\[]') THEN 'MASSBANK_JSON' WHEN contains(upper(h), '##TITLE') OR contains(upper(h), '##XYDATA') OR contains(upper(h), '##PEAK TABLE') THEN 'JCAMP_DX' WHEN regexp_matches(h, '[,;\\t]') THEN 'NUMERIC_TABLE' ELSE 'UNKNOWN' END AS fmt
-FROM (SELECT substr(text, 1, 5000) AS h FROM conversations UNION ALL SELECT substr(props, 1, 5000) FROM events)) GROUP BY 1""")
+FROM (SELECT text AS h FROM conversations UNION ALL SELECT props FROM events)) GROUP BY 1""")
 def src13(spark, sf):
     t = table(spark, sf, "conversations").select("text").unionByName(table(spark, sf, "events").select(F.col("props").alias("text")))
     return t.groupBy(parsers.sniff_format("text").alias("fmt")).agg(F.count("*").alias("n"))

@@ -56,7 +56,7 @@ def prj26(spark, sf):
     return rounded(errors.group_drilldown(error_rows(spark, sf), "group_returned").select("row_id", "error"), 4)
 
 
-REPS = 100
+REPS = 500
 _H = portable_hash_sql("row_id", "b")
 
 

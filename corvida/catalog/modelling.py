@@ -288,11 +288,11 @@ def ad7(spark, sf):
     return domain.subspace_domain(d.where("nation = 3"), d.where("nation <> 3"), "row_id", {"molecular": ["x1", "x2"], "spectral": ["x2", "x3"], "combined": ["x1", "x2", "x3"]}, ["spectral"])
 
 
-@query("unc3_query_bootstrap", f"""WITH {ORDERS_SQL}, d AS (SELECT om.*, b, {poisson_weight_sql(portable_hash_sql('row_id', 'b'))} AS w FROM om, range(20) q(b)), {ridge_sql('m', 'd', 'b', 'w > 0', w='w')}, pp AS (SELECT row_id, {PRED} AS p FROM om, m)
+@query("unc3_query_bootstrap", f"""WITH {ORDERS_SQL}, d AS (SELECT om.*, b, {poisson_weight_sql(portable_hash_sql('row_id', 'b'))} AS w FROM om, range(100) q(b)), {ridge_sql('m', 'd', 'b', 'w > 0', w='w')}, pp AS (SELECT row_id, {PRED} AS p FROM om, m)
 SELECT row_id, {r('avg(p)', 1, 'bootstrap_mean')}, {r('stddev_samp(p)', 1, 'bootstrap_std')}, {r('quantile_cont(p, 0.05)', 1, 'bootstrap_p05')}, {r('quantile_cont(p, 0.95)', 1, 'bootstrap_p95')} FROM pp GROUP BY 1""")
 def unc3(spark, sf):
     d = order_matrix(spark, sf)
-    return rounded(uncertainty.bootstrap_columns(d, uncertainty.bootstrap_models(d, X, "y", "row_id", 20)).select("row_id", "bootstrap_mean", "bootstrap_std", "bootstrap_p05", "bootstrap_p95"), 1)
+    return rounded(uncertainty.bootstrap_columns(d, uncertainty.bootstrap_models(d, X, "y", "row_id", 100)).select("row_id", "bootstrap_mean", "bootstrap_std", "bootstrap_p05", "bootstrap_p95"), 1)
 
 
 CONS = "(SELECT l_orderkey AS row_id, 'a' AS model, sum(l_extendedprice) AS y_pred FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderkey, 'b', o_totalprice FROM orders UNION ALL SELECT o_orderkey, 'c', 250000.0 FROM orders)"
@@ -332,4 +332,4 @@ def unc7(spark, sf):
     d = customer_matrix(spark, sf)
     train = d.where("nation <> 3")
     g = grams(train, ["x1", "x2", "x3"], "y")[()]
-    return uncertainty.uncertainty_table(train, d.where("nation = 3"), ["x1", "x2", "x3"], "y", "row_id", replicates=30, models={"ridge": g.ridge(1.0), "lasso": g.elastic_net(0.1)})
+    return uncertainty.uncertainty_table(train, d.where("nation = 3"), ["x1", "x2", "x3"], "y", "row_id", replicates=100, models={"ridge": g.ridge(1.0), "lasso": g.elastic_net(0.1)})

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,26 +67,51 @@ def ratio(num, den) -> Column:
     return F.when(den != 0, col(num).cast("double") / den)
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def portable_hash(c, salt: int | Column = 0) -> Column:
-    """Integer hash computed in BIGINT only, so any SQL engine repeats it."""
+    """Integer hash computed in BIGINT only, so any SQL engine repeats it.
+
+    The salted number is raised to the fifth power modulo a prime, a one-to-one map that is not linear, so draws
+    under different salts are not shifts of each other. Ids beyond the prime enter with their quotient.
+    """
+    p = F.lit(HASH_PRIME)
     s = salt if isinstance(salt, Column) else F.lit(salt)
-    m = F.pmod(col(c).cast("bigint"), F.lit(HASH_PRIME))
-    h = F.pmod(m * HASH_A + s.cast("bigint") * HASH_B + HASH_C, F.lit(HASH_PRIME))
-    return F.pmod(h * HASH_A + 7919, F.lit(HASH_PRIME))
+    x = col(c).cast("bigint")
+    folded = F.pmod(x, p) + F.pmod(F.call_function("div", x, p), p) * HASH_B
+    start = F.pmod(F.pmod(folded, p) * HASH_A + F.pmod(s.cast("bigint"), p) * HASH_B + HASH_C, p)
+    fifth = _once(start, lambda v: F.pmod(F.pmod(F.pmod(v * v, p) * F.pmod(v * v, p), p) * v, p))
+    return F.pmod(fifth * HASH_A + F.pmod(s.cast("bigint"), p) * HASH_C + 7919, p)
+
+
+def portable_hash_block(x: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """(rows, salts) hashes of non-negative ids in NumPy, equal to :func:`portable_hash`."""
+    p = np.int64(HASH_PRIME)
+    x, s = x.astype(np.int64)[:, None], salts.astype(np.int64)[None, :] % p
+    v = ((x % p + (x // p) % p * HASH_B) % p * HASH_A + s * HASH_B + HASH_C) % p
+    square = v * v % p
+    return (square * square % p * v % p * HASH_A + s * HASH_C + 7919) % p
+
+
+def portable_text_hash(c, salt: int | Column = 0) -> Column:
+    """The same for text keys: over the CRC-32 of the UTF-8 bytes."""
+    return portable_hash(F.crc32(F.encode(col(c), "UTF-8")), salt)
 
 
 def portable_hash_sql(expr: str, salt: str | int = 0) -> str:
     """The same hash as SQL text (non-negative ids)."""
-    h = f"((({expr}) % {HASH_PRIME}) * {HASH_A} + ({salt}) * {HASH_B} + {HASH_C}) % {HASH_PRIME}"
-    return f"((({h}) * {HASH_A} + 7919) % {HASH_PRIME})"
+    x, p = f"CAST({expr} AS BIGINT)", HASH_PRIME
+    start = f"((({x} % {p} + (({x} // {p}) % {p}) * {HASH_B}) % {p}) * {HASH_A} + (CAST({salt} AS BIGINT) % {p}) * {HASH_B} + {HASH_C}) % {p}"
+    square = f"((({start}) * ({start})) % {p})"
+    fifth = f"((({square} * {square}) % {p}) * ({start}) % {p})"
+    return f"(({fifth} * {HASH_A} + (CAST({salt} AS BIGINT) % {p}) * {HASH_C} + 7919) % {p})"
 
 
-# P(N <= k) of a unit-mean Poisson variable, scaled to the hash range.
-POISSON_CUTS = tuple(
-    int(p * HASH_PRIME)
-    for p in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058,
-              0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-)
+# P(N <= k) of a unit-mean Poisson variable, scaled to the hash range, as far as the range can tell values apart.
+POISSON_CUTS = tuple(int(math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * HASH_PRIME) for k in range(12))
 
 
 def poisson_weight(h: Column) -> Column:

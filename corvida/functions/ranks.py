@@ -24,6 +24,11 @@ def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
+def _attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join one row per key; without keys that is exactly one row, which is broadcast."""
+    return df.join(F.broadcast(per_key) if list(keys) == [ALL] else per_key, list(keys))
+
+
 def prefix_sums(
     df: DataFrame, keys: Sequence[str], order: str, measure: str,
     out: str = "before", buckets: int = 64, bounded: bool = False,
@@ -42,7 +47,7 @@ def prefix_sums(
     bounds = d.groupBy(*k).agg(
         F.percentile_approx(order, cuts, max(1000, 20 * buckets)).alias("_bounds")
     )
-    d = d.join(bounds, k).withColumn(
+    d = _attach(d, bounds, k).withColumn(
         "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
     ).drop("_bounds")
     inner = Window.partitionBy(*k, "_bucket").orderBy(order)
@@ -120,7 +125,7 @@ def exact_quantiles(
             F.struct(F.lit(i).alias("i"), F.when(F.col("_v") >= low, F.col("_v")).alias("v")),
         ))
     slices = (
-        d.join(bounds, k)
+        _attach(d, bounds, k)
         .select(*k, "_n", F.explode(F.array_compact(F.array(*parts))).alias("_s"))
         .groupBy(*k, "_n", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v"))
         .agg(F.count("*").alias("_c"))
@@ -145,7 +150,7 @@ def robust_sigma(df: DataFrame, keys: Sequence[str], value: str, out: str = "sig
     """Per key: 1.4826*MAD, else population deviation, else IQR/1.349, else 1e-6."""
     d, k = _keyed(df.select(*keys, F.col(value).alias("_x")).where(F.col("_x").isNotNull()), keys)
     q = exact_quantiles(d, k, "_x", {"_med": 0.5, "_q1": 0.25, "_q3": 0.75}, bounded=bounded)
-    dev = d.join(q, k).withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
+    dev = _attach(d, q, k).withColumn("_dev", F.abs(F.col("_x") - F.col("_med")))
     mad = exact_quantiles(dev, k, "_dev", {"_mad": 0.5}, bounded=bounded)
     pop = d.groupBy(*k).agg(F.stddev_pop("_x").alias("_sd"))
     tiny = 1e-12
@@ -155,7 +160,7 @@ def robust_sigma(df: DataFrame, keys: Sequence[str], value: str, out: str = "sig
         .when(F.col("_q3") - F.col("_q1") > tiny, (F.col("_q3") - F.col("_q1")) / 1.349)
         .otherwise(1e-6)
     )
-    res = q.join(mad, k).join(pop, k).select(*k, F.col("_med").alias("median"), F.col("_mad").alias("mad"), sig.alias(out))
+    res = _attach(_attach(q, mad, k), pop, k).select(*k, F.col("_med").alias("median"), F.col("_mad").alias("mad"), sig.alias(out))
     return res if keys else res.drop(ALL)
 
 
@@ -183,7 +188,7 @@ def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: boo
     totals = ranks.groupBy(*k).agg(
         F.sum("ties").alias("_n"), F.sum(F.col("ties") * (F.col("ties") - 1) / 2).alias("_tied")
     )
-    pts = d.join(ranks.select(*k, "_x", "less"), [*k, "_x"]).join(totals.select(*k, "_n"), k)
+    pts = _attach(d.join(ranks.select(*k, "_x", "less"), [*k, "_x"]), totals.select(*k, "_n"), k)
     bits = pts.groupBy(*k, "_n", "less", "_y").agg(F.count("*").alias("_c")).select(
         *k, "_y", "_c", "less",
         F.explode(F.sequence(F.lit(0), F.ceil(F.log2(F.col("_n").cast("double") + 1)).cast("int"))).alias("_bit"),
@@ -201,7 +206,7 @@ def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, bounded: boo
     good = prefix_sums(per_y, node, "_y", "_left", "_lb", bounded=bounded).groupBy(*k).agg(
         F.sum(F.col("_lb") * F.col("_right")).alias("preserved")
     )
-    res = totals.join(good, k, "left").select(
+    res = totals.join(F.broadcast(good) if k == [ALL] else good, k, "left").select(
         *k,
         (F.col("_n") * (F.col("_n") - 1) / 2 - F.col("_tied")).cast("bigint").alias("comparable"),
         F.coalesce("preserved", F.lit(0)).cast("bigint").alias("preserved"),

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import poisson_weight, portable_hash, ratio
+from corvida.functions.columns import POISSON_CUTS, portable_hash_block, ratio
 from corvida.functions.frames import with_scalars
 from corvida.functions.ranks import bounded_groups, concordance, exact_quantiles, prefix_sums, spearman
 
@@ -58,20 +60,33 @@ def group_drilldown(df: DataFrame, group: str) -> DataFrame:
     return df if group == "overall" else df.where(F.coalesce(F.col(group), F.lit(False)))
 
 
-def bootstrap_mae(df: DataFrame, keys: Sequence[str], ident: str, error: str = "error", replicates: int = 500) -> DataFrame:
-    """2.5 / 97.5 percentiles of the resampled MAE.
+def bootstrap_mae(df: DataFrame, keys: Sequence[str], ident: str, error: str = "error", replicates: int = 500, block: int = 4096) -> DataFrame:
+    """2.5 / 97.5 percentiles of the resampled MAE; ``ident`` is a non-negative integer.
 
-    Each (row, replicate) draws its resampling count from a hash; the counts collapse in the
-    map-side partial aggregate, so only groups x replicates rows are shuffled.
+    Each (row, replicate) draws its resampling count from a hash, in blocks of ``block`` rows times all replicates; a
+    partition sends one row of sums per group, and groups x replicates numbers are added up after that.
     """
-    work = df.where(F.col(error).isNotNull()).select(
-        *keys, F.abs(error).alias("_a"), F.col(ident).alias("_id"),
-        F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    work = work.withColumn("_w", poisson_weight(portable_hash("_id", F.col("replicate"))))
-    rep = work.where("_w > 0").groupBy(*keys, "replicate").agg(
-        (F.sum(F.col("_w") * F.col("_a")) / F.sum("_w")).alias("mae"))
+    k = list(keys)
+    work = df.where(F.col(error).isNotNull()).select(*k, F.abs(F.col(error).cast("double")).alias("_a"), F.col(ident).cast("bigint").alias("_id"))
+    cuts, salts = np.array(POISSON_CUTS), np.arange(replicates)
+
+    def add(batches):
+        acc: dict = {}
+        for pdf in batches:
+            for name, g in pdf.groupby(k, sort=False, dropna=False):
+                a, ids = g["_a"].to_numpy(float), g["_id"].to_numpy(np.int64)
+                total = acc.setdefault(name, np.zeros((2, replicates)))
+                for i in range(0, len(a), block):
+                    w = np.searchsorted(cuts, portable_hash_block(ids[i:i + block], salts), side="right")
+                    total += np.stack((w.sum(axis=0), a[i:i + block] @ w))
+        if acc:
+            yield pd.DataFrame({**{c: [n[i] for n in acc] for i, c in enumerate(k)}, "_w": [t[0].tolist() for t in acc.values()], "_s": [t[1].tolist() for t in acc.values()]})
+
+    schema = "".join(f"`{c}` {work.schema[c].dataType.simpleString()}, " for c in k) + "_w array<double>, _s array<double>"
+    parts = work.mapInPandas(add, schema).select(*k, F.posexplode(F.arrays_zip("_w", "_s")).alias("replicate", "_p"))
+    rep = parts.groupBy(*k, "replicate").agg((F.sum("_p._s") / F.sum("_p._w")).alias("mae"), F.sum("_p._w").alias("_n")).where("_n > 0")
     # One value per replicate: the groups here hold `replicates` rows at most.
-    return rep.groupBy(*keys).agg(F.percentile("mae", 0.025).alias("mae_ci_low"), F.percentile("mae", 0.975).alias("mae_ci_high"))
+    return rep.groupBy(*k).agg(F.percentile("mae", 0.025).alias("mae_ci_low"), F.percentile("mae", 0.975).alias("mae_ci_high"))
 
 
 def safe_slope(y: str, x: str, minimum: int = 3) -> Column:

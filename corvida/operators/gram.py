@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import dot
+from corvida.functions.columns import dot, finite
 
 EXPRESSION_LIMIT = 24
 MAX_FEATURES = 4000
@@ -104,6 +104,8 @@ class Gram:
                 beta[j] = new
             if biggest < tol * max(1.0, np.abs(beta).max()):
                 break
+        else:
+            raise ArithmeticError(f"coordinate descent has not settled after {rounds} rounds: raise rounds or tol")
         return self._raw(beta, sd)
 
     def pls1(self, components: int) -> LinearModel:
@@ -157,13 +159,14 @@ def grams(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[st
     cols = [*features, target]
     if len(cols) > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} columns: select descriptors first")
+    # One row rule for every size: a row with a NULL, NaN or infinity in any column is left out.
+    df = df.where(F.reduce(F.array(*[F.coalesce(finite(F.col(c).cast("double")).isNotNull(), F.lit(False)) for c in cols]), F.lit(True), lambda a, b: a & b))
     shift = column_means(df, cols) if shift is None else shift
     p1 = len(cols)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     if p1 <= EXPRESSION_LIMIT:
         z = {f"_z{i}": (F.col(c) - F.lit(float(shift[i]))) for i, c in enumerate(cols)}
-        d = df.select(*keys, w.alias("_w"), *[e.alias(n) for n, e in z.items()]).where(
-            F.reduce(F.array(*[F.col(n).isNotNull() for n in z]), F.lit(True), lambda a, b: a & b))
+        d = df.select(*keys, w.alias("_w"), *[e.alias(n) for n, e in z.items()])
         aggs = [F.sum("_w").alias("n")]
         aggs += [F.sum(F.col("_w") * F.col(f"_z{i}")).alias(f"s{i}") for i in range(p1)]
         aggs += [F.sum(F.col("_w") * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"q{i}_{j}") for i in range(p1) for j in range(i, p1)]
@@ -187,8 +190,7 @@ def grams(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[st
             for name, g in groups:
                 name = name if isinstance(name, tuple) else (name,)
                 x = np.vstack(g["_x"].to_numpy()).astype(float) - shift
-                ok = np.isfinite(x).all(axis=1)
-                x, wt = x[ok], g["_w"].to_numpy(float)[ok]
+                wt = g["_w"].to_numpy(float)
                 part = np.concatenate([[wt.sum()], wt @ x, ((x * wt[:, None]).T @ x).ravel()])
                 acc[name] = acc.get(name, 0) + part
         if acc:

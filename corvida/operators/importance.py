@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvida.functions.ranks import with_average_rank, with_position
 from corvida.operators.gram import LinearModel
 from corvida.operators.stats import correlation_matrix
+from corvida.operators.validation import shuffled_positions
 
 
 def coefficient_table(spark: SparkSession, m: LinearModel) -> DataFrame:
@@ -22,34 +23,27 @@ def native_table(spark: SparkSession, model, features: Sequence[str]) -> DataFra
     return spark.createDataFrame(rows, "descriptor string, importance double, absolute_importance double, method string")
 
 
-def permutation_importance(df: DataFrame, model: LinearModel, target: str, ident: str, repeats: int = 5, groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def permutation_importance(df: DataFrame, model: LinearModel, target: str, ident: str, repeats: int = 30, groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """RMSE increase when a descriptor (or a correlated group, moved together) comes from another row.
 
-    Rows swap values by moving dense positions i -> a*i + c mod n. A linear prediction changes
-    only by the moved columns' share, so one number per row and group travels in the join.
+    A linear prediction changes only by the moved columns' share, so one array of shares per row travels in the join,
+    once per repeat; the squared errors are summed per descriptor in the same pass.
     """
-    from math import gcd
-
     groups = groups or {f: [f] for f in model.features}
     coef = dict(zip(model.features, model.coef))
-    n = df.count()
     pos = with_position(df, [], ident, "_pos").withColumn("_res", F.col(target) - model.column())
-    part = F.explode(F.array(*[
-        F.struct(F.lit(g).alias("descriptor"), sum((F.lit(float(coef[c])) * F.col(c) for c in cols), F.lit(0.0)).alias("part")) for g, cols in groups.items()]))
-    steps = []
-    for j in range(repeats):
-        a = (n // 2 + 6151 * (j + 1)) % n or 1
-        while gcd(a, n) != 1:
-            a += 1
-        steps.append(F.struct(F.lit(j).alias("repeat"), F.lit(a).cast("bigint").alias("a"), F.lit((92821 * (j + 1)) % n).cast("bigint").alias("c")))
-    own = pos.select("_pos", "_res", part.alias("g")).select("_pos", "_res", "g.descriptor", F.col("g.part").alias("_own"))
-    moved = own.select("_pos", "descriptor", F.col("_own").alias("_other"), F.explode(F.array(*steps)).alias("s")).select(
-        F.pmod(F.col("_pos") * F.col("s.a") + F.col("s.c"), F.lit(n)).alias("_pos"), "descriptor", "_other", "s.repeat")
-    j = own.join(moved, ["_pos", "descriptor"])
-    e = F.col("_res") + F.col("_own") - F.col("_other")
-    rep = j.groupBy("descriptor", "repeat").agg((F.sqrt(F.avg(e * e)) - F.sqrt(F.avg(F.col("_res") * F.col("_res")))).alias("d"))
-    return rep.groupBy("descriptor").agg(F.avg("d").alias("importance_mean"), F.stddev_samp("d").alias("importance_std"),
-                                         F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0)).alias("positive_repeats_fraction"))
+    share = F.array(*[sum((F.lit(float(coef[c])) * F.col(c) for c in cols), F.lit(0.0)) for cols in groups.values()])
+    own = pos.select("_pos", "_res", share.alias("_own"))
+    moved = shuffled_positions(own.select("_pos", F.col("_own").alias("_other")), repeats, "repeat")
+    j = own.join(moved, "_pos")
+    sums = []
+    for i in range(len(groups)):
+        e = F.col("_res") + F.col("_own")[i] - F.col("_other")[i]
+        sums.append(F.avg(e * e).alias(f"m{i}"))
+    rep = j.groupBy("repeat").agg(F.avg(F.col("_res") * F.col("_res")).alias("m"), *sums)
+    rise = F.explode(F.array(*[F.struct(F.lit(g).alias("descriptor"), (F.sqrt(f"m{i}") - F.sqrt("m")).alias("d")) for i, g in enumerate(groups)]))
+    return rep.select(rise.alias("r")).groupBy(F.col("r.descriptor").alias("descriptor")).agg(
+        F.avg("r.d").alias("importance_mean"), F.stddev_pop("r.d").alias("importance_std"), F.avg(F.when(F.col("r.d") > 0, 1.0).otherwise(0.0)).alias("positive_repeats_fraction"))
 
 
 def correlation_groups(df: DataFrame, features: Sequence[str], ident: str, threshold: float = 0.9) -> list[list[str]]:

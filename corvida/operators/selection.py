@@ -31,23 +31,18 @@ def _chunk_anchors(x: np.ndarray, k: int) -> list[int]:
     return picked
 
 
-def farthest_first(df: DataFrame, features: Sequence[str], ident: str, k: int, rows_per_chunk: int = 50_000) -> DataFrame:
-    """k rows far apart in standardised space, in two rounds: every hash chunk proposes k anchors,
-    rounds repeat on the anchors until they fit one chunk, which then picks the final k."""
+def farthest_first(df: DataFrame, features: Sequence[str], ident: str, k: int, chunks: int = 64) -> DataFrame:
+    """k rows far apart in standardised space, in two rounds at every size: each of ``chunks`` hash chunks proposes k
+    anchors, and the final k come from at most chunks * k proposals. Raise ``chunks`` with the rows; it is part of the method."""
     g = grams(df.withColumn("_zero", F.lit(0.0)), features, "_zero")[()]
     z = F.array(*[(F.col(c) - float(g.mean[i])) / float(g.scales()[i]) for i, c in enumerate(features)])
     d = df.select(F.col(ident).alias("id"), z.alias("z"))
-    n = d.count()
-    size = max(rows_per_chunk, 4 * k)
     schema = d.schema
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         return pdf.iloc[_chunk_anchors(np.vstack(pdf["z"].to_numpy()), k)]
 
-    while True:
-        chunks = -(-n // size)
-        d = cut_lineage(d.withColumn("_c", F.pmod(F.xxhash64("id", F.lit(n)), F.lit(chunks))).groupBy("_c").applyInPandas(lambda p: pick(p[["id", "z"]]), schema))
-        if chunks == 1:
-            return d.select(F.col("id").alias(ident))
-        n = d.count()
+    for parts in (chunks, 1):
+        d = cut_lineage(d.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("_c").applyInPandas(lambda p: pick(p[["id", "z"]]), schema))
+    return d.select(F.col("id").alias(ident))

@@ -121,7 +121,7 @@ def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p_value(None if pd.isna(a) else float(a), int(b)) for a, b in zip(r, n)])
 
 
-def target_correlations(df: DataFrame, cols: Sequence[str], target: str, top: int | None = 40) -> DataFrame:
+def target_correlations(df: DataFrame, cols: Sequence[str], target: str, top: int | None = None) -> DataFrame:
     """Pearson and rank correlation of each descriptor with the target, strongest first."""
     base = df.select(*cols, F.col(target).cast("double").alias("_y")).where("_y IS NOT NULL")
     size = base.agg(F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in cols]).first()

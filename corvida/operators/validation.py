@@ -171,21 +171,20 @@ def bootstrap_oob(df: DataFrame, features, target: str, ident: str, replicates:
     return [{"replicate": b, **g[(b, True)].scores(g[(b, False)].ridge(alpha))} for b in range(replicates) if (b, True) in g and (b, False) in g]
 
 
-def permuted_target(df: DataFrame, ident: str, target: str, permutations: int) -> DataFrame:
-    """(permutation, row columns with the target of another row): positions move by i -> a*i + c mod n."""
-    from math import gcd
+def shuffled_positions(rows: DataFrame, times: int, number: str) -> DataFrame:
+    """Every row once per ``number`` (0 to times - 1), with ``_pos`` replaced by its place in that shuffle.
+
+    The hash is one-to-one below its prime, so the order has no ties there; the place is a distributed rank.
+    """
+    d = rows.withColumn(number, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    d = d.withColumn("_h", portable_hash("_pos", F.col(number) + 5003))
+    return with_position(d, [number], "_h", "_to").drop("_pos", "_h").withColumnRenamed("_to", "_pos")
 
-    n = df.count()
+
+def permuted_target(df: DataFrame, ident: str, target: str, permutations: int) -> DataFrame:
+    """(permutation, row columns with the target of another row): each permutation orders the positions by a salted hash."""
     pos = with_position(df, [], ident, "_pos")
-    steps = []
-    for j in range(permutations):
-        a = (2 * n // 3 + 7919 * (j + 1)) % n or 1
-        while gcd(a, n) != 1:
-            a += 1
-        steps.append((j, a, (104729 * (j + 1)) % n))
-    s = F.explode(F.array(*[F.struct(F.lit(j).alias("permutation"), F.lit(a).cast("bigint").alias("a"), F.lit(c).cast("bigint").alias("c")) for j, a, c in steps])).alias("_s")
-    y = pos.select("_pos", F.col(target).alias("_y"), s).select(
-        "_s.permutation", F.pmod(F.col("_pos") * F.col("_s.a") + F.col("_s.c"), F.lit(n)).alias("_pos"), "_y")
+    y = shuffled_positions(pos.select("_pos", F.col(target).alias("_y")), permutations, "permutation")
     return pos.drop(target).join(y, "_pos").withColumnRenamed("_y", target).drop("_pos")
 
 

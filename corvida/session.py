@@ -38,5 +38,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="corvida-checkpoint-")
+            folder = sc._jvm.org.apache.hadoop.fs.Path(shared)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

@@ -20,8 +20,8 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sniff_format(text) -> Column:
-    """Format by content of the first 5000 characters (extensions are not trusted)."""
-    head = F.substring(col(text), 1, 5000)
+    """Format by content of the whole text (extensions are not trusted)."""
+    head = col(text)
     up = F.upper(head)
     has = lambda w: F.contains(up, F.lit(w))
     return (F.when(F.ltrim(head).rlike(r"^[\{\[]"), "MASSBANK_JSON").when(has("##TITLE") | has("##XYDATA") | has("##PEAK TABLE"), "JCAMP_DX")

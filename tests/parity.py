@@ -65,7 +65,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     sf = sys.argv[1]
     pats = sys.argv[2:]
-    spark = get_session("local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g",
+    spark = get_session("local[4]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g",
                         spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__autoBroadcastJoinThreshold="10MB")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)

@@ -217,33 +217,59 @@ def prj17(spark, sf):
                                        F.countDistinct("bank_key").alias("distinct_keys"))
 
 
-# A positional pattern per part: "2-red; 3-ring" built from its size and name.
-PATTERN = "CAST(p_size % 3 AS STRING) || '-' || substring_index(p_name, ' ', 1) || '; ' || CAST(p_size % 5 AS STRING) || '-' || substring_index(p_name, ' ', -1)"
-PATTERN_SQL = "CAST(p_size % 3 AS VARCHAR) || '-' || string_split(p_name, ' ')[1] || '; ' || CAST(p_size % 5 AS VARCHAR) || '-' || string_split(p_name, ' ')[-1]"
-
-
-@query("prj20_pattern_labels", f"""WITH p AS (SELECT {PATTERN_SQL} AS pattern, list_sort(string_split(p_name, ' ')) AS names FROM part)
-SELECT pattern, array_to_string(names, '+') AS family, CASE WHEN names[1] = names[-1] THEN names[1] ELSE 'mixed' END AS broad, count(*) AS n
-FROM p GROUP BY ALL""")
+# Substituents of a part: none to six, of three kinds (mostly methyl), at positions made from its key.
+SUBS = """transform(sequence(1, 6), i -> named_struct('position', CAST((p_partkey + i * p_size) % 4 + 1 AS INT), 'name',
+ CASE WHEN p_size % 5 < 2 THEN 'methyl' WHEN (p_partkey + i) % 4 = 0 THEN 'ethyl' WHEN (p_size + i) % 6 = 0 THEN 'propyl' WHEN p_size % 5 = 2 THEN 'ethyl' ELSE 'methyl' END))"""
+SUBS_SQL = """ps AS (SELECT p_partkey, p_size, p_partkey % 7 AS len, list_transform(range(1, p_partkey % 7 + 1), lambda i: {'position': CAST((p_partkey + i * p_size) % 4 + 1 AS INTEGER), 'name':
+ CASE WHEN p_size % 5 < 2 THEN 'methyl' WHEN (p_partkey + i) % 4 = 0 THEN 'ethyl' WHEN (p_size + i) % 6 = 0 THEN 'propyl' WHEN p_size % 5 = 2 THEN 'ethyl' ELSE 'methyl' END}) AS subs FROM part)"""
+
+
+def part_substituents(spark, sf):
+    d = table(spark, sf, "part").select("p_partkey", "p_size", F.expr(SUBS).alias("every"))
+    return d.select("p_partkey", "p_size", F.expr("slice(every, 1, CAST(p_partkey % 7 AS INT))").alias("subs"))
+
+
+PATTERN_SQL = f"""{SUBS_SQL}, pt AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'n-alkane' WHEN p_size % 11 = 0 THEN 'cyclo' ELSE array_to_string(list_transform(subs, lambda s: s.position || '-' || s.name), '; ') END AS pattern FROM ps),
+k AS (SELECT *, CASE WHEN pattern = '' THEN [] ELSE string_split(pattern, '; ') END AS items FROM pt),
+n AS (SELECT *, list_transform(items, lambda p: regexp_replace(p, '^[^-]*-', '')) AS names, list_transform(list_filter(items, lambda p: contains(p, '-')), lambda p: regexp_replace(p, '^[^-]*-', '')) AS hy,
+      array_to_string(list_transform(items, lambda p: string_split(p, '-')[1]), ',') AS places FROM k),
+c AS (SELECT *, len(names) AS t, len(list_filter(names, lambda x: x = 'methyl')) AS m, len(list_filter(names, lambda x: x = 'ethyl')) AS e, len(list_filter(hy, lambda x: x = 'methyl')) AS hm, len(list_filter(hy, lambda x: x = 'ethyl')) AS he FROM n)"""
+
+
+@query("prj20_pattern_labels", f"""WITH {PATTERN_SQL}
+SELECT pattern, array_to_string(list_sort(list_transform(items, lambda p: regexp_replace(p, '^[0-9,]+-', ''))), '+') AS family,
+ CASE WHEN pattern = '' THEN 'other / unclassified' WHEN pattern = 'n-alkane' THEN 'n-alkanes' WHEN m = t AND t = 1 THEN 'methylalkanes' WHEN m = t AND t = 2 THEN 'dimethylalkanes'
+      WHEN m = t AND t = 3 THEN 'trimethylalkanes' WHEN m = t AND t = 4 THEN 'tetramethylalkanes' WHEN m = 0 AND e > 0 THEN 'ethyl-substituted alkanes'
+      WHEN m + e > 0 THEN 'mixed-substituted alkanes' ELSE 'other / unclassified' END AS broad,
+ CASE WHEN pattern = '' THEN 'unclassified' WHEN pattern = 'n-alkane' THEN 'n-alkanes'
+      WHEN len(hy) > 0 AND hm = len(hy) THEN places || '-' || coalesce(['', 'di', 'tri', 'tetra', 'penta', 'hexa'][len(hy)], len(hy) || '-') || 'methylalkanes'
+      WHEN len(hy) > 0 AND he = len(hy) THEN places || '-' || CASE WHEN len(hy) = 1 THEN '' ELSE len(hy) || '-' END || 'ethylalkanes'
+      ELSE replace(pattern, '; ', ',') || '-substituted alkanes' END AS exact, count(*) AS n
+FROM c GROUP BY ALL""")
 def prj20(spark, sf):
-    p = table(spark, sf, "part").selectExpr(f"{PATTERN} AS pattern")
-    return p.groupBy("pattern", labels.pattern_family("pattern").alias("family"),
-                     labels.broad_series("pattern").alias("broad")).agg(F.count("*").alias("n"))
-
-
-@query("prj21_scheme_labels", """WITH s AS (SELECT p_partkey, p_size % 4 AS a, p_size % 3 AS b FROM part),
-o AS (SELECT p_partkey, CASE WHEN least(a + 1, b + 1) <= least(6 - a - 1, 6 - b - 1) THEN 0 ELSE 1 END AS dummy,
-      [least(a + 1, b + 1), greatest(a + 1, b + 1)] AS f, [least(5 - a, 5 - b), greatest(5 - a, 5 - b)] AS v FROM s),
-c AS (SELECT p_partkey, CASE WHEN f <= v THEN f ELSE v END AS q FROM o)
-SELECT p_partkey, 'methyl@' || q[1] || ';methyl@' || q[2] AS scheme, q[1] || ',' || q[2] || '-dimethyl' AS condensed,
-       q[1] || ',' || q[2] || '-dimethylalkanes' AS series FROM c""")
+    text = F.array_join(F.transform("subs", lambda s: F.concat(s["position"].cast("string"), F.lit("-"), s["name"])), "; ")
+    p = part_substituents(spark, sf).select(F.when(F.col("p_size") % 9 == 0, "n-alkane").when(F.col("p_size") % 11 == 0, "cyclo").otherwise(text).alias("pattern"))
+    return p.groupBy("pattern", labels.pattern_family("pattern").alias("family"), labels.broad_series("pattern").alias("broad"),
+                     labels.exact_series("pattern").alias("exact")).agg(F.count("*").alias("n"))
+
+
+@query("prj21_scheme_labels", f"""WITH {SUBS_SQL}, o AS (SELECT p_partkey, list_sort(subs) AS f, list_sort(list_transform(subs, lambda s: {{'position': 6 - s.position, 'name': s.name}})) AS v FROM ps),
+q AS (SELECT p_partkey, CASE WHEN f <= v THEN f ELSE v END AS s FROM o),
+u AS (SELECT p_partkey, s, unnest(list_sort(list_distinct(list_transform(s, lambda x: x.name)))) AS kind FROM q),
+i AS (SELECT p_partkey, kind, list_transform(list_filter(s, lambda x: x.name = kind), lambda x: x.position) AS spot FROM u),
+cl AS (SELECT p_partkey, string_agg(array_to_string(spot, ',') || '-' || CASE len(spot) WHEN 1 THEN '' WHEN 2 THEN 'di' WHEN 3 THEN 'tri' WHEN 4 THEN 'tetra' ELSE len(spot) || '-' END || kind, '-' ORDER BY kind) AS condensed FROM i GROUP BY 1),
+g AS (SELECT p_partkey, s, len(s) AS t, len(list_filter(s, lambda x: x.name = 'methyl')) AS m, len(list_filter(s, lambda x: x.name = 'ethyl')) AS e, array_to_string(list_transform(s, lambda x: x.position), ',') AS spots FROM q)
+SELECT p_partkey, CASE WHEN t = 0 THEN 'none' ELSE array_to_string(list_transform(s, lambda x: x.name || '@' || x.position), ';') END AS scheme, coalesce(condensed, '') AS condensed,
+ CASE WHEN t = 0 THEN 'n-alkanes' ELSE condensed || 'alkanes' END AS series,
+ CASE WHEN t = 0 THEN 'n-alkanes' WHEN e > 0 AND m > 0 THEN 'ethyl-methyl alkanes' WHEN e > 0 THEN 'ethyl-substituted alkanes'
+      WHEN m = 1 AND t = 1 THEN CASE WHEN spots IN ('2', '3', '4') THEN spots || '-' ELSE '' END || 'methylalkanes'
+      WHEN m = 2 AND t = 2 THEN CASE WHEN spots IN ('2,2', '2,3', '2,4', '3,3') THEN spots || '-' ELSE '' END || 'dimethylalkanes'
+      WHEN m = 3 AND t = 3 THEN 'trimethylalkanes' WHEN m = 4 AND t = 4 THEN 'tetramethylalkanes' WHEN t >= 4 THEN 'highly-branched alkanes' ELSE 'branched alkanes' END AS family
+FROM g LEFT JOIN cl USING (p_partkey)""")
 def prj21(spark, sf):
-    d = table(spark, sf, "part").selectExpr(
-        "p_partkey", "array(named_struct('position', p_size % 4 + 1, 'name', 'methyl'), "
-        "named_struct('position', p_size % 3 + 1, 'name', 'methyl')) AS raw")
-    d = d.withColumn("subs", labels.oriented("raw", F.lit(5)))
-    return d.select("p_partkey", labels.scheme_label("subs").alias("scheme"),
-                    labels.condensed_label("subs").alias("condensed"), labels.series_label("subs").alias("series"))
+    d = part_substituents(spark, sf).withColumn("subs", labels.oriented("subs", F.lit(5)))
+    return d.select("p_partkey", labels.scheme_label("subs").alias("scheme"), labels.condensed_label("subs").alias("condensed"),
+                    labels.series_label("subs").alias("series"), labels.series_family("subs").alias("family"))
 
 
 @query("prj22_score_bands", """WITH s AS (SELECT l_discount * 80 AS score, l_discount * 10 AS share FROM lineitem)

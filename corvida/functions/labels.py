@@ -129,15 +129,63 @@ def pattern_family(pattern) -> Column:
     return F.array_join(F.array_sort(names), "+")
 
 
-def broad_series(pattern) -> Column:
-    """Family of the single substituent, ``mixed`` for several kinds, ``unsubstituted`` for none."""
-    names = F.array_distinct(F.transform(pattern_items(pattern), lambda p: F.regexp_replace(p, r"^[0-9,]+-", "")))
-    return (F.when(F.size(names) == 0, "unsubstituted").when(F.size(names) == 1, F.element_at(names, 1))
-            .otherwise("mixed"))
+# Multiplying prefixes in condensed labels and in exact methyl labels, and the series names by number of methyl groups.
+MULTIPLIERS = {2: "di", 3: "tri", 4: "tetra"}
+METHYL_MULTIPLIERS = {1: "", 2: "di", 3: "tri", 4: "tetra", 5: "penta", 6: "hexa"}
+METHYL_SERIES = {1: "methylalkanes", 2: "dimethylalkanes", 3: "trimethylalkanes", 4: "tetramethylalkanes"}
+# Position lists that have a series of their own.
+OWN_SERIES = ("2-methylalkanes", "3-methylalkanes", "4-methylalkanes", "2,2-dimethylalkanes", "2,3-dimethylalkanes", "2,4-dimethylalkanes", "3,3-dimethylalkanes")
+
+
+def _split_items(pattern) -> tuple[Column, Column]:
+    """(positions, names) of the items; an item without a hyphen is a name for the broad series and a position for the exact one."""
+    items = pattern_items(pattern)
+    at = F.filter(F.transform(items, lambda p: F.trim(F.substring_index(p, "-", 1))), lambda p: p != "")
+    names = F.transform(items, lambda p: F.when(F.contains(p, F.lit("-")), F.trim(F.regexp_replace(p, r"^[^-]*-", ""))).otherwise(p))
+    return at, names
 
 
-# Multiplying prefixes of substituent names.
-MULTIPLIERS = {2: "di", 3: "tri", 4: "tetra", 5: "penta", 6: "hexa"}
+def broad_series(pattern) -> Column:
+    """Series by the kinds of substituents, whatever their positions."""
+    text = F.coalesce(F.trim(col(pattern)), F.lit(""))
+    _, names = _split_items(text)
+    total = F.size(names)
+    methyl, ethyl = F.size(F.filter(names, lambda n: n == "methyl")), F.size(F.filter(names, lambda n: n == "ethyl"))
+    mixed = F.lit("mixed-substituted alkanes")
+    return (F.when(text == "", "other / unclassified").when(text == "n-alkane", "n-alkanes")
+            .when(methyl == total, F.coalesce(case_map(total, METHYL_SERIES), mixed))
+            .when((ethyl > 0) & (methyl == 0), "ethyl-substituted alkanes").when(ethyl + methyl > 0, mixed).otherwise("other / unclassified"))
+
+
+def exact_series(pattern) -> Column:
+    """Series by kinds and positions: ``2,3-dimethylalkanes``, ``3-ethylalkanes``, or the pattern itself."""
+    text = F.coalesce(F.trim(col(pattern)), F.lit(""))
+    at, _ = _split_items(text)
+    named = F.filter(pattern_items(text), lambda p: p.rlike("-.*[^ ]"))
+    names = F.transform(named, lambda p: F.trim(F.regexp_replace(p, r"^[^-]*-", "")))
+    n, places = F.size(names), F.concat(F.array_join(at, ","), F.lit("-"))
+
+    def only(word):
+        return (n > 0) & F.forall(names, lambda x: x == word)
+
+    plain_count = F.concat(n.cast("string"), F.lit("-"))
+    return (F.when(text == "", "unclassified").when(text == "n-alkane", "n-alkanes")
+            .when(only("methyl"), F.concat(places, F.coalesce(case_map(n, METHYL_MULTIPLIERS), plain_count), F.lit("methylalkanes")))
+            .when(only("ethyl"), F.concat(places, F.when(n == 1, "").otherwise(plain_count), F.lit("ethylalkanes")))
+            .otherwise(F.concat(F.replace(text, F.lit("; "), F.lit(",")), F.lit("-substituted alkanes"))))
+
+
+def series_family(subs) -> Column:
+    """Series name of a substituted chain as used for ordering: common methyl positions by name, others by kind and number."""
+    s = _ordered(col(subs))
+    total = F.size(s)
+    methyl, ethyl = F.filter(s, lambda x: x["name"] == "methyl"), F.filter(s, lambda x: x["name"] == "ethyl")
+    some_methyl, some_ethyl = F.size(methyl) > 0, F.size(ethyl) > 0
+    by_number = case_map(F.when(F.size(methyl) == total, total), METHYL_SERIES)
+    placed = F.concat(F.array_join(F.transform(methyl, lambda x: x["position"].cast("string")), ","), F.lit("-"), by_number)
+    return (F.when(total == 0, "n-alkanes").when(some_ethyl & some_methyl, "ethyl-methyl alkanes").when(some_ethyl, "ethyl-substituted alkanes")
+            .when(placed.isin(*OWN_SERIES), placed).when(by_number.isNotNull(), by_number)
+            .when(total >= 4, "highly-branched alkanes").otherwise("branched alkanes"))
 
 
 def _ordered(subs: Column) -> Column:
@@ -165,9 +213,8 @@ def condensed_label(subs) -> Column:
 
     def item(name):
         pos = F.transform(F.filter(s, lambda x: x["name"] == name), lambda x: x["position"].cast("string"))
-        prefix = F.lit("")
-        for k, word in MULTIPLIERS.items():
-            prefix = F.when(F.size(pos) == k, word).otherwise(prefix)
+        count = F.size(pos)
+        prefix = F.when(count == 1, "").otherwise(F.coalesce(case_map(count, MULTIPLIERS), F.concat(count.cast("string"), F.lit("-"))))
         return F.concat(F.array_join(pos, ","), F.lit("-"), prefix, name)
 
     return F.array_join(F.transform(names, item), "-")

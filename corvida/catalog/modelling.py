@@ -159,9 +159,15 @@ def val10(spark, sf):
     return rounded(spark.createDataFrame(validation.bootstrap_oob(order_matrix(spark, sf), X, "y", "row_id", replicates=5)).select("replicate", "n", "rmse", "r2"), 5, rmse=3)
 
 
-@query("val11_y_randomization")
+@query("val11_y_randomization", f"""WITH {ORDERS_SQL}, ps AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM om),
+sh AS (SELECT k, y AS yk, row_number() OVER (PARTITION BY k ORDER BY {portable_hash_sql('pos', 'k + 5003')}) - 1 AS spot FROM ps, range(20) t(k)),
+dd AS (SELECT -1 AS k, row_id, x1, x2, y, {fold_sql('row_id', 5)} AS fold FROM ps UNION ALL SELECT k, row_id, x1, x2, yk, {fold_sql('row_id', 5)} FROM ps JOIN sh ON pos = spot),
+tr AS (SELECT f, dd.* FROM dd, range(5) q(f) WHERE fold <> f), {ridge_sql('md', 'tr', 'k, f')},
+oof AS (SELECT dd.k, y, {PRED} AS p FROM dd JOIN md ON md.k = dd.k AND md.f = dd.fold), sc AS (SELECT k, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS q FROM oof GROUP BY k),
+re AS (SELECT q AS q2 FROM sc WHERE k = -1)
+SELECT {r('any_value(q2)', 6, 'q2')}, {r('avg(q)', 6, 'permuted_mean')}, {r('max(q)', 6, 'permuted_max')}, {r('(1 + count(*) FILTER (WHERE q >= q2)) / 21.0', 6, 'p_value')} FROM sc, re WHERE k >= 0""")
 def val11(spark, sf):
-    res = validation.y_randomization(lines(spark, sf).dropDuplicates(["row_id"]), ["x1", "x5"], "y", "row_id", permutations=5)
+    res = validation.y_randomization(order_matrix(spark, sf), X, "y", "row_id", permutations=20)
     return rounded(spark.createDataFrame([(res["q2"], res["permuted_mean"], res["permuted_max"], res["p_value"])], "q2 double, permuted_mean double, permuted_max double, p_value double"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvida.catalog.banks import _scratch
 from corvida.catalog.modelling import PRED, X, customer_matrix, embeddings, ridge_sql
 from corvida.catalog.registry import LINES_SQL, ORDERS_SQL, lines, order_matrix, query, r, rounded, table
+from corvida.functions.columns import portable_hash_sql
 from corvida.operators import bank, importance, models, selection, stats, validation
 from corvida.operators.gram import grams
 from corvida.plans import flows
@@ -154,22 +155,38 @@ def prd2(spark, sf):
     return rounded(spark.read.parquet(f"{path}/model").select("descriptor", "coefficient", "median"), 4)
 
 
-@query("imp2_permutation_importance")
+# Shuffles order the positions by the salted hash; a group of descriptors moves together.
+SHUFFLE_SQL = f"""{ORDERS_SQL}, {ridge_sql('m', 'om')}, ps AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM om),
+ev AS (SELECT pos, y - ({PRED}) AS res, b1 * x1 AS s1, b2 * x2 AS s2 FROM ps, m),
+sh AS (SELECT k, s1 AS o1, s2 AS o2, row_number() OVER (PARTITION BY k ORDER BY {portable_hash_sql('pos', 'k + 5003')}) - 1 AS spot FROM ev, range(30) t(k)),
+ch AS (SELECT k, res, s1 - o1 AS d1, s2 - o2 AS d2 FROM ev JOIN sh ON pos = spot),
+rs AS (SELECT k, sqrt(avg((res + d1) * (res + d1))) - sqrt(avg(res * res)) AS r1, sqrt(avg((res + d2) * (res + d2))) - sqrt(avg(res * res)) AS r2, sqrt(avg((res + d1 + d2) * (res + d1 + d2))) - sqrt(avg(res * res)) AS r12 FROM ch GROUP BY k)"""
+
+
+def rise_sql(name: str, column: str) -> str:
+    return f"""SELECT '{name}' AS descriptor, {r(f'avg({column})', 3, 'importance_mean')}, {r(f'stddev_pop({column})', 3, 'importance_std')}, {r(f'avg(CASE WHEN {column} > 0 THEN 1.0 ELSE 0.0 END)', 3, 'positive_repeats_fraction')} FROM rs"""
+
+
+@query("imp2_permutation_importance", f"WITH {SHUFFLE_SQL} {rise_sql('x1', 'r1')} UNION ALL {rise_sql('x2', 'r2')}")
 def imp2(spark, sf):
     d = order_matrix(spark, sf)
-    return importance.permutation_importance(d, grams(d, ["x1", "x2", "x3"], "y")[()].ridge(1.0), "y", "row_id")
+    return rounded(importance.permutation_importance(d, grams(d, X, "y")[()].ridge(1.0), "y", "row_id"), 3)
+
+
+RANK_SQL = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {n}" for c, n in (("x1", "ra"), ("x1 * x1", "rb"), ("x5", "rc")))
 
 
-@query("imp3_correlated_groups", "SELECT unnest(['x1, x1b', 'x5']) AS members FROM (SELECT count(*) FROM part)")
+@query("imp3_correlated_groups", f"""WITH {LINES_SQL}, rk AS (SELECT {RANK_SQL} FROM lines), co AS (SELECT abs(corr(ra, rb)) >= 0.9 AS ab, abs(corr(ra, rc)) >= 0.9 AS ac, abs(corr(rb, rc)) >= 0.9 AS bc FROM rk)
+SELECT unnest(CASE WHEN (ab AND ac) OR (ab AND bc) OR (ac AND bc) THEN ['x1, x1b, x5'] WHEN ab THEN ['x1, x1b', 'x5'] WHEN ac THEN ['x1, x5', 'x1b'] WHEN bc THEN ['x1', 'x1b, x5'] ELSE ['x1', 'x1b', 'x5'] END) AS members FROM co""")
 def imp3(spark, sf):
     d = lines(spark, sf).withColumn("x1b", F.col("x1") * F.col("x1"))
     return spark.createDataFrame([(", ".join(g),) for g in importance.correlation_groups(d, ["x1", "x5", "x1b"], "row_id")], "members string")
 
 
-@query("imp4_grouped_permutation")
+@query("imp4_grouped_permutation", f"WITH {SHUFFLE_SQL} {rise_sql('g1', 'r12')} UNION ALL {rise_sql('g2', 'r2')}")
 def imp4(spark, sf):
     d = order_matrix(spark, sf)
-    return importance.permutation_importance(d, grams(d, ["x1", "x2", "x3"], "y")[()].ridge(1.0), "y", "row_id", groups={"g1": ["x1", "x3"], "g2": ["x2"]})
+    return rounded(importance.permutation_importance(d, grams(d, X, "y")[()].ridge(1.0), "y", "row_id", groups={"g1": ["x1", "x2"], "g2": ["x2"]}), 3)
 
 
 IMP_SQL = f"""{ridge_sql('m', 'lines')}, co AS (SELECT unnest(['x1', 'x2']) AS descriptor, unnest([abs(b1), abs(b2)]) AS c FROM m), lin AS (SELECT 'x1' AS descriptor, avg(abs(b1 * (x1 - mu))) AS s FROM lines, m, (SELECT avg(x1) AS mu FROM lines) UNION ALL SELECT 'x2', avg(abs(b2 * (x2 - mu))) FROM lines, m, (SELECT avg(x2) AS mu FROM lines)),

@@ -151,6 +151,26 @@ def win10(spark, sf):
     return bank.journal_decision(journal(spark, sf), "nist")
 
 
+# Requests carry two identities; the second one counts where the journal has no row for the first.
+JR2 = f"jq AS (SELECT CASE WHEN user_id % 3 = 0 THEN '' ELSE 'K' || user_id END AS ik, 'S' || user_id % 50 AS cs, {STATUS} AS status, CASE WHEN event_id % 4 = 0 THEN '' WHEN user_id % 2 = 0 THEN 'nist|mona' ELSE 'nist' END AS sk0, CASE WHEN user_id % 2 = 0 THEN 'nist | mona' ELSE 'nist' END AS ss, event_id FROM events)"
+
+
+def decided_sql(key: str) -> str:
+    return f"SELECT {key} AS id, max(status = 'found_downloaded') AS p, max(status = 'search_error') AS e, max(status = 'not_found' AND sk = 'nist') AS n FROM jn WHERE {key} <> '' GROUP BY 1"
+
+
+@query("win10_journal_two_identities", f"""WITH {JR2}, jn AS (SELECT *, CASE WHEN sk0 = '' THEN replace(ss, ' | ', '|') ELSE sk0 END AS sk FROM jq), d1 AS ({decided_sql('ik')}), d2 AS ({decided_sql('cs')}),
+rq AS (SELECT c_custkey AS request, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'K' || c_custkey END AS ik, 'S' || c_custkey % 60 AS cs FROM customer),
+j AS (SELECT request, CASE WHEN d1.id IS NOT NULL THEN 'first' WHEN d2.id IS NOT NULL THEN 'second' ELSE 'none' END AS matched_by, CASE WHEN d1.id IS NOT NULL THEN d1.p ELSE d2.p END AS p, CASE WHEN d1.id IS NOT NULL THEN d1.e ELSE d2.e END AS e, CASE WHEN d1.id IS NOT NULL THEN d1.n ELSE d2.n END AS n
+ FROM rq LEFT JOIN d1 ON rq.ik = d1.id LEFT JOIN d2 ON rq.cs = d2.id)
+SELECT request, matched_by, CASE WHEN p THEN 'use_positive' WHEN e THEN 'search_again' WHEN n THEN 'use_negative' ELSE 'search_again' END AS decision, CASE WHEN p THEN 'found_downloaded' WHEN NOT e AND n THEN 'not_found' END AS status FROM j""")
+def win10_two(spark, sf):
+    j = events(spark, sf).selectExpr("CASE WHEN user_id % 3 = 0 THEN '' ELSE 'K' || user_id END AS ik", "'S' || user_id % 50 AS cs", "'IR' AS spectrum_type", f"{STATUS} AS status",
+                                     "CASE WHEN event_id % 4 = 0 THEN '' WHEN user_id % 2 = 0 THEN 'nist|mona' ELSE 'nist' END AS sources_key", "CASE WHEN user_id % 2 = 0 THEN 'nist | mona' ELSE 'nist' END AS selected_sources", "event_id AS ts")
+    rq = table(spark, sf, "customer").selectExpr("c_custkey AS request", "CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'K' || c_custkey END AS ik", "'S' || c_custkey % 60 AS cs", "'IR' AS spectrum_type")
+    return bank.journal_lookup(rq, j, "nist", "ik", "cs").select("request", "matched_by", "decision", "status")
+
+
 @query("agg29_not_found_table", f"""WITH {JR}, l AS (SELECT key, source, max_by(status, event_id) AS s FROM jr GROUP BY 1, 2) SELECT key, max(s) FILTER (source = 'click') AS click, max(s) FILTER (source = 'view') AS view, string_agg(source, '; ' ORDER BY source) AS checked_sources,
  count(*) FILTER (s = 'not_found') AS total_not_found, count(*) FILTER (s = 'search_error') AS total_errors, CAST(0 AS BIGINT) AS total_candidates FROM l GROUP BY 1""")
 def agg29(spark, sf):
@@ -191,12 +211,13 @@ def join17(spark, sf):
     return bank.scope_match(d, cards, "p_partkey").select("p_partkey", "model_id", "applicability")
 
 
-@query("top6_best_mass_candidate", """WITH s AS (SELECT user_id, 'A' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS accession, CAST(floor(value) AS INTEGER) AS pk, CASE WHEN event_type = 'click' THEN 1000 WHEN event_type = 'error' THEN -5000 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN -500 ELSE 300 END + CASE WHEN event_id % 2 = 0 THEN 150 ELSE -150 END + 200 + 150 AS b FROM events),
+@query("top6_best_mass_candidate", """WITH s AS (SELECT user_id, 'A' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS accession, CAST(floor(value) AS INTEGER) AS pk, CASE WHEN event_type = 'click' THEN 1000 WHEN event_type = 'error' THEN -5000 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN -500 ELSE 300 END + CASE WHEN event_id % 2 = 0 THEN 150 ELSE -150 END + 200 + 150 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE user_id % 10 * 100 + event_id % 5 END AS b FROM events),
 z AS (SELECT *, b + CASE WHEN pk <= 0 THEN -10000 ELSE 0 END + least(pk, 200) * 0.5 AS score FROM s) SELECT user_id, max_by(accession, (score, pk, accession)) AS accession, CAST(max(score) AS DOUBLE) AS score FROM z GROUP BY 1""")
 def top6(spark, sf):
     d = events(spark, sf).selectExpr("user_id", "'A' || lpad(CAST(event_id AS STRING), 9, '0') AS accession", "CAST(floor(value) AS INT) AS peak_count", "CASE event_type WHEN 'click' THEN 'exact_inchikey' WHEN 'error' THEN 'mismatch!' ELSE 'x' END AS confidence_level",
                                      "CASE WHEN event_id % 3 = 0 THEN 'MS2' ELSE 'ms1' END AS ms_level", "CASE WHEN event_id % 2 = 0 THEN 'positive' ELSE 'neg' END AS ionization_mode", "'EI-quad' AS instrument", "'MassBank' AS source_database", "'MoNA' AS source", "'' AS source_url")
     d = d.withColumn("instrument", F.lit("GC-EI"))
+    d = d.withColumn("candidate_score", F.expr("CASE WHEN CAST(substr(accession, 2) AS BIGINT) % 7 = 0 THEN NULL ELSE user_id % 10 * 100 + CAST(substr(accession, 2) AS BIGINT) % 5 END"))
     return bank.best_mass_candidate(d, "user_id")
 
 
@@ -306,11 +327,22 @@ def spc9(spark, sf):
     return spectra.describe(todo, "sid", LO, HI, STEP, bit_width=2, band_width=6).select("sid")
 
 
-@query("prd5_geometry", f"""WITH p AS (SELECT l_orderkey AS k, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem), c AS (SELECT k, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY 1), d AS (SELECT p.*, sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) AS r FROM p JOIN c USING (k))
-SELECT k, count(*) AS n, {r('sqrt(avg(r * r))', 6, 'radius_gyration')}, {r('max(r)', 6, 'max_centroid_distance')}, {r('avg(r)', 6, 'mean_centroid_distance')}, {r('stddev_pop(r)', 6, 'std_centroid_distance')}, {r('covar_samp(x, x)', 6, 'cov_xx')}, {r('covar_samp(x, y)', 6, 'cov_xy')}, {r('covar_samp(x, z)', 6, 'cov_xz')}, {r('covar_samp(y, y)', 6, 'cov_yy')}, {r('covar_samp(y, z)', 6, 'cov_yz')}, {r('covar_samp(z, z)', 6, 'cov_zz')} FROM d GROUP BY 1""")
+MOMENT_SQL = """q3 AS (SELECT *, (cov_xx + cov_yy + cov_zz) / 3 AS q FROM gm), p3 AS (SELECT *, sqrt(((cov_xx - q) * (cov_xx - q) + (cov_yy - q) * (cov_yy - q) + (cov_zz - q) * (cov_zz - q)
+ + 2 * (cov_xy * cov_xy + cov_xz * cov_xz + cov_yz * cov_yz)) / 6) AS p FROM q3),
+a3 AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(least(((cov_xx - q) * ((cov_yy - q) * (cov_zz - q) - cov_yz * cov_yz) - cov_xy * (cov_xy * (cov_zz - q) - cov_yz * cov_xz)
+ + cov_xz * (cov_xy * cov_yz - (cov_yy - q) * cov_xz)) / (2 * p * p * p), 1.0), -1.0)) / 3 WHEN p = 0 THEN 0.0 END AS angle FROM p3),
+e3 AS (SELECT *, q + 2 * p * cos(angle) AS l3, q + 2 * p * cos(angle + 2 * pi() / 3) AS l1 FROM a3), m3 AS (SELECT *, 3 * q - l3 - l1 AS l2 FROM e3)"""
+
+
+@query("prd5_geometry", f"""WITH p AS (SELECT l_orderkey AS k, l_linenumber AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS o, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount * 100 AS DOUBLE) AS y, CAST(l_tax * 100 AS DOUBLE) AS z FROM lineitem), c AS (SELECT k, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY 1), d AS (SELECT p.*, sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) AS r FROM p JOIN c USING (k)),
+pd AS (SELECT a.k, min(dd) AS dmin, max(dd) AS dmax, avg(dd) AS dmean, stddev_pop(dd) AS dstd FROM (SELECT a.k, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dd FROM p a JOIN p b ON a.k = b.k AND a.o < b.o) a GROUP BY 1),
+gm AS (SELECT k, count(*) AS n, count(*) FILTER (i > 1) AS heavy_count, sqrt(avg(r * r)) AS rg, max(r) AS mr, avg(r) AS ar, stddev_pop(r) AS sr, covar_samp(x, x) AS cov_xx, covar_samp(x, y) AS cov_xy, covar_samp(x, z) AS cov_xz, covar_samp(y, y) AS cov_yy, covar_samp(y, z) AS cov_yz, covar_samp(z, z) AS cov_zz FROM d GROUP BY 1), {MOMENT_SQL}
+SELECT k, n, heavy_count, {r('rg', 6, 'radius_gyration')}, {r('mr', 6, 'max_centroid_distance')}, {r('ar', 6, 'mean_centroid_distance')}, {r('sr', 6, 'std_centroid_distance')}, {", ".join(r(f'cov_{e}', 6, f'cov_{e}') for e in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))},
+ {r('dmin', 6, 'pair_distance_min')}, {r('dmax', 6, 'pair_distance_max')}, {r('dmean', 6, 'pair_distance_mean')}, {r('dstd', 6, 'pair_distance_std')}, {r('l1', 3, 'moment_1')}, {r('l2', 3, 'moment_2')}, {r('l3', 3, 'moment_3')},
+ {r('l3 - (l1 + l2) / 2', 3, 'asphericity')}, {r('CASE WHEN abs(l3) > 1e-12 THEN sqrt(greatest(0.0, 1 - l1 / l3)) END', 3, 'eccentricity')} FROM m3 LEFT JOIN pd USING (k)""")
 def prd5(spark, sf):
-    d = table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "l_quantity AS x", "l_discount * 100 AS y", "l_tax * 100 AS z")
-    return rounded(spectra.geometry(d, "k", "x", "y", "z"))
+    d = table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "CAST(l_quantity AS DOUBLE) AS x", "CAST(l_discount * 100 AS DOUBLE) AS y", "CAST(l_tax * 100 AS DOUBLE) AS z", "l_linenumber > 1 AS h")
+    return rounded(spectra.geometry(d, "k", "x", "y", "z", "h"), moment_1=3, moment_2=3, moment_3=3, asphericity=3, eccentricity=3)
 
 
 # ------------------------------------------------------------------ parsers on real text

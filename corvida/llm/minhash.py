@@ -5,10 +5,11 @@ bin keeps its smallest (round, hash). Rounds end once every bin is filled, so al
 set, and two sets agree on a coordinate with the probability of their resemblance. Bands of r coordinates give the buckets.
 
 Links are found without listing the pairs of a bucket. Equal sets collapse into one class first. Each bucket compares its
-members with one pivot; a bucket whose members are then in one component is done. The others get further pivots, and
-what is still open after that is compared across components only, smaller component against the rest. Every link is
-confirmed on full shingle sets. Only documents that take part in a comparison are read again for their sets; they are
-recognised by a bitmap of bounded size.
+members with one pivot, the member that shares the most buckets' rows; a bucket whose members are then in one component
+is done. The others get further pivots. In what is still open, the members outside a bucket's largest component are
+compared with all its members, in blocks of bounded size whose common shingles come from one matrix product; a block returns
+links between different components only. Every link is confirmed on full shingle sets. Only documents that take part in a
+comparison are read again for their sets; they are recognised by a bitmap of bounded size.
 
 At threshold 0.85, 40 bands of 6 coordinates miss a linked pair with a chance below 1e-8.
 
@@ -170,6 +171,60 @@ def components(edges: DataFrame) -> DataFrame:
     return written(e.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()))
 
 
+def block_links(left: list[tuple], right: list[tuple], percent: int, columns: int = 8192) -> list[tuple[int, int]]:
+    """Links (u, v) between members (node, component, sorted shingles) of two blocks, one for each row and other component."""
+    sizes = [np.array([len(m[2]) for m in side], dtype=np.float32) for side in (left, right)]
+    flat = [np.concatenate([m[2] for m in side]) for side in (left, right)]
+    of = [np.repeat(np.arange(len(side)), sz.astype(int)) for side, sz in zip((left, right), sizes)]
+    both = np.intersect1d(*(np.unique(f) for f in flat), assume_unique=True)
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    where = [np.searchsorted(both, f) for f in flat]
+    hit = [(w < len(both)) & (both[np.minimum(w, max(len(both) - 1, 0))] == f) if len(both) else np.zeros(len(f), bool) for w, f in zip(where, flat)]
+    for low in range(0, len(both), columns):
+        width = min(columns, len(both) - low)
+        parts = []
+        for side, w, h, o in zip((left, right), where, hit, of):
+            use = h & (w >= low) & (w < low + width)
+            m = np.zeros((len(side), width), dtype=np.float32)
+            m[o[use], w[use] - low] = 1
+            parts.append(m)
+        common += parts[0] @ parts[1].T
+    exact = np.rint(common).astype(np.int64)
+    union = sizes[0][:, None].astype(np.int64) + sizes[1][None, :].astype(np.int64) - exact
+    component = [np.array([m[1] for m in side]) for side in (left, right)]
+    linked = (100 * exact >= percent * union) & (component[0][:, None] != component[1][None, :])
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        j = np.flatnonzero(linked[i])
+        _, one = np.unique(component[1][j], return_index=True)
+        out += [(min(left[i][0], right[k][0]), max(left[i][0], right[k][0])) for k in j[one]]
+    return out
+
+
+def open_links(member: DataFrame, docs: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """Links across components inside the buckets that pivots left open; ``member`` has band, node, component."""
+    sets = written(shingle_sets(docs, written(member.select(F.col("node").alias("doc_id")).distinct())))
+    per = written(member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")))
+    bands = per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    bands = written(bands.select("band", F.col("top.component").alias("top"), F.ceil(F.col("n") / block).cast("long").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("long").alias("few")))
+    rows = member.select("band", "node", "component").join(bands, "band").join(sets.withColumnRenamed("doc_id", "node"), "node")
+    cell = F.collect_list(F.struct("node", "component", "shingles"))
+    every = rows.groupBy("band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("no")).agg(cell.alias("y")).select("band", "y")
+    rest = rows.where("component <> top").groupBy("band", F.pmod(F.xxhash64("node"), F.col("few")).alias("no")).agg(cell.alias("x")).select("band", "x")
+
+    @F.arrow_udf("array<struct<u: long, v: long>>")
+    def compare(x: pa.Array, y: pa.Array) -> pa.Array:
+        def block_of(c):
+            v = c.values
+            return [(n, k, np.frombuffer(b.as_buffer(), dtype=np.uint64)) for n, k, b in zip(v.field(0).to_pylist(), v.field(1).to_pylist(), v.field(2))]
+
+        kind = pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())]))
+        return pa.array([[{"u": u, "v": v} for u, v in block_links(block_of(p), block_of(q), percent)] for p, q in zip(x, y)], kind)
+
+    pairs = written(rest).join(written(every), "band").select(F.explode(compare("x", "y")).alias("e"))
+    return written(pairs.select("e.u", "e.v").distinct())
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivots: int = 2, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -177,50 +232,38 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
     classes = written(signs.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node")))
     kept = signs.where("n_shingles > 0").join(classes, ["set_key", "n_shingles"]).where("doc_id = node").dropDuplicates(["doc_id"])
     member = kept.select("node", "n_shingles", F.explode("bands").alias("band"))
-    size = F.struct("node", "n_shingles")
-    bucket = written(member.groupBy("band").agg(F.min(size).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    bucket = written(member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     member = written(member.join(bucket, "band"))
-
-    def alike(a, b):
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-    def pairs_of(rows_: DataFrame) -> DataFrame:
-        far = rows_.where((F.col("pivot.node") != F.col("node")) & alike(F.col("pivot.n_shingles"), F.col("n_shingles")))
-        return far.select(F.least("pivot.node", "node").alias("u"), F.greatest("pivot.node", "node").alias("v")).distinct()
-
-    tried = written(pairs_of(member))
-    edges = confirmed(tried, docs, percent)
-    member = member.drop("pivot")
-    for i in range(pivots + 1):
-        label = components(edges)
-        named = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop(*[c for c in ("lo", "hi") if c in member.columns])
-        named = written(named.select("band", "node", "n_shingles", "component"))
-        split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n_shingles", "component"), F.xxhash64("node", F.lit(i))).alias("pivot"))
-        split = written(split.where("lo <> hi").drop("lo", "hi"))
-        member = written(named.join(split, "band"))
+    degree = written(member.groupBy("node").agg(F.sum("n").alias("degree")))
+    member = written(member.drop("n").join(degree, "node"))
+    edges = None
+    for i in range(pivots):
+        by = F.struct(-F.col("degree"), "node") if i == 0 else F.xxhash64("node", F.lit(i))
+        pivot = written(member.groupBy("band").agg(F.min_by(F.struct("node", "n_shingles", *(["component"] if i else [])), by).alias("pivot")))
+        far = member.join(pivot, "band").where(F.col("component") != F.col("pivot.component") if i else F.col("node") != F.col("pivot.node"))
+        small, large = F.least("pivot.n_shingles", "n_shingles"), F.greatest("pivot.n_shingles", "n_shingles")
+        pairs = written(far.where(100 * small >= percent * large).select(F.least("pivot.node", "node").alias("u"), F.greatest("pivot.node", "node").alias("v")).distinct())
+        found = confirmed(pairs, docs, percent)
+        edges = found if edges is None else written(edges.unionByName(found))
+        member = _open_members(member, components(edges))
         if not member.take(1):
             break
-        if i < pivots:
-            new = pairs_of(member.where("component <> pivot.component"))
-        else:
-            per = written(member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")))
-            large = written(per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top")).select("band", F.col("top.component").alias("top")))
-            side = member.select("band", "node", "n_shingles", "component").join(large, "band")
-            a = side.where("component <> top").select("band", F.col("node").alias("p"), F.col("n_shingles").alias("pn"), F.col("component").alias("pc"))
-            b = side.select("band", "node", "n_shingles", "component", "top")
-            cross = a.join(b, "band").where((F.col("pc") != F.col("component")) & ((F.col("component") == F.col("top")) | (F.col("p") < F.col("node"))) & alike(F.col("pn"), F.col("n_shingles")))
-            new = cross.select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v")).distinct()
-        new = written(new.join(tried, ["u", "v"], "left_anti"))
-        found = confirmed(new, docs, percent)
-        tried = written(tried.unionByName(new))
-        edges = written(edges.unionByName(found))
-        member = member.select("band", "node", "n_shingles")
+    else:
+        edges = written(edges.unionByName(open_links(member, docs, percent)))
     label = components(edges)
     top = classes.join(label, "node", "left").select("set_key", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = signs.select("doc_id", "n_shingles", "set_key").join(written(top), ["set_key", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _open_members(member: DataFrame, label: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that hold more than one component."""
+    named = member.drop("component").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named.select("band", "node", "n_shingles", "degree", "component"))
+    split = written(named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"))
+    return written(named.join(split, "band"))
+
+
 def drop_near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", **args) -> DataFrame:
     """``docs`` without all but the first document of each near-duplicate group."""
     gone = written(near_groups(docs, ident=ident, text=text, **args).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())

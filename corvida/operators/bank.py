@@ -177,6 +177,24 @@ def journal_decision(journal: DataFrame, sources_key: str, keys: Sequence[str] =
     return g.select(*keys, decision.alias("decision"), F.when(F.col("_p").isNotNull(), F.col("_p")).when(F.col("_again") == 0, F.col("_n")).alias("status"))
 
 
+def journal_lookup(requests: DataFrame, journal: DataFrame, sources_key: str, first: str, second: str, kind: str = "spectrum_type", order: str = "ts") -> DataFrame:
+    """Decision per request by its first identity, by the second one where the journal has no row for the first.
+
+    Old journal rows without a sources key get it from their list of sources (``a | b`` becomes ``a|b``).
+    """
+    key = F.trim(F.coalesce("sources_key", F.lit("")))
+    if "selected_sources" in journal.columns:
+        key = F.when(key == "", F.trim(F.replace(F.coalesce("selected_sources", F.lit("")), F.lit(" | "), F.lit("|")))).otherwise(key)
+    j = journal.withColumn("sources_key", key)
+    out = requests
+    for i, c in enumerate((first, second), 1):
+        d = journal_decision(j.withColumn(c, F.trim(c)).where(F.col(c) != ""), sources_key, (c, kind), order)
+        out = out.join(d.select(F.col(c).alias(f"_k{i}"), F.col(kind).alias(f"_t{i}"), F.struct("decision", "status").alias(f"_d{i}")), (F.trim(out[c]) == F.col(f"_k{i}")) & (out[kind] == F.col(f"_t{i}")), "left")
+    by = F.when(F.col("_d1").isNotNull(), "first").when(F.col("_d2").isNotNull(), "second").otherwise("none")
+    best = F.coalesce("_d1", "_d2")
+    return out.withColumns({"matched_by": by, "decision": F.coalesce(best["decision"], F.lit("search_again")), "status": best["status"]}).drop("_k1", "_k2", "_t1", "_t2", "_d1", "_d2")
+
+
 def not_found_table(journal: DataFrame, key: str, source: str, status: str, sources: Sequence[str], order: str = "ts") -> DataFrame:
     """One row per key: latest status per source, checked sources and totals by status class."""
     last = journal.groupBy(key, source).agg(F.max_by(status, order).alias("_s"))
@@ -248,6 +266,8 @@ def mass_candidate_score() -> Column:
 
 
 def best_mass_candidate(df: DataFrame, key: str) -> DataFrame:
-    s = df.withColumn("score", mass_candidate_score())
+    """Best candidate per key: its own ``candidate_score`` (where given) plus the points above, then peaks, then accession."""
+    base = F.coalesce(F.col("candidate_score").cast("double"), F.lit(0.0)) if "candidate_score" in df.columns else F.lit(0.0)
+    s = df.withColumn("score", base + mass_candidate_score())
     g = s.groupBy(key).agg(F.max(F.struct("score", F.coalesce("peak_count", F.lit(0)).alias("peaks"), "accession")).alias("b"))
     return g.select(key, "b.accession", F.col("b.score").cast("double").alias("score"))

@@ -6,6 +6,7 @@ one row holding its grid as an array, and every descriptor is an array expressio
 
 from __future__ import annotations
 
+import math
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -110,11 +111,47 @@ def build_dataset(best: DataFrame, cache: DataFrame, points: DataFrame, key: str
     return rows, report
 
 
-def geometry(df: DataFrame, key: str, x: str, y: str, z: str) -> DataFrame:
-    """Centroid-distance statistics and the covariance entries of a 3-D point set per key."""
+def symmetric_moments(a: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a symmetric 3x3 matrix (xx, xy, xz, yy, yz, zz), smallest first, in the closed trigonometric form."""
+    q = (a["xx"] + a["yy"] + a["zz"]) / 3
+    dx, dy, dz = a["xx"] - q, a["yy"] - q, a["zz"] - q
+    off = a["xy"] * a["xy"] + a["xz"] * a["xz"] + a["yz"] * a["yz"]
+    p = F.sqrt((dx * dx + dy * dy + dz * dz + 2 * off) / 6)
+    det = dx * (dy * dz - a["yz"] * a["yz"]) - a["xy"] * (a["xy"] * dz - a["yz"] * a["xz"]) + a["xz"] * (a["xy"] * a["yz"] - dy * a["xz"])
+    angle = F.when(p > 0, F.acos(F.greatest(F.least(det / (2 * p * p * p), F.lit(1.0)), F.lit(-1.0))) / 3).otherwise(F.when(p == 0, 0.0))
+    large, small = q + 2 * p * F.cos(angle), q + 2 * p * F.cos(angle + 2 * math.pi / 3)
+    return small, 3 * q - large - small, large
+
+
+def geometry(df: DataFrame, key: str, x: str, y: str, z: str, heavy: str | None = None) -> DataFrame:
+    """Centroid and pair distances, principal moments, asphericity and eccentricity of a small 3-D point set per key.
+
+    The pairs of a key are formed inside its row, so a key must be a single object (a molecule's atoms). One point has no
+    pair distances and no moments; ``heavy`` names a flag column of the points to count.
+    """
     c = df.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"_m{v}") for v in (x, y, z)])
     d = df.join(c, key)
     dx, dy, dz = (F.col(v) - F.col(f"_m{v}") for v in (x, y, z))
     r = F.sqrt(dx * dx + dy * dy + dz * dz)
-    return d.groupBy(key).agg(F.count("*").alias("n"), F.sqrt(F.avg(r * r)).alias("radius_gyration"), F.max(r).alias("max_centroid_distance"), F.avg(r).alias("mean_centroid_distance"),
-                              F.stddev_pop(r).alias("std_centroid_distance"), *[F.covar_samp(a, b).alias(f"cov_{a}{b}") for a, b in ((x, x), (x, y), (x, z), (y, y), (y, z), (z, z))])
+    named = dict(zip("xyz", (x, y, z)))
+    entries = ("xx", "xy", "xz", "yy", "yz", "zz")
+    point = F.struct(*[F.col(v).cast("double").alias(k) for k, v in named.items()])
+    g = d.groupBy(key).agg(
+        F.count("*").alias("n"), *([F.count_if(F.col(heavy)).alias("heavy_count")] if heavy else []), F.sqrt(F.avg(r * r)).alias("radius_gyration"), F.max(r).alias("max_centroid_distance"),
+        F.avg(r).alias("mean_centroid_distance"), F.stddev_pop(r).alias("std_centroid_distance"), *[F.covar_samp(named[e[0]], named[e[1]]).alias(f"cov_{e}") for e in entries], F.collect_list(point).alias("_p"))
+
+    def apart(a, b):
+        return F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]) + (a["z"] - b["z"]) * (a["z"] - b["z"]))
+
+    pairs = F.flatten(F.transform("_p", lambda a, i: F.transform(F.slice("_p", i + 2, F.size("_p")), lambda b: apart(a, b))))
+    g = g.withColumn("_d", pairs)
+    n = F.size("_d")
+    mean = F.when(n > 0, F.aggregate("_d", F.lit(0.0), lambda s, v: s + v) / n)
+    g = g.withColumns({"pair_distance_min": F.array_min("_d"), "pair_distance_max": F.array_max("_d"), "pair_distance_mean": mean})
+    spread = F.aggregate(F.transform("_d", lambda v: (v - F.col("pair_distance_mean")) * (v - F.col("pair_distance_mean"))), F.lit(0.0), lambda s, v: s + v)
+    g = g.withColumn("pair_distance_std", F.when(n > 0, F.sqrt(spread / n))).drop("_p", "_d")
+    small, middle, large = symmetric_moments({e: F.col(f"cov_{e}") for e in entries})
+    g = g.withColumns({"moment_1": small, "moment_2": middle, "moment_3": large})
+    bent = F.greatest(F.lit(0.0), 1 - F.col("moment_1") / F.col("moment_3"))
+    return g.withColumns({"asphericity": F.col("moment_3") - (F.col("moment_1") + F.col("moment_2")) / 2,
+                          "eccentricity": F.when(F.abs("moment_3") > 1e-12, F.sqrt(bent))})

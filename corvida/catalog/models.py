@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvida.catalog.banks import _scratch
-from corvida.catalog.modelling import PRED, X, customer_matrix, embeddings, ridge_sql
-from corvida.catalog.registry import LINES_SQL, ORDERS_SQL, lines, order_matrix, query, r, rounded, table
-from corvida.functions.columns import portable_hash_sql
+from corvida.catalog.modelling import PRED, X, customer_matrix, embeddings, ridge_sql, score_sql
+from corvida.catalog.registry import LINES_SQL, ORDERS_SQL, fold_sql, lines, order_matrix, query, r, rounded, table
+from corvida.functions.columns import HASH_PRIME, poisson_weight_sql, portable_hash_sql
 from corvida.operators import bank, importance, models, selection, stats, validation
 from corvida.operators.gram import grams
 from corvida.plans import flows
@@ -217,14 +217,24 @@ def top5(spark, sf):
     return models.leaderboard(b, yrand=b.where("model < 'Brand#2'").select("model", F.col("rating").alias("yrand"))).select("model", "place", "yrand")
 
 
-@query("agg34_validation_table", f"""WITH {ORDERS_SQL}, {ridge_sql('m', 'om')}, t AS (SELECT y, {PRED} AS p FROM om, m) SELECT 'training' AS method, {r('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))', 5, 'r2')}, {r('sqrt(avg((y - p) * (y - p)))', 3, 'rmse')}, {r('avg(abs(y - p))', 3, 'mae')}, 'weak' AS quality FROM t
-UNION ALL SELECT 'baseline', {r('1 - sum((y - 250000) * (y - 250000)) / (var_pop(y) * count(*))', 5)}, {r('sqrt(avg((y - 250000) * (y - 250000)))', 3)}, {r('avg(abs(y - 250000))', 3)}, 'weak' FROM om""")
+QUALITY = "CASE WHEN r2 >= 0.85 THEN 'excellent' WHEN r2 >= 0.70 THEN 'good' WHEN r2 >= 0.50 THEN 'acceptable' ELSE 'weak' END"
+METHODS_SQL = f"""{ridge_sql('ma', 'om', alpha=0.0)}, hd AS (SELECT *, {portable_hash_sql('row_id')} < {int(0.2 * HASH_PRIME)} AS t FROM om), {ridge_sql('mb', 'hd', where='NOT t', alpha=0.0)},
+kd AS (SELECT *, {fold_sql('row_id', 5)} AS fold FROM om), kt AS (SELECT f, kd.* FROM kd, range(5) q(f) WHERE fold <> f), {ridge_sql('mc', 'kt', 'f', alpha=0.0)},
+lc AS (SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22, covar_pop(x1, x2) * count(*) AS s12 FROM om),
+lo AS (SELECT y, y - ({PRED}) AS e, 1.0 / n + ((x1 - m1) * (x1 - m1) * s22 - 2 * (x1 - m1) * (x2 - m2) * s12 + (x2 - m2) * (x2 - m2) * s11) / (s11 * s22 - s12 * s12) AS h FROM om, ma, lc),
+al AS (SELECT 'training' AS method, y, {PRED} AS p FROM om, ma UNION ALL SELECT 'hold_out', y, {PRED} FROM hd, mb WHERE t UNION ALL SELECT 'k_fold', y, {PRED} FROM kd JOIN mc ON f = fold UNION ALL SELECT 'leave_one_out', y, y - e / (1 - h) FROM lo),
+sg AS ({score_sql('al', 'method')}),
+rp AS (SELECT *, {fold_sql('row_id', 5, 'rep')} AS fold FROM om, range(5) t(rep)), rt AS (SELECT f, rp.* FROM rp, range(5) q(f) WHERE fold <> f), {ridge_sql('md', 'rt', 'rep, f', alpha=0.0)},
+rk AS (SELECT rp.*, {PRED} AS p FROM rp JOIN md ON md.rep = rp.rep AND md.f = rp.fold), sk AS ({score_sql('rk', 'rep, fold')}),
+rh AS (SELECT *, {portable_hash_sql('row_id', 'rep')} < {int(0.2 * HASH_PRIME)} AS t FROM om, range(5) q(rep)), {ridge_sql('me', 'rh', 'rep', 'NOT t', alpha=0.0)}, hp AS (SELECT rh.*, {PRED} AS p FROM rh JOIN me USING (rep) WHERE t), sh AS ({score_sql('hp', 'rep')}),
+bw AS (SELECT om.*, b, {poisson_weight_sql(portable_hash_sql('row_id', 'b'))} AS w FROM om, range(20) q(b)), {ridge_sql('mf', 'bw', 'b', 'w > 0', w='w', alpha=0.0)}, bp AS (SELECT bw.*, {PRED} AS p FROM bw JOIN mf USING (b) WHERE w = 0), sb AS ({score_sql('bp', 'b')}),
+mt AS (SELECT method, r2, rmse, mae, NULL::DOUBLE AS r2_std FROM sg UNION ALL SELECT 'repeated_k_fold', avg(r2), avg(rmse), avg(mae), stddev_samp(r2) FROM sk
+ UNION ALL SELECT 'repeated_hold_out', avg(r2), avg(rmse), NULL, stddev_samp(r2) FROM sh UNION ALL SELECT 'bootstrap_oob', avg(r2), avg(rmse), NULL, stddev_samp(r2) FROM sb)"""
+
+
+@query("agg34_validation_table", f"WITH {ORDERS_SQL}, {METHODS_SQL} SELECT method, {r('r2', 5, 'r2')}, {r('rmse', 2, 'rmse')}, {r('mae', 2, 'mae')}, {r('r2_std', 5, 'r2_std')}, {QUALITY} AS quality FROM mt")
 def agg34(spark, sf):
-    from corvida.functions.labels import quality_label
-    d = order_matrix(spark, sf)
-    a = stats.regression_metrics(d.withColumn("y_pred", grams(d, X, "y")[()].ridge(1.0).column()), []).withColumn("method", F.lit("training"))
-    b = stats.regression_metrics(d.withColumn("y_pred", F.lit(250000.0)), []).withColumn("method", F.lit("baseline"))
-    return rounded(a.unionByName(b).withColumn("quality", quality_label("r2")).select("method", "r2", "rmse", "mae", "quality"), 3, r2=5)
+    return rounded(validation.validation_table(order_matrix(spark, sf), X, "y", "row_id", alpha=0.0, replicates=20), 2, r2=5, r2_std=5)
 
 
 @query("join19_importance_outer_merge", f"WITH {LINES_SQL}, {IMP_SQL} SELECT descriptor, {r('c / (SELECT max(c) FROM co)', 6, 'coefficient_score')}, CASE WHEN descriptor = 'x2' THEN 1.0::DOUBLE END AS shap_score, CASE WHEN descriptor = 'x2' THEN 2 ELSE 1 END AS methods_available FROM co")

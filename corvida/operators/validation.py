@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.functions.columns import HASH_PRIME, poisson_weight, portable_hash
+from corvida.functions.labels import quality_label
 from corvida.functions.ranks import exact_quantiles, with_position
 from corvida.operators.gram import Gram, grams, indexed_prediction, total
 from corvida.operators.stats import regression_metrics
@@ -79,19 +80,25 @@ def leave_one_out(df: DataFrame, features, target: str, alpha: float = 1.0, keep
     cols, p = [*features, target], len(features)
     n1 = g.n - 1
 
+    step = max(1, 2_000_000 // (p + 1) ** 2)  # rows whose p x p matrices are held at a time
+
     def solve(batches):
         for pdf in batches:
-            z = pdf[cols].to_numpy(float) - g.shift
-            s = g.s - z
-            c = g.ss - z[:, :, None] * z[:, None, :] - s[:, :, None] * s[:, None, :] / n1
-            sd = np.sqrt(np.clip(np.diagonal(c, axis1=1, axis2=2)[:, :p], 0, None) / n1)
-            sd = np.where(sd > 0, sd, 1.0)
-            a = c[:, :p, :p] / (sd[:, :, None] * sd[:, None, :]) + alpha * np.eye(p)
-            beta = np.linalg.solve(a, (c[:, :p, p] / sd)[:, :, None])[:, :, 0] / sd
-            mean = s / n1
-            out = pdf[[*keep, target]].copy()
-            out["y_pred"] = g.shift[p] + mean[:, p] + ((z[:, :p] - mean[:, :p]) * beta).sum(axis=1)
-            yield out
+            for i in range(0, len(pdf), step):
+                yield solve_rows(pdf.iloc[i:i + step])
+
+    def solve_rows(pdf):
+        z = pdf[cols].to_numpy(float) - g.shift
+        s = g.s - z
+        c = g.ss - z[:, :, None] * z[:, None, :] - s[:, :, None] * s[:, None, :] / n1
+        sd = np.sqrt(np.clip(np.diagonal(c, axis1=1, axis2=2)[:, :p], 0, None) / n1)
+        sd = np.where(sd > 0, sd, 1.0)
+        a = c[:, :p, :p] / (sd[:, :, None] * sd[:, None, :]) + alpha * np.eye(p)
+        beta = np.linalg.solve(a, (c[:, :p, p] / sd)[:, :, None])[:, :, 0] / sd
+        mean = s / n1
+        out = pdf[[*keep, target]].copy()
+        out["y_pred"] = g.shift[p] + mean[:, p] + ((z[:, :p] - mean[:, :p]) * beta).sum(axis=1)
+        return out
 
     d = df.select(*keep, *[F.col(c).cast("double") for c in cols])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*keep, target).schema.fields) + ", y_pred double"
@@ -171,6 +178,26 @@ def bootstrap_oob(df: DataFrame, features, target: str, ident: str, replicates:
     return [{"replicate": b, **g[(b, True)].scores(g[(b, False)].ridge(alpha))} for b in range(replicates) if (b, True) in g and (b, False) in g]
 
 
+def validation_table(df: DataFrame, features, target: str, ident: str, alpha: float = 1.0, fraction: float = 0.2, k: int = 5, repeats: int = 5, replicates: int = 50) -> DataFrame:
+    """(method, r2, rmse, mae, r2_std, quality): training, hold-out, K-fold, leave-one-out, and the means over repeated K-fold,
+    repeated hold-out and bootstrap out-of-bag; the last two come from cross products, which hold no absolute errors."""
+    spark = df.sparkSession
+    fitted = df.withColumn("y_pred", grams(df, features, target)[()].ridge(alpha).column())
+    single = {"training": fitted, "hold_out": holdout(df, features, target, ident, fraction, alpha)[1].where("split = 'test'"),
+              "k_fold": kfold(df, features, target, ident, k, alpha)[0], "leave_one_out": leave_one_out(df, features, target, alpha)}
+    out = None
+    for name, scored in single.items():
+        row = regression_metrics(scored, [], target, "y_pred").select(F.lit(name).alias("method"), "r2", "rmse", "mae", F.lit(None).cast("double").alias("r2_std"))
+        out = row if out is None else out.unionByName(row)
+    folds = split_metrics(repeated_kfold(df, features, target, ident, k, repeats, alpha), ["repeat", "fold"], target)
+    out = out.unionByName(folds.agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.stddev_samp("r2").alias("r2_std")).withColumn("method", F.lit("repeated_k_fold")))
+    for name, runs in (("repeated_hold_out", repeated_holdout(df, features, target, ident, repeats, fraction, alpha)), ("bootstrap_oob", bootstrap_oob(df, features, target, ident, replicates, alpha))):
+        r2, rmse = ([r[m] for r in runs] for m in ("r2", "rmse"))
+        row = (name, float(np.mean(r2)), float(np.mean(rmse)), None, float(np.std(r2, ddof=1)) if len(r2) > 1 else None)
+        out = out.unionByName(spark.createDataFrame([row], "method string, r2 double, rmse double, mae double, r2_std double"))
+    return out.withColumn("quality", quality_label("r2"))
+
+
 def shuffled_positions(rows: DataFrame, times: int, number: str) -> DataFrame:
     """Every row once per ``number`` (0 to times - 1), with ``_pos`` replaced by its place in that shuffle.
 

@@ -146,20 +146,30 @@ def _adam(value: np.ndarray, rate: float):
     return step
 
 
+def token_table(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of all tokens, and each document's first token number; read in slices to keep the hashing small."""
+    parts, counts = [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(0, np.int64)]
+    for _, _, buf, off in text_slices(pa.array(texts, pa.large_string())):
+        starts, ends, first = tokens(buf, off)
+        if len(starts):
+            parts.append(features(buf, starts, ends))
+        counts.append(np.diff(first))
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
 def token_labels(f: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Toxic tokens of the toxic documents by significant features."""
-    docs = len(toxic)
-    of = np.repeat(np.arange(docs), np.diff(first))
     share = toxic.mean()
-    seen = np.unique((of[:, None].astype(np.int64) << 20 | f).ravel())
-    bucket, doc = seen & (BUCKETS - 1), seen >> 20
-    a = np.bincount(bucket, weights=toxic[doc], minlength=BUCKETS)
-    n = np.bincount(bucket, minlength=BUCKETS).astype(float)
+    a, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i, y in enumerate(toxic):
+        own = np.unique(f[first[i] : first[i + 1]])
+        n[own] += 1
+        a[own] += y
     b = n - a
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(a > 0, a * np.log(a / (n * share)), 0) + np.where(b > 0, b * np.log(b / (n * (1 - share))), 0)
     good = (a > n * share) & (a >= 0.6 * n) & (gain > np.log((n > 0).sum() + 1) + 3)
-    return good[f].any(axis=1) & toxic[of].astype(bool)
+    return good[f].any(axis=1) & np.repeat(toxic.astype(bool), np.diff(first))
 
 
 def fit_model(texts: list[str | None], toxic: list[int], rounds: int = 40, l2: float = 1e-3) -> Model:
@@ -167,30 +177,31 @@ def fit_model(texts: list[str | None], toxic: list[int], rounds: int = 40, l2: f
     plain = Model(np.zeros(BUCKETS, np.float32), 0.0, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), float(y.mean()) if len(y) else 0.0)
     if not len(y) or y.min() == y.max():
         return plain
-    order = np.arange(len(y))
-    held = order % 10 >= 7
-    groups = [np.flatnonzero(~held), np.flatnonzero(held)]
-    parts = []
-    for rows in groups:
-        _, _, buf, off = next(text_slices(pa.array([texts[i] for i in rows], pa.large_string()), 1 << 40), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-        parts.append((buf, off, y[rows]))
-    buf, off, yt = parts[0]
+    held = np.arange(len(y)) % 10 >= 7
+    own, other = np.flatnonzero(~held), np.flatnonzero(held)
+    yt, yc = y[own], y[other]
     if not len(yt) or yt.min() == yt.max():
         return plain
-    starts, ends, first = tokens(buf, off)
-    f = features(buf, starts, ends)
+    f, first = token_table([texts[i] for i in own])
     label = token_labels(f, first, yt).astype(float)
-    used, inside = np.unique(f, return_inverse=True)
-    inside = inside.reshape(f.shape)
+    used = np.flatnonzero(np.bincount(f.ravel(), minlength=BUCKETS))
+    place = np.zeros(BUCKETS, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    inside = place[f]
+    del f
     begin = np.zeros(len(label), dtype=bool)
     begin[first[:-1][np.diff(first) > 0]] = True
     prev = np.concatenate(([0.0], label[:-1])) * ~begin
     w, rest = np.zeros(len(used)), np.array([-2.0, -2.0, 0.0, 0.0])  # bias, clean to toxic, toxic to clean, toxic to toxic
     step_w, step_r = _adam(w, 0.3), _adam(rest, 0.1)
     observed = np.array([label.sum(), (label * (1 - prev)).sum(), ((1 - label) * prev).sum(), (label * prev).sum()])
-    wanted = np.bincount(inside.ravel(), weights=np.repeat(label, inside.shape[1]), minlength=len(used))
+
+    def gathered(v):
+        return sum(np.bincount(inside[:, k], weights=v, minlength=len(used)) for k in range(inside.shape[1]))
+
+    wanted = gathered(label)
     for _ in range(rounds):
-        e = w[inside].sum(axis=1) + rest[0]
+        e = sum(w[inside[:, k]] for k in range(inside.shape[1])) + rest[0]
         m, ahead, behind = forward_backward(e, first, *rest[1:])
         g = np.exp(np.clip(e, -30, 30))
         before = np.where(begin, 0.0, np.concatenate(([0.0], ahead[:-1])))
@@ -198,13 +209,13 @@ def fit_model(texts: list[str | None], toxic: list[int], rounds: int = 40, l2: f
         cells = (np.ones_like(g), p * g * behind, before * s, before * q * g * behind)
         total = cells[0] + cells[1] + cells[2] + cells[3]
         expected = np.array([m.sum(), *((c / total).sum() for c in cells[1:])])
-        step_w(wanted - np.bincount(inside.ravel(), weights=np.repeat(m, inside.shape[1]), minlength=len(used)) - l2 * len(label) ** 0.5 * w)
+        step_w(wanted - gathered(m) - l2 * len(label) ** 0.5 * w)
         step_r(observed - expected - l2 * len(label) ** 0.5 * rest)
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[used] = w
     model = Model(weights, float(rest[0]), tuple(rest[1:].tolist()), (0.0, 1.0, 0.0))
-    buf, off, yc = parts[1]
-    _, _, first, m = model.marginals(buf, off)
+    f, first = token_table([texts[i] for i in other])
+    m = forward_backward(weights[f].sum(axis=1) + model.bias, first, *model.t)[0]
     x = np.column_stack((np.ones(len(yc)), evidence(m, first)))
     if len(yc) and yc.min() != yc.max():
         c = np.zeros(3)

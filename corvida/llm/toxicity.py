@@ -33,7 +33,7 @@ BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6)
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-BLOCK = 128
+BLOCK, PART = 128, 200_000
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,27 +195,32 @@ def fit_model(texts: list[str | None], toxic: list[int], rounds: int = 40, l2: f
     w, rest = np.zeros(len(used)), np.array([-2.0, -2.0, 0.0, 0.0])  # bias, clean to toxic, toxic to clean, toxic to toxic
     step_w, step_r = _adam(w, 0.3), _adam(rest, 0.1)
     observed = np.array([label.sum(), (label * (1 - prev)).sum(), ((1 - label) * prev).sum(), (label * prev).sum()])
-
-    def gathered(v):
-        return sum(np.bincount(inside[:, k], weights=v, minlength=len(used)) for k in range(inside.shape[1]))
-
-    wanted = gathered(label)
+    wanted = np.zeros(len(used))
+    for k in range(inside.shape[1]):
+        wanted += np.bincount(inside[:, k], weights=label, minlength=len(used))
+    cuts = np.unique(np.concatenate((np.searchsorted(first, np.arange(0, first[-1], PART)), [len(first) - 1])))
     for _ in range(rounds):
-        e = sum(w[inside[:, k]] for k in range(inside.shape[1])) + rest[0]
-        m, ahead, behind = forward_backward(e, first, *rest[1:])
-        g = np.exp(np.clip(e, -30, 30))
-        before = np.where(begin, 0.0, np.concatenate(([0.0], ahead[:-1])))
-        p, s, q = np.exp(rest[1:])
-        cells = (np.ones_like(g), p * g * behind, before * s, before * q * g * behind)
-        total = cells[0] + cells[1] + cells[2] + cells[3]
-        expected = np.array([m.sum(), *((c / total).sum() for c in cells[1:])])
-        step_w(wanted - gathered(m) - l2 * len(label) ** 0.5 * w)
+        expected, found = np.zeros(4), np.zeros(len(used))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):  # whole documents, about PART tokens at a time
+            rows, local = slice(first[lo], first[hi]), first[lo : hi + 1] - first[lo]
+            columns = [inside[rows, k] for k in range(inside.shape[1])]
+            e = sum(w[c] for c in columns) + rest[0]
+            m, ahead, behind = forward_backward(e, local, *rest[1:])
+            g = np.exp(np.clip(e, -30, 30)) * behind
+            before = np.where(begin[rows], 0.0, np.concatenate(([0.0], ahead[:-1]))[: len(e)])
+            p, s, q = np.exp(rest[1:])
+            cells = (p * g, before * s, before * q * g)
+            total = 1.0 + cells[0] + cells[1] + cells[2]
+            expected += [m.sum(), *((c / total).sum() for c in cells)]
+            for c in columns:
+                found += np.bincount(c, weights=m, minlength=len(used))
+        step_w(wanted - found - l2 * len(label) ** 0.5 * w)
         step_r(observed - expected - l2 * len(label) ** 0.5 * rest)
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[used] = w
     model = Model(weights, float(rest[0]), tuple(rest[1:].tolist()), (0.0, 1.0, 0.0))
     f, first = token_table([texts[i] for i in other])
-    m = forward_backward(weights[f].sum(axis=1) + model.bias, first, *model.t)[0]
+    m = forward_backward(sum(weights[f[:, k]] for k in range(f.shape[1])) + model.bias, first, *model.t)[0]
     x = np.column_stack((np.ones(len(yc)), evidence(m, first)))
     if len(yc) and yc.min() != yc.max():
         c = np.zeros(3)

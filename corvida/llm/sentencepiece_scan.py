@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corvida.llm.common import written
 
 CHUNK = 1 << 16
-REMEMBERED, REMEMBERED_LENGTH = 700_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 500_000, 64
 MARK, LITERAL_MARK = "▁", "\udfff"  # the space mark, and a stand-in for that character in a text
 NONE = -1e300
 
@@ -101,11 +101,14 @@ class Vocabulary:
             end = start
         return out[::-1]
 
+    def best(self, stretch: str) -> tuple[bytes, float]:
+        score, link = self.forward(stretch, 0, len(stretch))
+        return np.array(self.path(stretch, link, 0, len(stretch)), dtype="<u4").tobytes(), score[-1]
+
     def solve(self, stretch: str) -> tuple[bytes, float]:
         got = self.known.get(stretch)
         if got is None:
-            best, link = self.forward(stretch, 0, len(stretch))
-            got = (np.array(self.path(stretch, link, 0, len(stretch)), dtype="<u4").tobytes(), best[-1])
+            got = self.best(stretch)
             if len(stretch) <= REMEMBERED_LENGTH and len(self.known) < REMEMBERED:
                 self.known[stretch] = got
         return got
@@ -117,7 +120,8 @@ class Vocabulary:
         if None in got:
             for k, (word, g) in enumerate(zip(words, got)):
                 if g is None:
-                    parts = [self.solve(s) for s in self.stretch.findall(word)]
+                    stretches = self.stretch.findall(word)
+                    parts = [self.best(word)] if len(stretches) == 1 else [self.solve(s) for s in stretches]
                     got[k] = g = (b"".join([p[0] for p in parts]), sum(p[1] for p in parts))
                     if len(word) <= REMEMBERED_LENGTH and len(self.words) < REMEMBERED:
                         self.words[word] = g

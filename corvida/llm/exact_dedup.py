@@ -43,7 +43,7 @@ def repeated_filter(digests: DataFrame, sha: str = "sha", slots_per_row: int = 1
     pieces = hit.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("piece"))
     bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for r in pieces.toLocalIterator():
+    for r in pieces.collect():
         at = (r["bucket"] - 1) * 4096
         part = np.frombuffer(bytes(r["piece"]), dtype=np.uint8)[: len(bitmap) - at]
         bitmap[at : at + len(part)] = part

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import LOWER, U64, SpanHash, as_long, mix, text_slices, word_bounds, written
+from corvida.llm.common import LOWER, U64, SpanHash, as_long, id_bitmap, maybe_in, mix, text_slices, word_bounds, written
 
 WORDS = 5
 PERCENT = 85
@@ -99,18 +99,11 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, shingles (sorted 64-bit hashes as bytes) of the wanted ids; the scan skips others by a bitmap."""
-    n = wanted.count()
-    bits = min(max_bits, 1 << max(16, (16 * n).bit_length()))
-    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
-    pieces = wanted.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("p"))
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for r in pieces.toLocalIterator():
-        at = (r["k"] - 1) * 4096
-        part = np.frombuffer(bytes(r["p"]), dtype=np.uint8)[: len(bitmap) - at]
-        bitmap[at : at + len(part)] = part
+    bitmap, bits = id_bitmap(wanted, "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    slot = F.xxhash64("doc_id").bitwiseAND(F.lit(bits - 1))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,15 +218,16 @@ def open_links(member: DataFrame, docs: DataFrame, percent: int, block: int = 12
     return written(pairs.select("e.u", "e.v").distinct())
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivots: int = 2, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivots: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signs = written(signatures(docs, bands, rows))
     classes = written(signs.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("node")))
     kept = signs.where("n_shingles > 0").join(classes, ["set_key", "n_shingles"]).where("doc_id = node").dropDuplicates(["doc_id"])
-    member = kept.select("node", "n_shingles", F.explode("bands").alias("band"))
+    member = written(kept.select("node", "n_shingles", "bands")).select("node", "n_shingles", F.explode("bands").alias("band"))
     bucket = written(member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    member = written(member.join(bucket, "band"))
+    bitmap, bits = id_bitmap(bucket, "band")
+    member = written(member.where(maybe_in(member, "band", bitmap, bits)).join(bucket, "band"))
     degree = written(member.groupBy("node").agg(F.sum("n").alias("degree")))
     member = written(member.drop("n").join(degree, "node"))
     edges = None

@@ -236,6 +236,8 @@ def conformal_radius(df: DataFrame, residual: Column, alpha: float = 0.1) -> flo
 
     d = df.select(F.abs(residual).alias("a")).where("a IS NOT NULL")
     n = d.count()
+    if n < 2:
+        return float(d.first()["a"]) if n else float("nan")
     level = min(1.0, ceil((n + 1) * (1 - alpha)) / n)
     rank = min(n - 1, ceil(round((n - 1) * level, 9)))
     return exact_quantiles(d, [], "a", {"q": rank / (n - 1)}).first()["q"]
@@ -257,5 +259,5 @@ def consensus(predictions: DataFrame, row: str, leaderboard: DataFrame | None =
     if leaderboard is not None:
         m = leaderboard if min_r2 is None else leaderboard.where(F.col("r2") >= min_r2)
         m = m.orderBy(F.col("r2").desc(), "model").limit(top_n) if top_n else m
-        p = p.join(F.broadcast(m.select("model")), "model", "left_semi")
+        p = p.join(m.select("model"), "model", "left_semi")
     return p.groupBy(row).agg(F.count("*").alias("models"), F.avg("y_pred").alias("consensus_mean"), F.stddev_samp("y_pred").alias("consensus_std"))

@@ -17,6 +17,7 @@ Defined cases: null is empty and has no pieces; of several best paths one is tak
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from corvida.llm.common import written
 
 CHUNK = 1 << 16
-REMEMBERED, REMEMBERED_LENGTH = 500_000, 64
+REMEMBERED, REMEMBERED_LENGTH, ROWS_AT_ONCE = 700_000, 64, 512
 MARK, LITERAL_MARK = "▁", "\udfff"  # the space mark, and a stand-in for that character in a text
 NONE = -1e300
 
@@ -49,6 +50,7 @@ class Vocabulary:
         self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in every if sp.is_byte(i)}
         self.unknown = min(s for _, s in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
+        self.prefixes = {p[:k] for p in self.pieces for k in range(2, len(p))}
         joined = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
         follow: dict[str, str] = {}
         for a, b in joined:
@@ -73,7 +75,7 @@ class Vocabulary:
         n = len(text)
         best, link = [NONE] * (n + 1), [-1] * (n + 1)
         best[begin] = 0.0
-        get = self.pieces.get
+        get, prefixes = self.pieces.get, self.prefixes
         for i in range(begin, min(stop, n)):
             here = best[i]
             if here == NONE:
@@ -83,9 +85,13 @@ class Vocabulary:
             if to > best[i + 1]:
                 best[i + 1], link[i + 1] = to, i
             for j in range(i + 2, min(n, i + self.longest) + 1):
-                piece = get(text[i:j])
-                if piece is not None and here + piece[1] > best[j]:
-                    best[j], link[j] = here + piece[1], i
+                part = text[i:j]
+                piece = get(part)
+                if piece is not None:
+                    if here + piece[1] > best[j]:
+                        best[j], link[j] = here + piece[1], i
+                elif part not in prefixes:
+                    break
         return best, link
 
     def path(self, text: str, link: list[int], begin: int, end: int) -> list[int]:
@@ -127,6 +133,13 @@ class Vocabulary:
                         self.words[word] = g
         return b"".join([g[0] for g in got]), sum([g[1] for g in got])
 
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode()[1:]
+
+    def digest(self, ids: bytes) -> tuple[int, int, str]:
+        """Number of pieces, CRC-32 of the packed ids, SHA-256 of the decoded text."""
+        return len(ids) // 4, zlib.crc32(ids), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+
     def _frame(self, text: str, size: int) -> tuple[int, int]:
         """The first cut at or after the last entry state, and the last cut at or before ``size`` (equal or crossed: none between)."""
         cuts = np.cumsum([0, *map(len, self.stretch.findall(text))])
@@ -190,20 +203,33 @@ def marked(text: str) -> str:
     return MARK + text.replace(MARK, LITERAL_MARK).replace(" ", MARK) if text else ""
 
 
-def encode(docs: DataFrame, model: str, chunk: int = CHUNK, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, ids (little-endian 32-bit numbers), score."""
+DIGEST = ("n_pieces", "ids_crc32", "decoded_sha256")
+
+
+def encode(docs: DataFrame, model: str, chunk: int = CHUNK, ident: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, n_chars, score, ids (little-endian 32-bit numbers); with ``digest`` their number and CRC-32 and the
+    SHA-256 of the text decoded from them instead, so that the ids need not leave the task."""
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     large = F.char_length("text") >= chunk
 
+    columns = "n_pieces long, ids_crc32 long, decoded_sha256 string" if digest else "ids binary"
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.of(model)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            done = [v.encode(marked(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.float64())],
-                                             names=["doc_id", "n_chars", "ids", "score"])
-
-    small = rows.where(~large).mapInArrow(whole, "doc_id long, n_chars long, ids binary, score double")
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, ROWS_AT_ONCE):
+                batch = whole_batch.slice(at, ROWS_AT_ONCE)
+                lengths, scores, out = [], [], []
+                for t in batch.column(1):
+                    t = t.as_py()
+                    ids, score = v.encode(marked(t))
+                    lengths.append(len(t))
+                    scores.append(score)
+                    out.append(v.digest(ids) if digest else (ids,))
+                made = [pa.array(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(scores, pa.float64()), *made], names=["doc_id", "n_chars", "score", *(DIGEST if digest else ["ids"])])
+
+    small = rows.where(~large).mapInArrow(whole, f"doc_id long, n_chars long, score double, {columns}")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = Vocabulary.of(model).longest - 1
@@ -239,22 +265,29 @@ def encode(docs: DataFrame, model: str, chunk: int = CHUNK, ident: str = "doc_id
     traced = chunks.join(states, ["uid", "no"]).select("uid", "no", "score", trace("size", "part", "enter", "leave").alias("ids"))
     joined = traced.groupBy("uid").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     ids = F.aggregate(F.col("parts.ids"), F.lit(b""), lambda a, b: F.concat(a, b))
-    large_done = giant.select("uid", "doc_id", F.char_length("text").cast("long").alias("n_chars")).join(joined, "uid").select("doc_id", "n_chars", ids.alias("ids"), "score")
-    return small.unionByName(large_done)
+    done = giant.select("uid", "doc_id", F.char_length("text").cast("long").alias("n_chars")).join(joined, "uid").select("doc_id", "n_chars", "score", ids.alias("ids"))
+    if digest:
+
+        @F.arrow_udf("struct<n_pieces: long, ids_crc32: long, decoded_sha256: string>")
+        def digests(ids: pa.Array) -> pa.Array:
+            v = Vocabulary.of(model)
+            return pa.StructArray.from_arrays([pa.array(c) for c in zip(*[v.digest(x.as_py()) for x in ids])] if len(ids) else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string())], names=DIGEST)
+
+        done = done.select("doc_id", "n_chars", "score", digests("ids").alias("d")).select("doc_id", "n_chars", "score", "d.*")
+    return small.unionByName(done)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, text of packed ids."""
+    """Adds the text of packed ids."""
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        of = Vocabulary.of(model).text_of
-        return pa.array([b"".join(map(of.__getitem__, np.frombuffer(x.as_py(), dtype="<u4").tolist())).decode()[1:] for x in ids], pa.string())
+        v = Vocabulary.of(model)
+        return pa.array([v.decode(x.as_py()) for x in ids], pa.string())
 
     return encoded.withColumn("text", text("ids"))
 
 
 def round_trip(docs: DataFrame, model: str, chunk: int = CHUNK, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_crc32, score, decoded_sha256."""
-    done = decode(encode(docs, model, chunk, ident, text), model)
-    return done.select("doc_id", "n_chars", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "score", F.sha2("text", 256).alias("decoded_sha256"))
+    return encode(docs, model, chunk, ident, text, digest=True).select("doc_id", "n_chars", "n_pieces", "ids_crc32", "score", "decoded_sha256")

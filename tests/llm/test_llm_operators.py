@@ -346,6 +346,8 @@ def test_sentencepiece_scan(docs, empty, rows):
         got = sentencepiece_scan.round_trip(docs, model, chunk).collect()
         assert Counter((r["doc_id"], r["n_chars"], r["decoded_sha256"]) for r in got) == want
         assert all(math.isclose(r["score"], best[r["doc_id"]], rel_tol=1e-12, abs_tol=1e-6) for r in got)
+        texts = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, model, chunk), model)
+        assert Counter((r["doc_id"], r["text"]) for r in texts.collect()) == Counter((r[0], r[1] or "") for r in rows)
     assert sentencepiece_scan.round_trip(empty, model).count() == 0
 
 

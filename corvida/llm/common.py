@@ -20,6 +20,8 @@ U64 = np.uint64
 WS_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,14 +44,19 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; it goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corvida-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), 1024)))  # whole texts travel in these batches: a few MB each
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, local offsets) of consecutive rows holding about ``limit`` bytes; null text is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -139,13 +146,18 @@ def id_bitmap(ids: DataFrame, column: str, max_bits: int = 1 << 28) -> tuple[np.
     slot = (F.xxhash64(column).bitwiseAND(F.lit(bits - 1)) + 1).alias("slot")
     pieces = ids.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("piece"))
     bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for r in pieces.toLocalIterator():
+    for r in pieces.collect():
         at = (r["bucket"] - 1) * 4096
         part = np.frombuffer(bytes(r["piece"]), dtype=np.uint8)[: len(bitmap) - at]
         bitmap[at : at + len(part)] = part
     return bitmap, bits
 
 
+def id_slot(column: str, bits: int) -> Column:
+    """The bit of a bitmap of :func:`id_bitmap` that stands for the id."""
+    return F.xxhash64(column).bitwiseAND(F.lit(bits - 1))
+
+
 def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray, bits: int) -> Column:
     """False only where the id is certainly not in the bitmap."""
     sent = df.sparkSession.sparkContext.broadcast(bitmap)
@@ -155,4 +167,4 @@ def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray, bits: int) -> Colum
         s = slot.to_numpy(zero_copy_only=False)
         return pa.array((sent.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
 
-    return probe(F.xxhash64(column).bitwiseAND(F.lit(bits - 1)))
+    return probe(id_slot(column, bits))

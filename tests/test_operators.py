@@ -228,7 +228,7 @@ def test_validation_designs(spark):
 
 def test_farthest_first_spreads(spark):
     pdf = pd.DataFrame({"id": range(60), "a": np.r_[np.zeros(50), np.linspace(5, 50, 10)], "b": 0.0})
-    got = {r["id"] for r in selection.farthest_first(spark.createDataFrame(pdf), ["a", "b"], "id", 4, rows_per_chunk=20).collect()}
+    got = {r["id"] for r in selection.farthest_first(spark.createDataFrame(pdf), ["a", "b"], "id", 4, chunks=3).collect()}
     assert len(got) == 4 and 59 in got
 
 

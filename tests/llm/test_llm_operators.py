@@ -334,6 +334,34 @@ def test_chains_and_alignment():
         assert passages.common_words(a, b) == d[-1][-1]
 
 
+def test_fuzzy_passages_keep_every_shared_part(spark):
+    """Two documents share a header and a footer around bodies of their own: both parts are reported."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    shapes, data = [(60, 50), (60, 100), (100, 200), (200, 400)], []
+    for k, (part, gap) in enumerate(shapes):
+        head, foot = text(part), text(part)
+        data += [(2 * k, f"{head} {text(gap)} {foot}"), (2 * k + 1, f"{head} {text(gap)} {foot}")]
+    got = passages.fuzzy_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    for k, (part, gap) in enumerate(shapes):
+        for begin in (0, part + gap):
+            assert any(r["doc_id"] == 2 * k + 1 and r["other_id"] == 2 * k and abs(r["start"] - begin) <= 1 and abs(r["end"] - begin - part) <= 1 for r in got), (part, gap, begin)
+
+
+def test_agreements_and_segments():
+    rng = random.Random(2)
+    for n in (0, 1, 7, 40, 90):
+        for _ in range(20):
+            a, b = ([rng.randrange(5) for _ in range(rng.randint(0, n))] for _ in range(2))
+            path = passages.agreements(a, b)
+            assert len(path) == passages.common_words(a, b) and all(a[i] == b[j] for i, j in path)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(path, path[1:]))
+    a = [rng.randrange(10**9) for _ in range(9000)]
+    assert passages.agreements(a, a[:4000] + a[4100:]) == [(i, i - 100 * (i >= 4100)) for i in range(9000) if not 4000 <= i < 4100]
+    path = [(i, i) for i in range(60)] + [(90, 130)] + [(i, i) for i in range(160, 220)]
+    assert sorted(passages.segments(path, 32, 0.8)) == [(0, 60, 0, 60, 60), (160, 220, 160, 220, 60)]
+
+
 def test_sentencepiece_scan(docs, empty, rows):
     model = tokenizer("piece_bpe_32k.model")
     v = sentencepiece_scan.Vocabulary(model)

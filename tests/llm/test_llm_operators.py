@@ -348,6 +348,22 @@ def test_fuzzy_passages_keep_every_shared_part(spark):
             assert any(r["doc_id"] == 2 * k + 1 and r["other_id"] == 2 * k and abs(r["start"] - begin) <= 1 and abs(r["end"] - begin - part) <= 1 for r in got), (part, gap, begin)
 
 
+def test_fuzzy_passages_with_edits(spark):
+    """Passages of 60 words with one edit in ten words, and of 40 to 100 with random edits, are found at 85 percent and more."""
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    data, span = [], {}
+    for k in range(60):
+        w = text((40, 60, 100)[k % 3])
+        e = [f"e{k}.{i}" if (i % 10 == 5 if k < 20 else rng.random() < 0.08) else v for i, v in enumerate(w)]
+        if sum(x == y for x, y in zip(w, e)) >= 0.85 * len(w):
+            span[2 * k + 1] = (50, 50 + len(w))
+            data += [(2 * k, " ".join(text(100) + w + text(100))), (2 * k + 1, " ".join(text(50) + e + text(70)))]
+    got = passages.fuzzy_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in got if r["other_id"] == r["doc_id"] - 1 and min(r["end"], span[r["doc_id"]][1]) - max(r["start"], 50) >= 0.8 * (span[r["doc_id"]][1] - 50)}
+    assert len(span) > 50 and len(found) >= 0.95 * len(span)
+
+
 def test_agreements_and_segments():
     rng = random.Random(2)
     for n in (0, 1, 7, 40, 90):

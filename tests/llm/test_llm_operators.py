@@ -364,6 +364,44 @@ def test_fuzzy_passages_with_edits(spark):
     assert len(span) > 50 and len(found) >= 0.95 * len(span)
 
 
+def test_fuzzy_passages_compare_more_than_the_first(spark):
+    """Edited copies of one passage, a passage whose parts stand in earlier documents, and one that repeats in its document."""
+    rng = random.Random(13)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    w = text(60)
+    data = [(i, " ".join(text(40) + [f"e{i}.{k}" if rng.random() < 0.08 else v for k, v in enumerate(w)] + text(40))) for i in range(30)]
+    p, q = text(50), text(60)
+    data += [(40, " ".join(text(20) + p[:30] + text(20))), (41, " ".join(text(20) + p[21:] + text(20)))]
+    data += [(42, " ".join(text(20) + p + text(20))), (43, " ".join(text(35) + p + text(20)))]
+    data += [(50, " ".join(text(20) + q + text(90) + q + text(20)))]
+    got = passages.fuzzy_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len({r["doc_id"] for r in got if r["doc_id"] < 30 and r["end"] - r["start"] >= 50}) >= 27
+    assert any((r["doc_id"], r["other_id"], r["start"], r["end"]) == (43, 42, 35, 85) for r in got)
+    assert [(r["other_start"], r["other_end"], r["start"], r["end"]) for r in got if r["doc_id"] == r["other_id"]] == [(20, 80, 170, 230)]
+
+
+def test_linked_occurrences(spark):
+    """Links of a common seed do not depend on where the sorted rows are cut."""
+    rows = sorted({(s, rng.randrange(200), rng.randrange(50)) for rng in [random.Random(14)] for s in [7] * 300 + [8] * 3 + [9] * 120 + list(range(20, 60)) * 2})
+    want = set()
+    for s in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == s]
+        for i, r in enumerate(own):
+            want |= {(r[0], o[0], r[1], o[1]) for o in [own[0], *own[max(0, i - passages.NEAR) : i]] if o != r}
+    d = spark.createDataFrame(rows + rows[:50], "seed long, doc_id long, at int").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for parts, batch in (("1", "10"), ("7", "1"), ("40", "4")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert {tuple(r) for r in passages.linked(d).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[1])
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_agreements_and_segments():
     rng = random.Random(2)
     for n in (0, 1, 7, 40, 90):

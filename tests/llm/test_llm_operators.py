@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corvida.llm import exact_dedup, fingerprints, lm, minhash, packing, passages, sentencepiece_scan, sharding, suffix_dedup, toxicity
 from corvida.llm.catalog import tokenizer
 
@@ -196,6 +197,18 @@ def test_sketch_coordinates_are_full_and_unbiased():
     assert abs((s[0] == s[1]).mean() - 1 / 3) < 0.08
 
 
+def test_pipeline_near_stage_at_80_percent(spark):
+    """The later document of a pair at 0.82 leaves, that of a pair at 0.79 stays."""
+    rng = random.Random(15)
+    data = []
+    for k in range(30):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        kept = 94 if k < 20 else 92  # 90 or 88 common shingles of 100
+        data += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:kept] + [f"e{k}.{i}" for i in range(104 - kept)]))]
+    left = corpus_pipeline.near_stage(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted([*range(0, 40, 2), *range(40, 60)])
+
+
 def test_fingerprints(docs, empty, spark, rows):
     uniq = {r[0]: r[1] for r in rows}
     d = spark.createDataFrame(sorted(uniq.items()), "doc_id long, text string").repartition(4)

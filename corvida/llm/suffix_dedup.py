@@ -4,14 +4,13 @@ A text is cut where a rolling hash of ``GRAM`` bytes is the smallest of ``SPAN``
 such a trigger at a place that its own bytes decide, so equal windows fall into phrases with the same trigger, wherever
 they stand. A phrase is the run of windows of one trigger; its core is what all those windows share.
 
-The dictionary holds the distinct phrases, the parse is each document's sequence of phrases. Both are ordered by
-fingerprint instead of by letter: the deletion rule only asks which suffixes agree on their first ``WINDOW`` bytes, and any
-total order of suffixes puts those next to each other. So
+No suffix array is built and nothing is ordered: the deletion rule only asks which suffixes agree on their first ``WINDOW``
+bytes, and grouping the windows by fingerprints answers that. So
 
 1. phrases whose core stands alone have no repeat and leave;
-2. phrases that occur twice as a whole are repeated in every window (parse order);
-3. the suffixes of the other phrases, one copy per distinct phrase, are ordered among each other (dictionary order), and
-   neighbours with the same first ``WINDOW`` bytes are repeats.
+2. phrases that occur twice as a whole are repeated in every window;
+3. the windows of the other phrases, one copy per distinct phrase, are grouped by (core, window fingerprint), and groups of
+   two and more are repeats.
 
 All grouping is by aggregates with partial sums and by joins against written tables, so a passage of thousands of
 documents is one row after the first step. Texts are shuffled only for documents that have repeats, found by a bitmap of

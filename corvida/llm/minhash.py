@@ -14,7 +14,8 @@ comparison are read again for their sets; they are recognised by a bitmap of bou
 At threshold 0.85, 40 bands of 6 coordinates miss a linked pair with a chance below 1e-8.
 
 Defined cases: null or word-free text has no shingles and is linked with nothing; fewer words than a shingle make one
-shingle; equal texts are one class; repeated ids are one document; an empty table gives no rows; other columns are
+shingle; equal texts are one class; rows without an id are compared with nothing and stay in ``drop_near_copies``;
+repeated ids are one document; an empty table gives no rows; other columns are
 carried untouched.
 """
 

@@ -393,6 +393,14 @@ def test_fuzzy_passages_compare_more_than_the_first(spark):
     assert [(r["other_start"], r["other_end"], r["start"], r["end"]) for r in got if r["doc_id"] == r["other_id"]] == [(20, 80, 170, 230)]
 
 
+def test_rows_without_id(spark):
+    """op8 leaves rows without an id out; near dedup never drops them."""
+    t = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(None, t), (None, t + " x"), (1, "a b c d e f")], "doc_id long, text string")
+    assert passages.fuzzy_passages(d).count() == 0
+    assert minhash.drop_near_copies(d).count() == 3
+
+
 def test_linked_occurrences(spark):
     """Links of a common seed do not depend on where the sorted rows are cut."""
     rows = sorted({(s, rng.randrange(200), rng.randrange(50)) for rng in [random.Random(14)] for s in [7] * 300 + [8] * 3 + [9] * 120 + list(range(20, 60)) * 2})

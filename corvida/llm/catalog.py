@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvida.llm import exact_dedup, fingerprints, lm, minhash, packing, passages, sentencepiece_scan, sharding, suffix_dedup, toxicity
+from corvida.llm import conversations, exact_dedup, fingerprints, html_main, lm, minhash, packing, passages, sentencepiece_scan, sharding, suffix_dedup, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -82,3 +82,18 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)""")
 def op10(spark, sf):
     return exact_dedup.duplicate_groups(documents(spark, sf))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf):
+    return whitening.whitened_rows(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    return conversations.repair_damaged(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query("op13_html_main_text")
+def op13(spark, sf):
+    return html_main.extract(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "url", "text", "n_chars", "path")

@@ -6,9 +6,10 @@ gives the hash of any span in constant time, because B is odd and so has an inve
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ U64 = np.uint64
 WS_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -41,23 +42,54 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; it goes when the driver's JVM ends."""
+    """Cut the lineage with a Parquet table in the shared folder; it goes with :func:`dropped`, or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corvida-{uuid.uuid4().hex}"
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(int(before), 1024)))  # whole texts travel in these batches: a few MB each
+    before = {k: spark.conf.get(k, None) for k in ARROW_LIMITS}
+    for k, most in ARROW_LIMITS.items():  # whole texts travel in these batches: a few MB each
+        spark.conf.set(k, str(most if before[k] is None or int(before[k].rstrip("b") or 0) <= 0 else min(int(before[k].rstrip("b")), most)))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, before)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    p, files = _folder(spark, path)
+    files.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def text_slices(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` whose last reader has been written itself."""
+    for t in tables:
+        p, files = _folder(t.sparkSession, t._written_at)
+        files.delete(p, True)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()  # the shuffles behind them go once their plans are collected
+
+
+# What a reused Python worker keeps from an earlier operator; the scans of other operators let it go first.
+KEPT: list[Callable[[], bool]] = []
+
+
+def forget() -> None:
+    """Clear what other operators keep in this worker and hand the memory back."""
+    if any([clear() for clear in KEPT]):
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+
+def text_slices(col: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, local offsets) of consecutive rows holding about ``limit`` bytes; null text is empty."""
+    forget()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = pc.fill_null(col.cast(pa.large_string()), "")
@@ -83,39 +115,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+BASE = 0x9E3779B97F4A7C15
+STEP = 1 << 16
+
+
+def _powers(b: int) -> np.ndarray:
+    x = np.full(STEP, b, dtype=np.uint64)
+    x[0] = 1
+    return np.cumprod(x, dtype=np.uint64)
+
+
+UP, DOWN = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))  # one pair for all seeds, 1 MB together
+
+
 class SpanHash:
-    """Prefix hashes of one byte buffer; ``span`` hashes any slices of it, equal bytes giving equal values."""
+    """Prefix hashes of one byte buffer; ``span`` hashes any slices of it, equal bytes giving equal values.
 
-    _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    Powers beyond ``STEP`` are the product of one inside the table and one per block of ``STEP`` bytes."""
 
     def __init__(self, buf: np.ndarray, seed: int = 1, fold: np.ndarray | None = None):
-        base = (0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019) % (1 << 64) | 1
         n = len(buf)
-        self.up, self.down = self._powers(base, n + 1)
         table = mix(np.arange(1, 257, dtype=np.uint64) * U64(0xD1B54A32D192ED03) + U64(seed))
         if fold is not None:
             table = table[fold]
+        blocks = n // STEP + 1
+        self.down = np.array([pow(BASE, -STEP * k, 1 << 64) for k in range(blocks)], dtype=np.uint64)
         self.pre = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(table[buf] * self.up[:n], out=self.pre[1:])
-
-    @classmethod
-    def _powers(cls, base: int, n: int):
-        got = cls._pow.get(base)
-        if got is None or len(got[0]) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-
-            def powers(b):
-                x = np.full(size, b, dtype=np.uint64)
-                x[0] = 1
-                return np.cumprod(x, dtype=np.uint64)
-
-            got = (powers(base), powers(pow(base, -1, 1 << 64)))
-            if size <= 1 << 23:
-                cls._pow[base] = got
-        return got
+        values = self.pre[1:]
+        for k in range(blocks):
+            part = buf[k * STEP : (k + 1) * STEP]
+            values[k * STEP : k * STEP + len(part)] = table[part] * UP[: len(part)] * U64(pow(BASE, STEP * k, 1 << 64))
+        np.cumsum(values, out=values)
 
     def raw(self, start, end) -> np.ndarray:
-        return (self.pre[end] - self.pre[start]) * self.down[start]
+        return (self.pre[end] - self.pre[start]) * DOWN[start % STEP] * self.down[start // STEP]
 
     def span(self, start, end) -> np.ndarray:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64) * U64(0xA0761D6478BD642F))

@@ -195,12 +195,16 @@ def block_links(left: list[tuple], right: list[tuple], percent: int, columns: in
     return out
 
 
-def open_links(member: DataFrame, docs: DataFrame, percent: int, block: int = 128) -> DataFrame:
-    """Links across components inside the buckets that pivots left open; ``member`` has band, node, component."""
+def open_links(member: DataFrame, docs: DataFrame, percent: int, block: int = 128, shingles_at_once: int = 1 << 18) -> DataFrame:
+    """Links across components inside the buckets that pivots left open; ``member`` has band, node, n_shingles, component.
+
+    A block holds about ``block`` members and ``shingles_at_once`` shingles (one longer set is a block of its own size)."""
     sets = written(shingle_sets(docs, written(member.select(F.col("node").alias("doc_id")).distinct())))
-    per = written(member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")))
-    bands = per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-    bands = written(bands.select("band", F.col("top.component").alias("top"), F.ceil(F.col("n") / block).cast("long").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("long").alias("few")))
+    per = written(member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")))
+    bands = per.groupBy("band").agg(F.max(F.struct("n", "component", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    cuts = lambda n, s: F.ceil(F.greatest(n / block, s / shingles_at_once)).cast("long")
+    rest = cuts(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))
+    bands = written(bands.select("band", F.col("top.component").alias("top"), cuts(F.col("n"), F.col("s")).alias("blocks"), rest.alias("few")))
     rows = member.select("band", "node", "component").join(bands, "band").join(sets.withColumnRenamed("doc_id", "node"), "node")
     cell = F.collect_list(F.struct("node", "component", "shingles"))
     every = rows.groupBy("band", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("no")).agg(cell.alias("y")).select("band", "y")

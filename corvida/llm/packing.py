@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.llm.common import written
+from corvida.llm.common import KEPT, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 OTHER_SPACE = "\t\n\x0b\x0c\r"
@@ -67,6 +67,15 @@ class WordCache:
         return b"".join(got)
 
 
+def _clear_words() -> bool:
+    had = bool(WordCache._by_path)
+    WordCache._by_path.clear()
+    return had
+
+
+KEPT.append(_clear_words)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids themselves on request."""
     end = np.array([end_id], dtype="<u4").tobytes()

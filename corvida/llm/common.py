@@ -80,11 +80,16 @@ KEPT: list[Callable[[], bool]] = []
 def forget() -> None:
     """Clear what other operators keep in this worker and hand the memory back."""
     if any([clear() for clear in KEPT]):
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not this C library
-            pass
+        trim()
+
+
+def trim() -> None:
+    """Hand freed memory of this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
 
 
 def text_slices(col: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

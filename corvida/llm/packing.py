@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.llm.common import KEPT, written
+from corvida.llm.common import KEPT, trim, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 OTHER_SPACE = "\t\n\x0b\x0c\r"
-CACHED_WORDS, CACHED_LENGTH = 1_200_000, 48
+CACHED_WORDS, CACHED_LENGTH = 500_000, 48
 
 
 class WordCache:
@@ -82,6 +82,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()  # what earlier operators freed in this worker goes back before the cache grows
         cache = WordCache.of(tokenizer)
         for batch in batches:
             rows: list[tuple] = []

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corvida.functions.columns import blank_to_null, ratio
 from corvida.functions.labels import consistency_level, pattern_family
-from corvida.functions.ranks import bounded_groups, exact_quantiles, prefix_sums, robust_sigma, with_neighbours, with_position
+from corvida.functions.ranks import bounded_groups, exact_quantiles, robust_sigma, with_neighbours, with_position
+from corvida.operators.differences import BLOCK, median_difference
 from corvida.session import cut_lineage
 
 BREAK_SCORE = 3.0
@@ -60,49 +61,20 @@ def pattern_edges(points: DataFrame, base_pattern: str = "n-alkane", min_formula
         (fa == fb).alias("same_family"))
 
 
-def edge_medians(edges: DataFrame, df: DataFrame, formula: str, pattern: str, value: str,
-                 direct_limit: int = 100_000, tolerance: float = 1e-12, max_rounds: int = 80) -> DataFrame:
-    """(edge_label, formula, median_delta): exact median of the member differences of every edge.
-
-    Edges with at most ``direct_limit`` differences list them (a bounded group). Larger ones are
-    bisected on the value: each round counts, with running totals, how many differences lie below
-    the midpoint, in n_a + n_b rows per edge rather than n_a * n_b.
-    """
-    vals = df.where(F.col(value).isNotNull()).groupBy(
-        F.col(formula).alias("formula"), F.col(pattern).alias("pattern"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    side = lambda s: vals.select("formula", F.col("pattern").alias(f"pattern_{s}"), F.col("v").alias(f"v{s}"), F.col("c").alias(f"c{s}"))
-    key = ["edge_label", "formula"]
-    small = edges.where(F.col("n_pairs") <= direct_limit).select(*key, "pattern_a", "pattern_b")
-    direct = (small.join(side("a"), ["formula", "pattern_a"]).join(side("b"), ["formula", "pattern_b"])
-              .groupBy(*key).agg(F.percentile(F.col("va") - F.col("vb"), F.lit(0.5), F.col("ca") * F.col("cb")).alias("median_delta")))
-    large = edges.where(F.col("n_pairs") > direct_limit)
-    if large.isEmpty():
-        return direct
-    k = F.explode(F.array_distinct(F.array(F.floor((F.col("n_pairs") + 1) / 2), F.floor(F.col("n_pairs") / 2) + 1))).alias("k")
-    state = cut_lineage(large.select(*key, "pattern_a", "pattern_b", k, F.col("min_delta").alias("lo"), F.col("max_delta").alias("hi")))
-    unit = [*key, "k"]
-    done = F.col("hi") - F.col("lo") <= tolerance * F.greatest(F.lit(1.0), F.abs("lo"), F.abs("hi"))
-    for _ in range(max_rounds):
-        open_ = state.where(~done).withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
-        if open_.isEmpty():
-            break
-        left = open_.join(side("a"), ["formula", "pattern_a"]).select(*unit, F.col("va").alias("v"), F.col("ca").alias("l"), F.lit(0).cast("bigint").alias("r"))
-        right = open_.join(side("b"), ["formula", "pattern_b"]).select(*unit, (F.col("vb") + F.col("mid")).alias("v"), F.lit(0).cast("bigint").alias("l"), F.col("cb").alias("r"))
-        ev = left.unionByName(right).groupBy(*unit, "v").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        cnt = prefix_sums(ev, unit, "v", "l", "before").groupBy(*unit).agg(F.sum(F.col("r") * (F.col("before") + F.col("l"))).alias("below"))
-        step = state.join(cnt, unit, "left").withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
-        state = cut_lineage(step.select(
-            *unit, "pattern_a", "pattern_b",
-            F.when(F.col("below") < F.col("k"), F.col("mid")).otherwise(F.col("lo")).alias("lo"),
-            F.when(F.col("below") >= F.col("k"), F.col("mid")).otherwise(F.col("hi")).alias("hi")))
-    return direct.unionByName(state.groupBy(*key).agg(F.avg("hi").alias("median_delta")))
+def edge_medians(edges: DataFrame, df: DataFrame, formula: str, pattern: str, value: str, block: int = BLOCK) -> DataFrame:
+    """(edge_label, formula, median_delta): exact median of the member differences of every edge, in n_a + n_b values per edge
+    and round instead of n_a * n_b (see :mod:`corvida.operators.differences`)."""
+    side = lambda s: F.struct(F.col("formula"), F.col(f"pattern_{s}").alias("pattern")).alias(s)
+    groups = df.select(F.col(formula).alias("formula"), F.col(pattern).alias("pattern"), F.col(value).alias("v")).where("formula IS NOT NULL AND pattern IS NOT NULL")
+    med = median_difference(edges.select("edge_label", side("a"), side("b"), "n_pairs"), groups, ["formula", "pattern"], "v", block)
+    return med.select("edge_label", "a.formula", F.col("median").alias("median_delta"))
 
 
 def edge_table(df: DataFrame, formula: str, pattern: str, value: str, coordinate: str | None = None,
-               min_formulas: int = 1, direct_limit: int = 100_000) -> DataFrame:
+               min_formulas: int = 1) -> DataFrame:
     """One row per (edge, formula) with the median difference, its spread and an ambiguity flag."""
     edges = cut_lineage(pattern_edges(pattern_points(df, formula, pattern, value), min_formulas=min_formulas))
-    med = edge_medians(edges, df, formula, pattern, value, direct_limit)
+    med = edge_medians(edges, df, formula, pattern, value)
     out = edges.join(med, ["edge_label", "formula"]).withColumns({
         "delta_spread": F.col("max_delta") - F.col("min_delta"), "ambiguous": F.col("n_pairs") > 1})
     if coordinate and coordinate != formula:

@@ -150,17 +150,6 @@ def test_knn_exact_with_copies(spark):
         assert g["tid"].tolist() == want
 
 
-@pytest.mark.parametrize("limit", [10**6, 20])
-def test_edge_medians_direct_and_bisected(spark, limit):
-    rng = np.random.default_rng(2)
-    rows = [("f1", p, float(rng.normal())) for p, n in (("a", 9), ("b", 8), ("c", 1)) for _ in range(n)]
-    df = frame(spark, rows, "f string, p string, v double")
-    e = series.pattern_edges(series.pattern_points(df, "f", "p", "v"))
-    got = {r["edge_label"]: r["median_delta"] for r in series.edge_medians(e, df, "f", "p", "v", direct_limit=limit, tolerance=1e-7).collect()}
-    vals = {p: [v for _, q, v in rows if q == p] for p in "abc"}
-    for a, b in itertools.combinations("abc", 2):
-        assert got[f"{a} minus {b}"] == pytest.approx(np.median(np.subtract.outer(vals[a], vals[b])), abs=1e-5)
-
 
 def test_reference_hierarchy_matches_sequential(spark):
     rng = np.random.default_rng(4)

@@ -147,16 +147,16 @@ def val7(spark, sf):
     return rounded(spark.createDataFrame(t), 6, train_size=4, train_rmse_mean=3, train_rmse_std=3, cv_rmse_mean=3, cv_rmse_std=3)
 
 
-@query("val9_repeated_holdout", f"""WITH {ORDERS_SQL}, d AS (SELECT *, {portable_hash_sql('row_id', 'rep')} < {int(0.2 * HASH_PRIME)} AS t FROM om, range(5) q(rep)), {ridge_sql('m', 'd', 'rep', 'NOT t')},
+@query("val9_repeated_holdout", f"""WITH {ORDERS_SQL}, d AS (SELECT *, {portable_hash_sql('row_id', 'rep')} < {int(0.2 * HASH_PRIME)} AS t FROM om, range(10) q(rep)), {ridge_sql('m', 'd', 'rep', 'NOT t')},
 s AS (SELECT d.*, {PRED} AS p FROM d JOIN m USING (rep) WHERE t) SELECT rep AS repeat, n, {r('rmse', 3, 'rmse')}, {r('r2', 6, 'r2')} FROM ({score_sql('s', 'rep')})""")
 def val9(spark, sf):
-    return rounded(spark.createDataFrame(validation.repeated_holdout(order_matrix(spark, sf), X, "y", "row_id", repeats=5)).select("repeat", "n", "rmse", "r2"), 6, rmse=3)
+    return rounded(spark.createDataFrame(validation.repeated_holdout(order_matrix(spark, sf), X, "y", "row_id")).select("repeat", "n", "rmse", "r2"), 6, rmse=3)
 
 
-@query("val10_bootstrap_oob", f"""WITH {ORDERS_SQL}, d AS (SELECT om.*, b, {poisson_weight_sql(portable_hash_sql('row_id', 'b'))} AS w FROM om, range(5) q(b)), {ridge_sql('m', 'd', 'b', 'w > 0', w='w')},
+@query("val10_bootstrap_oob", f"""WITH {ORDERS_SQL}, d AS (SELECT om.*, b, {poisson_weight_sql(portable_hash_sql('row_id', 'b'))} AS w FROM om, range(50) q(b)), {ridge_sql('m', 'd', 'b', 'w > 0', w='w')},
 s AS (SELECT d.*, {PRED} AS p FROM d JOIN m USING (b) WHERE w = 0) SELECT b AS replicate, n, {r('rmse', 3, 'rmse')}, {r('r2', 5, 'r2')} FROM ({score_sql('s', 'b')})""")
 def val10(spark, sf):
-    return rounded(spark.createDataFrame(validation.bootstrap_oob(order_matrix(spark, sf), X, "y", "row_id", replicates=5)).select("replicate", "n", "rmse", "r2"), 5, rmse=3)
+    return rounded(spark.createDataFrame(validation.bootstrap_oob(order_matrix(spark, sf), X, "y", "row_id")).select("replicate", "n", "rmse", "r2"), 5, rmse=3)
 
 
 @query("val11_y_randomization", f"""WITH {ORDERS_SQL}, ps AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM om),

@@ -88,10 +88,11 @@ def portable_hash(c, salt: int | Column = 0) -> Column:
 
 
 def portable_hash_block(x: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """(rows, salts) hashes of non-negative ids in NumPy, equal to :func:`portable_hash`."""
+    """(rows, salts) hashes of ids in NumPy, equal to :func:`portable_hash`."""
     p = np.int64(HASH_PRIME)
     x, s = x.astype(np.int64)[:, None], salts.astype(np.int64)[None, :] % p
-    v = ((x % p + (x // p) % p * HASH_B) % p * HASH_A + s * HASH_B + HASH_C) % p
+    quotient = np.where(x < 0, -(-x // p), x // p)  # towards zero, as the column form divides
+    v = ((x % p + quotient % p * HASH_B) % p * HASH_A + s * HASH_B + HASH_C) % p
     square = v * v % p
     return (square * square % p * v % p * HASH_A + s * HASH_C + 7919) % p
 

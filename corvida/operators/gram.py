@@ -6,15 +6,16 @@ replicates or splits, so what reaches the driver is (number of splits) x (p+1)^2
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import dot, finite
+from corvida.functions.columns import POISSON_CUTS, dot, portable_hash_block
 
 EXPRESSION_LIMIT = 24
 MAX_FEATURES = 4000
@@ -153,14 +154,23 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     return np.array([row[i] or 0.0 for i in range(len(cols))], dtype=float)
 
 
+def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row rule for every size: a row with a NULL, NaN or infinity in any column is left out. Plain terms stay in generated code."""
+    for a in range(0, len(cols), EXPRESSION_LIMIT):
+        rule = F.lit(True)
+        for c in cols[a:a + EXPRESSION_LIMIT]:
+            rule = rule & (F.abs(F.col(c).cast("double")) < float("inf"))  # false for infinities and NaN, null for null
+        df = df.where(rule)
+    return df
+
+
 def grams(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), weight: str | None = None,
           shift: np.ndarray | None = None) -> dict:
     """{key value(s): Gram}. Few columns are summed in generated code, many in per-partition NumPy blocks."""
     cols = [*features, target]
     if len(cols) > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} columns: select descriptors first")
-    # One row rule for every size: a row with a NULL, NaN or infinity in any column is left out.
-    df = df.where(F.reduce(F.array(*[F.coalesce(finite(F.col(c).cast("double")).isNotNull(), F.lit(False)) for c in cols]), F.lit(True), lambda a, b: a & b))
+    df = complete_rows(df, cols)
     shift = column_means(df, cols) if shift is None else shift
     p1 = len(cols)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -210,6 +220,61 @@ def _key(row, keys):
     return () if not keys else row[keys[0]] if len(keys) == 1 else tuple(row[k] for k in keys)
 
 
+def draws_poisson(h: np.ndarray) -> np.ndarray:
+    """Resampling counts of a block of hashes, as :func:`corvida.functions.columns.poisson_weight` draws them."""
+    return np.searchsorted(np.array(POISSON_CUTS), h, side="right")
+
+
+def replicate_grams(df: DataFrame, features: Sequence[str], target: str, ident: str, replicates: int, weights: Sequence[Callable[[np.ndarray], np.ndarray]],
+                    rows_at_once: int = 2048, numbers_at_once: int = 1 << 22) -> list[dict[int, tuple[Gram, int]]]:
+    """Per weighting: {replicate: (Gram, rows with weight)} for resamples 0 to ``replicates`` - 1, without a copy of any row.
+
+    A weighting turns a (rows, replicates) block of hashes of (id, replicate) into weights. The weighted sums of all
+    replicates are one product of that block with the rows' packed outer products, so a batch costs one matrix product. A
+    task keeps ``numbers_at_once`` sums at most: more replicates than that go in several passes. Rows without an id,
+    or with a value that is not finite, are left out."""
+    cols = [*features, target]
+    df = complete_rows(df, cols).where(F.col(ident).isNotNull())
+    shift = column_means(df, cols)
+    p1 = len(cols)
+    left, right = np.triu_indices(p1 + 1)
+    size = len(left)
+    d = df.select(F.col(ident).cast("bigint").alias("_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    per_pass = max(1, numbers_at_once // (size * len(weights)))
+    out: list[dict[int, tuple[Gram, int]]] = [{} for _ in weights]
+    for low in range(0, replicates, per_pass):
+        salts = np.arange(low, min(replicates, low + per_pass))
+
+        def add(batches, salts=salts):
+            sums = np.zeros((len(weights), len(salts), size))
+            rows = np.zeros((len(weights), len(salts)), dtype=np.int64)
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, p1) - shift
+                for a in range(0, len(ids), rows_at_once):
+                    z = np.hstack((np.ones((len(ids[a:a + rows_at_once]), 1)), x[a:a + rows_at_once]))
+                    packed = z[:, left] * z[:, right]
+                    h = portable_hash_block(ids[a:a + rows_at_once], salts)
+                    for i, weigh in enumerate(weights):
+                        w = weigh(h)
+                        rows[i] += (w != 0).sum(axis=0)
+                        sums[i] += w.T.astype(float) @ packed
+            if rows.any():
+                which, rep = (v.ravel() for v in np.meshgrid(np.arange(len(weights)), salts, indexing="ij"))
+                lists = pa.ListArray.from_arrays(np.arange(len(which) + 1, dtype=np.int32) * size, pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(rep.astype(np.int32)), pa.array(rows.ravel()), lists], names=["which", "replicate", "n", "v"])
+
+        parts = d.mapInArrow(add, "which int, replicate int, n bigint, v array<double>")
+        sums = parts.select("which", "replicate", "n", F.posexplode("v").alias("i", "x")).groupBy("which", "replicate", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        joined = sums.groupBy("which", "replicate").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+        for r in joined.collect():
+            if r["n"]:
+                full = np.zeros((p1 + 1, p1 + 1))
+                full[left, right] = full[right, left] = r["v"]
+                out[r["which"]][r["replicate"]] = (Gram(tuple(features), shift, full[0, 0], full[0, 1:], full[1:, 1:]), r["n"])
+    return out
+
+
 def total(parts) -> Gram:
     out = None
     for g in parts:

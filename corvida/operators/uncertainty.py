@@ -8,22 +8,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import poisson_weight, portable_hash
 from corvida.functions.ranks import exact_quantiles
 from corvida.operators import domain
-from corvida.operators.gram import LinearModel, grams
+from corvida.operators.gram import LinearModel, draws_poisson, grams, replicate_grams
 from corvida.operators.knn import as_vector, local_error, nearest_neighbours
 from corvida.operators.validation import conformal_radius, kfold
 
 
 def bootstrap_models(train: DataFrame, features, target: str, ident: str, replicates: int = 100, alpha: float = 1.0, min_unique: float = 0.35) -> list[LinearModel]:
     """One refit per resample from weighted statistics; resamples with too few distinct rows are dropped."""
-    d = train.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    d = d.withColumn("_w", poisson_weight(portable_hash(ident, F.col("replicate")))).where("_w > 0")
     n = train.count()
-    unique = {r["replicate"]: r["n"] for r in d.groupBy("replicate").agg(F.count("*").alias("n")).collect()}
-    g = grams(d, features, target, ["replicate"], weight="_w")
-    return [g[b].ridge(alpha) for b in sorted(g) if unique[b] >= max(2, int(n * min_unique))]
+    (g,) = replicate_grams(train, features, target, ident, replicates, [draws_poisson])
+    return [g[b][0].ridge(alpha) for b in sorted(g) if g[b][1] >= max(2, int(n * min_unique))]
 
 
 def bootstrap_columns(df: DataFrame, models: Sequence[LinearModel]) -> DataFrame:

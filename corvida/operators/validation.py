@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import HASH_PRIME, poisson_weight, portable_hash
+from corvida.functions.columns import HASH_PRIME, portable_hash
 from corvida.functions.labels import quality_label
 from corvida.functions.ranks import exact_quantiles, with_position
-from corvida.operators.gram import Gram, grams, indexed_prediction, total
+from corvida.operators.gram import Gram, draws_poisson, grams, indexed_prediction, replicate_grams, total
 from corvida.operators.stats import regression_metrics
 
 
@@ -162,20 +162,15 @@ def curve_diagnosis(table: pd.DataFrame) -> str:
 
 def repeated_holdout(df: DataFrame, features, target: str, ident: str, repeats: int = 10, fraction: float = 0.2, alpha: float = 1.0) -> list[dict]:
     """Test RMSE / R2 of every random split."""
-    d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    d = d.withColumn("is_test", in_test(ident, fraction, F.col("repeat")))
-    g = grams(d, features, target, ["repeat", "is_test"])
-    return [{"repeat": r, **g[(r, True)].scores(g[(r, False)].ridge(alpha))} for r in range(repeats) if (r, True) in g]
+    cut = int(fraction * HASH_PRIME)
+    test, train = replicate_grams(df, features, target, ident, repeats, [lambda h: h < cut, lambda h: h >= cut])
+    return [{"repeat": r, **test[r][0].scores(train[r][0].ridge(alpha))} for r in range(repeats) if r in test and r in train]
 
 
 def bootstrap_oob(df: DataFrame, features, target: str, ident: str, replicates: int = 50, alpha: float = 1.0) -> list[dict]:
     """Out-of-bag RMSE / R2 per resample; resampling counts are unit-mean Poisson hash draws."""
-    d = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    d = d.withColumn("_w", poisson_weight(portable_hash(ident, F.col("replicate"))))
-    d = d.withColumns({"oob": F.col("_w") == 0, "_w": F.greatest("_w", F.lit(1))})
-    d = d.withColumn("_w", F.col("_w"))
-    g = grams(d, features, target, ["replicate", "oob"], weight="_w")
-    return [{"replicate": b, **g[(b, True)].scores(g[(b, False)].ridge(alpha))} for b in range(replicates) if (b, True) in g and (b, False) in g]
+    drawn, left = replicate_grams(df, features, target, ident, replicates, [draws_poisson, lambda h: draws_poisson(h) == 0])
+    return [{"replicate": b, **left[b][0].scores(drawn[b][0].ridge(alpha))} for b in range(replicates) if b in left and b in drawn]
 
 
 def validation_table(df: DataFrame, features, target: str, ident: str, alpha: float = 1.0, fraction: float = 0.2, k: int = 5, repeats: int = 5, replicates: int = 50) -> DataFrame:

@@ -92,26 +92,26 @@ def unc1(spark, sf):
     return rounded(validation.kfold(order_matrix(spark, sf), X, "y", "row_id")[0].select("row_id", "y_pred"), 2)
 
 
-RK_SQL = f"""rp AS (SELECT *, {fold_sql('row_id', 5, 'rep')} AS fold FROM om, range(3) t(rep)), tr AS (SELECT f, rp.* FROM rp, range(5) q(f) WHERE fold <> f), {ridge_sql('md', 'tr', 'rep, f')},
+RK_SQL = f"""rp AS (SELECT *, {fold_sql('row_id', 5, 'rep')} AS fold FROM om, range(5) t(rep)), tr AS (SELECT f, rp.* FROM rp, range(5) q(f) WHERE fold <> f), {ridge_sql('md', 'tr', 'rep, f')},
 sc AS (SELECT rp.*, {PRED} AS p FROM rp JOIN md ON md.rep = rp.rep AND md.f = rp.fold)"""
 
 
 @query("val3_repeated_kfold", f"WITH {ORDERS_SQL}, {RK_SQL} SELECT CAST(rep AS INTEGER) AS repeat, CAST(fold AS INTEGER) AS fold, n, {r('rmse', 4, 'rmse')}, {r('r2', 6, 'r2')}, {r('mae', 4, 'mae')} FROM ({score_sql('sc', 'rep, fold')})")
 def val3(spark, sf):
-    d = validation.repeated_kfold(order_matrix(spark, sf), X, "y", "row_id", repeats=3)
+    d = validation.repeated_kfold(order_matrix(spark, sf), X, "y", "row_id")
     return rounded(validation.split_metrics(d, ["repeat", "fold"], "y").select("repeat", "fold", "n", "rmse", "r2", "mae"), 4, r2=6)
 
 
 @query("agg31_validation_summary", f"""WITH {ORDERS_SQL}, {RK_SQL}, s AS ({score_sql('sc', 'rep, fold')}), u AS (SELECT unnest(['rmse', 'mae']) AS metric, unnest([rmse, mae]) AS v FROM s)
 SELECT metric, {r('avg(v)', 4, 'mean')}, {r('stddev_samp(v)', 4, 'std')}, {r('min(v)', 4, 'min')}, {r('max(v)', 4, 'max')} FROM u GROUP BY 1""")
 def agg31(spark, sf):
-    d = validation.repeated_kfold(order_matrix(spark, sf), X, "y", "row_id", repeats=3)
+    d = validation.repeated_kfold(order_matrix(spark, sf), X, "y", "row_id")
     return rounded(validation.metric_summary(validation.split_metrics(d, ["repeat", "fold"], "y"), ["rmse", "mae"]), 4)
 
 
 @query("val3_mean_predictions", f"WITH {ORDERS_SQL}, {RK_SQL} SELECT row_id, count(*) AS prediction_count, {r('avg(p)', 2, 'y_pred')} FROM sc GROUP BY 1")
 def val3_mean(spark, sf):
-    d = validation.repeated_kfold(order_matrix(spark, sf), X, "y", "row_id", repeats=3)
+    d = validation.repeated_kfold(order_matrix(spark, sf), X, "y", "row_id")
     return rounded(validation.mean_prediction(d, "row_id", "y").select("row_id", "prediction_count", "y_pred"), 2)
 
 

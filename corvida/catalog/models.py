@@ -227,14 +227,14 @@ sg AS ({score_sql('al', 'method')}),
 rp AS (SELECT *, {fold_sql('row_id', 5, 'rep')} AS fold FROM om, range(5) t(rep)), rt AS (SELECT f, rp.* FROM rp, range(5) q(f) WHERE fold <> f), {ridge_sql('md', 'rt', 'rep, f', alpha=0.0)},
 rk AS (SELECT rp.*, {PRED} AS p FROM rp JOIN md ON md.rep = rp.rep AND md.f = rp.fold), sk AS ({score_sql('rk', 'rep, fold')}),
 rh AS (SELECT *, {portable_hash_sql('row_id', 'rep')} < {int(0.2 * HASH_PRIME)} AS t FROM om, range(5) q(rep)), {ridge_sql('me', 'rh', 'rep', 'NOT t', alpha=0.0)}, hp AS (SELECT rh.*, {PRED} AS p FROM rh JOIN me USING (rep) WHERE t), sh AS ({score_sql('hp', 'rep')}),
-bw AS (SELECT om.*, b, {poisson_weight_sql(portable_hash_sql('row_id', 'b'))} AS w FROM om, range(20) q(b)), {ridge_sql('mf', 'bw', 'b', 'w > 0', w='w', alpha=0.0)}, bp AS (SELECT bw.*, {PRED} AS p FROM bw JOIN mf USING (b) WHERE w = 0), sb AS ({score_sql('bp', 'b')}),
+bw AS (SELECT om.*, b, {poisson_weight_sql(portable_hash_sql('row_id', 'b'))} AS w FROM om, range(50) q(b)), {ridge_sql('mf', 'bw', 'b', 'w > 0', w='w', alpha=0.0)}, bp AS (SELECT bw.*, {PRED} AS p FROM bw JOIN mf USING (b) WHERE w = 0), sb AS ({score_sql('bp', 'b')}),
 mt AS (SELECT method, r2, rmse, mae, NULL::DOUBLE AS r2_std FROM sg UNION ALL SELECT 'repeated_k_fold', avg(r2), avg(rmse), avg(mae), stddev_samp(r2) FROM sk
  UNION ALL SELECT 'repeated_hold_out', avg(r2), avg(rmse), NULL, stddev_samp(r2) FROM sh UNION ALL SELECT 'bootstrap_oob', avg(r2), avg(rmse), NULL, stddev_samp(r2) FROM sb)"""
 
 
 @query("agg34_validation_table", f"WITH {ORDERS_SQL}, {METHODS_SQL} SELECT method, {r('r2', 5, 'r2')}, {r('rmse', 2, 'rmse')}, {r('mae', 2, 'mae')}, {r('r2_std', 5, 'r2_std')}, {QUALITY} AS quality FROM mt")
 def agg34(spark, sf):
-    return rounded(validation.validation_table(order_matrix(spark, sf), X, "y", "row_id", alpha=0.0, replicates=20), 2, r2=5, r2_std=5)
+    return rounded(validation.validation_table(order_matrix(spark, sf), X, "y", "row_id", alpha=0.0), 2, r2=5, r2_std=5)
 
 
 @query("join19_importance_outer_merge", f"WITH {LINES_SQL}, {IMP_SQL} SELECT descriptor, {r('c / (SELECT max(c) FROM co)', 6, 'coefficient_score')}, CASE WHEN descriptor = 'x2' THEN 1.0::DOUBLE END AS shap_score, CASE WHEN descriptor = 'x2' THEN 2 ELSE 1 END AS methods_available FROM co")

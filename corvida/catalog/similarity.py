@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvida.catalog.registry import query, r, rounded, table
+from corvida.functions.columns import HASH_PRIME, portable_hash_sql
 from corvida.functions.frames import spread
 from corvida.operators import similarity as sim
 from corvida.session import cut_lineage
@@ -84,6 +85,37 @@ def agg28(spark, sf):
     return rounded(sim.similarity_summary(n, p))
 
 
+PAIR_STATS_SQL = f"""ps AS (SELECT doc_id, s, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM st0), nn AS (SELECT count(*) AS n, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS every FROM st0),
+d0 AS (SELECT t, CASE WHEN every <= 200000 THEN t ELSE ({portable_hash_sql('t', 11)} * {HASH_PRIME} + {portable_hash_sql('t', 12)}) % every END AS num, every FROM nn, range(200000) q(t) WHERE t < every),
+d1 AS (SELECT num, every, CAST(floor((1 + sqrt(1 + 8::DOUBLE * num)) / 2) AS BIGINT) AS r FROM d0),
+d2 AS (SELECT num, every, CASE WHEN r * (r - 1) // 2 > num THEN r - 1 WHEN (r + 1) * r // 2 <= num THEN r + 1 ELSE r END AS i FROM d1),
+d3 AS (SELECT i, num - i * (i - 1) // 2 AS j, every FROM d2), d4 AS (SELECT every, len(list_intersect(x.s, y.s)) AS c, len(x.s) + len(y.s) AS z FROM d3 JOIN ps x ON x.pos = i JOIN ps y ON y.pos = j),
+d5 AS (SELECT every <= 200000 AS whole, c / (z - c) AS s FROM d4),
+sx AS (SELECT CASE WHEN any_value(whole) THEN 'full' ELSE 'sampled' END AS mode, count(*) AS pairs_used, avg(s) AS mean_similarity, quantile_cont(s, 0.5) AS median_similarity, min(s) AS min_similarity, max(s) AS max_similarity, CASE WHEN any_value(whole) THEN 0 ELSE stddev_samp(s) / sqrt(count(*)) END AS mean_error,
+ CASE WHEN any_value(whole) THEN quantile_cont(s, 0.5) ELSE quantile_cont(s, {0.5 - 0.98 / 200000 ** 0.5}) END AS median_low, CASE WHEN any_value(whole) THEN quantile_cont(s, 0.5) ELSE quantile_cont(s, {0.5 + 0.98 / 200000 ** 0.5}) END AS median_high FROM d5)"""
+PAIR_STATS = ["mean_similarity", "median_similarity", "min_similarity", "max_similarity", "mean_error", "median_low", "median_high"]
+PAIR_STATS_OUT = ", ".join(r(c, 6, c) for c in PAIR_STATS)
+
+
+@query("agg28_pair_statistics", f"WITH {DOC_SQL.split('mb AS')[0].rstrip().rstrip(',')}, {PAIR_STATS_SQL} SELECT mode, pairs_used, {PAIR_STATS_OUT} FROM sx")
+def agg28_pairs(spark, sf):
+    return rounded(sim.pair_statistics(cut_lineage(sim.token_set(document_sets(spark, sf), "tokens", "doc_id"))))
+
+
+@query("agg28_diversity_status", f"""WITH {DOC_SQL}, {BOTH}, {COMP.format(cond='')}, {PAIR_STATS_SQL}, cz AS (SELECT component, sum(copies) AS n FROM rc JOIN nd USING (node) GROUP BY 1),
+g AS (SELECT count(*) AS clusters, count(*) FILTER (n = 1) AS singleton_clusters, CAST(max(n) AS BIGINT) AS largest_cluster FROM cz), v AS (SELECT CAST(sum(copies) AS BIGINT) AS valid_rows, count(*) AS unique_sets, CAST(sum(copies * (copies - 1) / 2) AS BIGINT) AS same FROM nd),
+nr AS (SELECT CAST(coalesce(sum(x.copies * y.copies), 0) AS BIGINT) AS near FROM pr JOIN nd x ON x.node = a JOIN nd y ON y.node = b WHERE sm > 0.95), z AS (SELECT *, largest_cluster * 100.0::DOUBLE / valid_rows AS pc, same + near AS vc, mean_similarity AS m FROM v, g, nr, sx),
+y AS (SELECT *, m > 0.7 AND clusters <= greatest(3, floor(valid_rows * 0.1)) AS lo, m < 0.4 AND clusters >= greatest(4, floor(valid_rows * 0.1)) AS hi, pc >= 45 AND singleton_clusters >= greatest(3, floor(clusters * 0.25)) AS mixed FROM z)
+SELECT valid_rows, unique_sets, (SELECT count(*) FROM documents) - valid_rows AS invalid_rows, clusters, singleton_clusters, largest_cluster, {r('pc', 6, 'largest_cluster_percent')}, vc AS very_close_pairs, mode, pairs_used, {PAIR_STATS_OUT},
+ CASE WHEN valid_rows < 3 THEN 'insufficient_data' WHEN mixed THEN 'heterogeneous' WHEN lo THEN 'low_diversity' WHEN hi THEN 'high_diversity' ELSE 'moderate_diversity' END AS status,
+ CASE WHEN valid_rows < 3 THEN 'fewer_than_three' ELSE concat_ws('; ', CASE WHEN lo THEN 'high_mean_similarity' WHEN hi THEN 'low_mean_many_clusters' ELSE 'several_regions' END, CASE WHEN mixed THEN 'large_cluster_and_singletons' WHEN vc > 0 THEN 'very_close_pairs' END) END AS reasons FROM y""")
+def agg28_status(spark, sf):
+    n, _, p = document_graph(spark, sf)
+    clusters = sim.connected_components(n, p).select("node", F.col("component").alias("cluster"))
+    sets = cut_lineage(sim.token_set(document_sets(spark, sf), "tokens", "doc_id"))
+    return rounded(sim.diversity_status(table(spark, sf, "documents").count(), n, clusters, p, sim.pair_statistics(sets)))
+
+
 @query("agg28_similarity_histogram", f"""WITH {DOC_SQL}, w AS (SELECT x.copies * y.copies AS w, CAST(least(floor(sm * 20 + 1e-9), 19) AS INTEGER) AS bin FROM pr JOIN nd x ON x.node = a JOIN nd y ON y.node = b)
 SELECT bin, CAST(sum(w) AS BIGINT) AS count, {r('bin / 20.0', 6, 'similarity_from')} FROM w GROUP BY 1""")
 def agg28_hist(spark, sf):

@@ -7,11 +7,13 @@ member counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvida.functions.columns import HASH_PRIME, portable_hash
 from corvida.functions.frames import with_scalars
 from corvida.functions.labels import space_class
+from corvida.functions.ranks import with_position
 from corvida.operators.errors import top_per_key
 from corvida.session import cut_lineage
 
@@ -110,6 +112,72 @@ def similarity_summary(nodes: DataFrame, pairs: DataFrame, cuts=(0.85, 0.95)) ->
     return with_scalars(n, p)
 
 
+def drawn_pairs(spark: SparkSession, rows: int, pairs: int, salt: int = 11) -> DataFrame:
+    """(draw, i, j) with 0 <= j < i < rows: every pair once where there are at most ``pairs``, else that many uniform draws.
+
+    A draw is the number of a pair (two hashes make up to 62 bits); the triangular root turns it into positions, and one
+    step by whole numbers mends what the root's rounding may miss."""
+    every = rows * (rows - 1) // 2
+    number = F.col("id")
+    if every > pairs:
+        number = (portable_hash("id", salt) * F.lit(HASH_PRIME) + portable_hash("id", salt + 1)) % F.lit(every)
+    half = lambda a, b: F.call_function("div", a * b, F.lit(2))
+    d = spark.range(min(every, pairs)).select(F.col("id").alias("draw"), number.alias("t"))
+    d = d.withColumn("r", F.floor((1 + F.sqrt(1 + F.lit(8.0) * F.col("t"))) / 2))
+    r = F.col("r")
+    d = d.withColumn("i", F.when(half(r, r - 1) > F.col("t"), r - 1).when(half(r + 1, r) <= F.col("t"), r + 1).otherwise(r))
+    return d.select("draw", "i", (F.col("t") - half(F.col("i"), F.col("i") - 1)).alias("j"))
+
+
+def pair_statistics(sets: DataFrame, pairs: int = 200_000, salt: int = 11) -> DataFrame:
+    """One row on the similarity of all row pairs: mode (full or sampled), pairs used, mean, median, minimum, maximum, and the
+    errors of a sample: standard error of the mean and the 95 % bounds of the median from order statistics.
+
+    ``sets`` (id, set) is joined by position with the drawn pairs, so the work is ``pairs`` comparisons at any row count."""
+    rows = sets.count()
+    placed = with_position(sets.select("id"), [], "id", "pos")
+    drawn = drawn_pairs(sets.sparkSession, rows, pairs, salt)
+    side = lambda at, out: placed.select(F.col("pos").alias(at), F.col("id").alias(out))
+    # Only the ids travel to the draws; the sets then meet at most two ids per draw.
+    named = cut_lineage(drawn.join(side("i", "x"), "i").join(side("j", "y"), "j").select("draw", "x", "y"))
+    a, b = (sets.select(F.col("id").alias(c), F.col("set").alias(f"s{c}")) for c in "xy")
+    both = named.join(a, "x").join(b, "y")
+    inter = F.size(F.array_intersect("sx", "sy"))
+    sim = cut_lineage(both.select((inter / (F.size("sx") + F.size("sy") - inter)).alias("s")))
+    m = min(rows * (rows - 1) // 2, pairs)
+    full = rows * (rows - 1) // 2 <= pairs
+    out = sim.agg(F.count("s").alias("pairs_used"), F.avg("s").alias("mean_similarity"), F.percentile("s", 0.5).alias("median_similarity"), F.min("s").alias("min_similarity"),
+                  F.max("s").alias("max_similarity"), F.stddev_samp("s").alias("_sd"), *[F.percentile("s", min(max(0.5 + z / max(m, 1) ** 0.5, 0.0), 1.0)).alias(n) for z, n in ((-0.98, "_lo"), (0.98, "_hi"))])
+    error = F.lit(0.0) if full else F.col("_sd") / F.sqrt("pairs_used")
+    return out.select(F.lit("full" if full else "sampled").alias("mode"), "pairs_used", "mean_similarity", "median_similarity", "min_similarity", "max_similarity",
+                      error.alias("mean_error"), (F.col("median_similarity") if full else F.col("_lo")).alias("median_low"), (F.col("median_similarity") if full else F.col("_hi")).alias("median_high"))
+
+
+def diversity_status(rows: int, nodes: DataFrame, clusters: DataFrame, pairs: DataFrame, statistics: DataFrame, very_close: float = 0.95) -> DataFrame:
+    """One row: valid, invalid and unique counts, clusters by size, very close row pairs, the pair statistics, a status and its reasons.
+
+    ``rows`` counts all input rows; ``clusters`` is (node, cluster) of any clustering. Statuses: insufficient_data (below three
+    valid rows), low_diversity, high_diversity, moderate_diversity, heterogeneous, not_computed."""
+    c = nodes.select("node", "copies")
+    size = clusters.join(c, "node").groupBy("cluster").agg(F.sum("copies").alias("n"))
+    groups = size.agg(F.count("*").alias("clusters"), F.count_if(F.col("n") == 1).alias("singleton_clusters"), F.max("n").alias("largest_cluster"))
+    counts = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("valid_rows"), F.count("*").alias("unique_sets"), F.coalesce(F.sum(F.col("copies") * (F.col("copies") - 1) / 2), F.lit(0)).cast("bigint").alias("_same"))
+    w = pairs.where(F.col("similarity") > very_close).join(c.select(F.col("node").alias("a"), F.col("copies").alias("ca")), "a").join(c.select(F.col("node").alias("b"), F.col("copies").alias("cb")), "b")
+    close = w.agg(F.coalesce(F.sum(F.col("ca") * F.col("cb")), F.lit(0)).alias("_near"))
+    d = with_scalars(with_scalars(with_scalars(counts, groups), close), statistics)
+    n, k, mean = F.col("valid_rows"), F.col("clusters"), F.col("mean_similarity")
+    d = d.withColumns({"invalid_rows": F.lit(rows) - n, "largest_cluster_percent": F.when(n > 0, F.col("largest_cluster") * 100.0 / n), "very_close_pairs": F.col("_same") + F.col("_near")})
+    low = (mean > 0.70) & (k <= F.greatest(F.lit(3), F.floor(n * 0.10)))
+    high = (mean < 0.40) & (k >= F.greatest(F.lit(4), F.floor(n * 0.10)))
+    mixed = (F.col("largest_cluster_percent") >= 45.0) & (F.col("singleton_clusters") >= F.greatest(F.lit(3), F.floor(k * 0.25)))
+    status = (F.when(n < 3, "insufficient_data").when(mixed, "heterogeneous").when(mean.isNull(), "not_computed")
+              .when(low, "low_diversity").when(high, "high_diversity").otherwise("moderate_diversity"))
+    first = F.when(mean.isNull(), F.lit(None)).when(low, "high_mean_similarity").when(high, "low_mean_many_clusters").otherwise("several_regions")
+    second = F.when(mixed, "large_cluster_and_singletons").when(F.col("very_close_pairs") > 0, "very_close_pairs")
+    reasons = F.when(n < 3, "fewer_than_three").otherwise(F.coalesce(F.nullif(F.concat_ws("; ", first, second), F.lit("")), F.lit("none")))
+    return d.withColumns({"status": status, "reasons": reasons}).drop("_same", "_near")
+
+
 def similarity_histogram(pairs: DataFrame, nodes: DataFrame, bins: int = 20) -> DataFrame:
     """Row pairs per similarity bin."""
     c = nodes.select("node", "copies")

@@ -47,13 +47,13 @@ def kfold(df: DataFrame, features, target: str, ident: str, k: int = 5, alpha: f
 
 def repeated_kfold(df: DataFrame, features, target: str, ident: str, k: int = 5, repeats: int = 5, alpha: float = 1.0) -> DataFrame:
     """(row columns, repeat, fold, y_pred) for every repeat."""
-    d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    d = d.withColumn("fold", fold_column(ident, k, F.col("repeat")))
-    g = grams(d, features, target, ["repeat", "fold"])
+    g = replicate_grams(df, features, target, ident, repeats, [lambda h, f=f: h % k == f for f in range(k)])
     models = []
     for rep in range(repeats):
-        tot = total(v for (a, _), v in g.items() if a == rep)
-        models += [(tot - g[(rep, f)]).ridge(alpha) if (rep, f) in g else tot.ridge(alpha) for f in range(k)]
+        tot = total(part[rep][0] for part in g if rep in part)
+        models += [(tot - part[rep][0]).ridge(alpha) if rep in part else tot.ridge(alpha) for part in g]
+    d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    d = d.withColumn("fold", fold_column(ident, k, F.col("repeat")))
     return d.withColumn("y_pred", indexed_prediction(models, F.col("repeat") * k + F.col("fold")))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corvida.functions.columns import POISSON_CUTS, dot, portable_hash_block
 
 EXPRESSION_LIMIT = 24
-MAX_FEATURES = 4000
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -150,8 +150,8 @@ class Gram:
 
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    row = df.agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    return np.array([row[i] or 0.0 for i in range(len(cols))], dtype=float)
+    row = df.agg(F.array(*[F.avg(F.col(c).cast("double")) for c in cols]).alias("m")).first()["m"]
+    return np.array([0.0 if v is None else v for v in row], dtype=float)
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -166,10 +166,8 @@ def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def grams(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), weight: str | None = None,
           shift: np.ndarray | None = None) -> dict:
-    """{key value(s): Gram}. Few columns are summed in generated code, many in per-partition NumPy blocks."""
+    """{key value(s): Gram}. Few columns are summed in generated code, more by block products; the driver gets p x p numbers per key."""
     cols = [*features, target]
-    if len(cols) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} columns: select descriptors first")
     df = complete_rows(df, cols)
     shift = column_means(df, cols) if shift is None else shift
     p1 = len(cols)
@@ -190,30 +188,101 @@ def grams(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[st
                     ss[i, j] = ss[j, i] = row[f"q{i}_{j}"]
             out[_key(row, keys)] = Gram(tuple(features), shift, row["n"], np.array([row[f"s{i}"] for i in range(p1)]), ss)
         return out
-    d = df.select(*[F.col(k) for k in keys], w.alias("_w"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    out = {}
+    parts = block_products(df, [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(cols, shift)], list(keys), w)
+    for row in parts.toLocalIterator():
+        name = _key(row, keys)
+        if name not in out:
+            out[name] = np.zeros((p1 + 1, p1 + 1))
+        i, j, v = row["_i"] * BLOCK, row["_j"] * BLOCK, np.array(row["_v"])
+        high, wide = min(BLOCK, p1 + 1 - i), min(BLOCK, p1 + 1 - j)
+        out[name][i:i + high, j:j + wide] = v.reshape(high, wide)
+        out[name][j:j + wide, i:i + high] = v.reshape(high, wide).T
+    return {k: Gram(tuple(features), shift, m[p1, p1], m[p1, :p1], m[:p1, :p1]) for k, m in out.items() if m[p1, p1]}
+
+
+def block_products(df: DataFrame, columns: Sequence[Column], keys: Sequence[str], weight: Column, pairwise: bool = False, numbers_at_once: int = 1 << 25) -> DataFrame:
+    """(keys, _i, _j, _v): weighted products of all column pairs, column blocks ``_i <= _j`` of ``BLOCK`` columns each as one row.
+
+    A last column of ones gives sums and counts. ``pairwise`` lets a null stand for a missing cell: then ``_v`` holds six
+    products one after the other: a b, a over b's cells, b over a's, a a over b's, b b over a's, and the cells of both. A task keeps ``numbers_at_once`` sums at most: more column pairs than that go in several
+    passes over the rows. As many tasks as cores add up rows, so that partial sums do not grow with the files; they are added up
+    block by block in sorted streams."""
+    p = len(columns) + (0 if pairwise else 1)
+    blocks = -(-p // BLOCK)
+    pairs = [(i, j) for i in range(blocks) for j in range(i, blocks)]
     k = list(keys)
+    groups = df.select(*k).distinct().count() if k else 1
+    layers = 6 if pairwise else 1
+    per_pass = max(1, numbers_at_once // (groups * layers * min(BLOCK, p) ** 2))
+    cells = F.array(*columns) if pairwise else F.array(*columns, F.lit(1.0))
+    d = df.select(*[F.col(c) for c in k], weight.cast("double").alias("_w"), cells.alias("_x"))
+    d = d.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+    kinds = "".join(f"`{c}` {d.schema[c].dataType.simpleString()}, " for c in k)
+    schema = kinds + "_i int, _j int, _v array<double>"
+    n_keys = len(k)
+
+    def products(x: np.ndarray, w: np.ndarray, chosen) -> dict:
+        got = {}
+        here = ~np.isnan(x) if pairwise else None
+        z = np.where(here, x, 0.0) if pairwise else x
+        cut = lambda m, b: m[:, b * BLOCK:(b + 1) * BLOCK]
+        for i, j in chosen:
+            if not pairwise:
+                got[i, j] = (cut(z, i) * w[:, None]).T @ cut(z, j)
+                continue
+            a, b, on_a, on_b = cut(z, i), cut(z, j), cut(here, i).astype(float), cut(here, j).astype(float)
+            got[i, j] = np.stack((a.T @ b, a.T @ on_b, on_a.T @ b, (a * a).T @ on_b, on_a.T @ (b * b), on_a.T @ on_b))
+        return got
 
-    def partial(batches):
-        acc: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(k, sort=False) if k else [((), pdf)]
-            for name, g in groups:
-                name = name if isinstance(name, tuple) else (name,)
-                x = np.vstack(g["_x"].to_numpy()).astype(float) - shift
-                wt = g["_w"].to_numpy(float)
-                part = np.concatenate([[wt.sum()], wt @ x, ((x * wt[:, None]).T @ x).ravel()])
-                acc[name] = acc.get(name, 0) + part
-        if acc:
-            yield pd.DataFrame({**{c: [n[i] for n in acc] for i, c in enumerate(k)}, "v": [a.tolist() for a in acc.values()]})
-
-    schema = "".join(f"`{c}` {d.schema[c].dataType.simpleString()}, " for c in k) + "v array<double>"
-    parts = d.mapInPandas(partial, schema).select(*k, F.posexplode("v").alias("i", "x")).groupBy(*k, "i").agg(F.sum("x").alias("x"))
-    rows = parts.groupBy(*k).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
-    out = {}
-    for row in rows:
-        v = np.array(row["v"])
-        out[_key(row, keys)] = Gram(tuple(features), shift, v[0], v[1:1 + p1], v[1 + p1:].reshape(p1, p1))
-    return out
+    def made(rows: list) -> pa.RecordBatch:
+        kind = [pa.array([r[0][c] for r in rows]) for c in range(n_keys)]
+        offsets = np.concatenate(([0], np.cumsum([r[2].size for r in rows])))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([r[2].ravel() for r in rows])))
+        return pa.RecordBatch.from_arrays([*kind, pa.array([r[1][0] for r in rows], pa.int32()), pa.array([r[1][1] for r in rows], pa.int32()), lists], names=[*k, "_i", "_j", "_v"])
+
+    out = None
+    for low in range(0, len(pairs), per_pass):
+        chosen = pairs[low:low + per_pass]
+
+        def partial(batches, chosen=chosen):
+            acc: dict = {}
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                x = batch.column(n_keys + 1).flatten().to_numpy(zero_copy_only=False).reshape(n, p)
+                w = batch.column(n_keys).to_numpy(zero_copy_only=False)
+                names = list(zip(*(batch.column(c).to_pylist() for c in range(n_keys)))) if n_keys else [()] * n
+                code = {name: i for i, name in enumerate(dict.fromkeys(names))}
+                which = np.fromiter((code[name] for name in names), dtype=np.int64, count=n)
+                for name, i in code.items():
+                    mine = which == i if len(code) > 1 else slice(None)
+                    for pair, v in products(x[mine], w[mine], chosen).items():
+                        acc[name, pair] = acc[name, pair] + v if (name, pair) in acc else v
+            for (name, pair), v in acc.items():
+                yield made([(name, pair, v)])
+
+        part = d.mapInArrow(partial, schema)
+        out = part if out is None else out.unionByName(part)
+    order = [*k, "_i", "_j"]
+
+    def add_up(batches):
+        now, total = None, None
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in range(n_keys + 2))))
+            for r, name in enumerate(names):
+                v = batch.column(n_keys + 2)[r].values.to_numpy(zero_copy_only=False)
+                if now == name:
+                    total = total + v
+                    continue
+                if now is not None:
+                    yield made([(now[:n_keys], now[n_keys:], total)])
+                now, total = name, v
+        if now is not None:
+            yield made([(now[:n_keys], now[n_keys:], total)])
+
+    return out.repartition(*order).sortWithinPartitions(*order).mapInArrow(add_up, schema)
 
 
 def _key(row, keys):

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvida.functions.ranks import with_average_rank, with_position
+from corvida.functions.ranks import bounded_groups, with_average_rank, with_position
 from corvida.operators.gram import LinearModel
 from corvida.operators.stats import correlation_matrix
 from corvida.operators.validation import shuffled_positions
+from corvida.session import cut_lineage
 
 
 def coefficient_table(spark: SparkSession, m: LinearModel) -> DataFrame:
@@ -48,11 +49,12 @@ def permutation_importance(df: DataFrame, model: LinearModel, target: str, ident
 
 def correlation_groups(df: DataFrame, features: Sequence[str], ident: str, threshold: float = 0.9) -> list[list[str]]:
     """Connected groups of descriptors with absolute rank correlation at or above the threshold."""
-    ranked = df
-    names = []
-    for f in features:
-        ranked = with_average_rank(ranked.withColumn("_g", F.lit(0)), ["_g"], f, f"_r_{f}").drop("_g")
-        names.append(f"_r_{f}")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)]))
+    long = cut_lineage(df.select(F.col(ident).alias("_id"), cells.alias("c")).select("_id", "c.*").where("v IS NOT NULL"))
+    ranked = with_average_rank(long, ["k"], "v", "r", bounded=bounded_groups(long, ["k"]))  # all descriptors in one pass
+    row = ranked.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "r"))).alias("m"))
+    names = [f"_r_{f}" for f in features]
+    ranked = row.select(*[F.col("m")[i].alias(n) for i, n in enumerate(names)])
     parent = {f: f for f in features}
 
     def find(x):
@@ -61,11 +63,10 @@ def correlation_groups(df: DataFrame, features: Sequence[str], ident: str, thres
             x = parent[x]
         return x
 
-    for row in correlation_matrix(ranked, names).collect():
-        if row["r"] is not None and abs(row["r"]) >= threshold:
-            a, b = find(row["left"][3:]), find(row["right"][3:])
-            if a != b:
-                parent[b] = a
+    for row in correlation_matrix(ranked, names).where(F.abs("r") >= threshold).toLocalIterator():
+        a, b = find(row["left"][3:]), find(row["right"][3:])
+        if a != b:
+            parent[b] = a
     out: dict[str, list[str]] = {}
     for f in features:
         out.setdefault(find(f), []).append(f)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -14,6 +16,7 @@ from corvida.functions.frames import with_scalars
 from corvida.functions.labels import correlation_strength
 from corvida.functions.ranks import GROUP_LIMIT, bias_corrected_moments, exact_quantiles, safe_corr, spearman, with_average_rank
 from corvida.operators.clean import long_values
+from corvida.operators.gram import BLOCK, block_products
 
 
 def metric_columns(y: str, p: str) -> dict[str, Column]:
@@ -145,12 +148,32 @@ def target_correlations(df: DataFrame, cols: Sequence[str], target: str, top: in
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(left, right, r) for every column pair left < right, from one aggregation pass."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(F.array(*[
-        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), safe_corr(a, b).alias("r")) for a, b in pairs
-    ]).alias("m"))
-    return one.select(F.explode("m").alias("c")).select("c.*")
+    """(left, right, r) for every column pair left < right over the rows that hold both; null when a side is constant there.
+
+    Block products of the columns, so any number of columns is one pass or a few; nothing reaches the driver."""
+    names = list(cols)
+    usable = [finite(F.col(f"`{c}`").cast("double")) for c in names]
+    row = df.agg(F.array(*[F.avg(u) for u in usable]).alias("m"), F.array(*[F.max(u) - F.min(u) for u in usable]).alias("r")).first()
+    shift = [0.0 if v is None else v for v in row["m"]]
+    flat = np.array([not v for v in row["r"]])
+    sums = block_products(df, [u - F.lit(m) for u, m in zip(usable, shift)], [], F.lit(1.0), pairwise=True)
+
+    def ratio_rows(batches):
+        for batch in batches:
+            for i, j, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                i, j = i * BLOCK, j * BLOCK
+                wide = (min(BLOCK, len(names) - i), min(BLOCK, len(names) - j))
+                ab, a, b, aa, bb, n = v.values.to_numpy(zero_copy_only=False).reshape(6, *wide)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    va, vb = aa - a * a / n, bb - b * b / n
+                    r = (ab - a * b / n) / np.sqrt(va * vb)
+                dead = ~(va > 1e-13 * aa) | ~(vb > 1e-13 * bb) | (n < 2) | flat[i:i + wide[0], None] | flat[None, j:j + wide[1]]
+                x, y = np.nonzero(np.arange(i, i + wide[0])[:, None] < np.arange(j, j + wide[1])[None, :])
+                for c in range(0, len(x), 8192):
+                    at = x[c:c + 8192], y[c:c + 8192]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i + k] for k in at[0]]), pa.array([names[j + k] for k in at[1]]), pa.array(np.clip(r[at], -1, 1), mask=dead[at])], names=["left", "right", "r"])
+
+    return sums.mapInArrow(ratio_rows, "left string, right string, r double")
 
 
 def collinear_pairs(matrix: DataFrame, cuts: Sequence[float] = (0.90, 0.95, 0.99)) -> DataFrame:

@@ -198,17 +198,39 @@ def set2(spark, sf):
     return a.unionByName(table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "s_acctbal AS acctbal"), allowMissingColumns=True)
 
 
-CARD_ROWS = [("m1", True, ["BIG"], [], ["red", "blue", "small"], 5, 30, []), ("m2", True, [], ["SMALL"], [], None, None, ["Brand#1"]), ("m3", False, [], [], [], None, None, [])]
-
-
-@query("join17_scope_match", """WITH p AS (SELECT p_partkey, [p_type, p_brand] AS tags, string_split(p_name, ' ') AS atoms, p_size FROM part)
-SELECT p_partkey, 'm1' AS model_id, CASE WHEN list_contains(tags, 'ECONOMY') OR len(list_filter(atoms, lambda a: a NOT IN ('red', 'blue', 'small', 'bolt', 'H'))) > 0 THEN 'not_suitable' WHEN p_size < 5 OR p_size > 30 THEN 'partial' ELSE 'suitable' END AS applicability FROM p
-UNION ALL SELECT p_partkey, 'm2', CASE WHEN NOT list_contains(tags, 'SMALL') THEN 'not_suitable' WHEN NOT list_contains(tags, 'Brand#1') THEN 'partial' ELSE 'suitable' END FROM p UNION ALL SELECT p_partkey, 'm3', 'undefined' FROM p""")
+CARDS = """m1|true|ECONOMY||red,blue,small,bolt|5|30|
+m2|true||SMALL||||Brand#1
+m3|false||||||
+m4|true|LARGE,Brand#2|Brand#3|red,green,plate,nut,widget|10||SMALL,ECONOMY,Brand#3"""
+CARD_COLUMNS = ["model_id", "has_scope", "excluded_tags", "required_tags", "allowed_atoms", "carbon_min", "carbon_max", "allowed_tags"]
+
+
+def card_sql() -> str:
+    def cell(i, v):
+        if i in (2, 3, 4, 7):
+            return "[" + ", ".join(f"'{x}'" for x in v.split(",") if x) + "]::VARCHAR[]"
+        return f"'{v}'" if i == 0 else v or "NULL"
+    return "(VALUES " + ", ".join("(" + ", ".join(cell(i, v) for i, v in enumerate(line.split("|"))) + ")" for line in CARDS.split("\n")) + f") t({', '.join(CARD_COLUMNS)})"
+
+
+def card_table(spark):
+    split = lambda c: F.filter(F.split(c, ","), lambda x: x != "").alias(c)
+    lines = spark.createDataFrame([tuple(line.split("|")) for line in CARDS.split("\n")], ", ".join(f"{c} string" for c in CARD_COLUMNS))
+    return lines.select("model_id", F.col("has_scope").cast("boolean").alias("has_scope"), split("excluded_tags"), split("required_tags"), split("allowed_atoms"),
+                        *[F.nullif(c, F.lit("")).cast("int").alias(c) for c in ("carbon_min", "carbon_max")], split("allowed_tags"))
+
+
+@query("join17_scope_match", f"""WITH p AS (SELECT p_partkey, [p_type, p_brand] AS tags, string_split(p_name, ' ') AS atoms, p_size AS c, p_partkey % 17 <> 0 AS valid FROM part),
+x AS (SELECT *, list_sort(list_filter(excluded_tags, lambda e: list_contains(tags, e))) AS hit, list_sort(list_filter(required_tags, lambda e: NOT list_contains(tags, e))) AS miss,
+ CASE WHEN len(allowed_atoms) > 0 THEN list_sort(list_filter(list_distinct(atoms), lambda a: a <> 'H' AND NOT list_contains(allowed_atoms, a))) ELSE [] END AS extra,
+ coalesce(c < carbon_min, false) AS lo, coalesce(c > carbon_max, false) AS hi, len(allowed_tags) > 0 AND NOT list_has_any(tags, allowed_tags) AS off FROM p, {card_sql()}),
+y AS (SELECT *, concat_ws('; ', CASE WHEN len(hit) > 0 THEN 'excluded: ' || array_to_string(hit, ', ') END, CASE WHEN len(miss) > 0 THEN 'missing: ' || array_to_string(miss, ', ') END,
+ CASE WHEN len(extra) > 0 THEN 'atoms: ' || array_to_string(extra, ', ') END, CASE WHEN lo THEN 'carbon below range' END, CASE WHEN hi THEN 'carbon above range' END, CASE WHEN off THEN 'no allowed class' END) AS f FROM x)
+SELECT p_partkey, model_id, CASE WHEN NOT valid THEN 'not_suitable' WHEN NOT has_scope THEN 'undefined' WHEN len(hit) + len(miss) + len(extra) > 0 THEN 'not_suitable' WHEN lo OR hi OR off THEN 'partial' ELSE 'suitable' END AS applicability,
+ CASE WHEN NOT valid THEN 'invalid structure' WHEN NOT has_scope THEN 'no scope' WHEN f = '' THEN 'scope matches' ELSE f END AS reasons FROM y""")
 def join17(spark, sf):
-    cards = spark.createDataFrame([("m1", True, ["ECONOMY"], [], ["red", "blue", "small", "bolt"], 5, 30, []), *CARD_ROWS[1:]],
-                                  "model_id string, has_scope boolean, excluded_tags array<string>, required_tags array<string>, allowed_atoms array<string>, carbon_min int, carbon_max int, allowed_tags array<string>")
-    d = table(spark, sf, "part").selectExpr("p_partkey", "array(p_type, p_brand) AS tags", "split(p_name, ' ') AS atoms", "p_size AS carbon_count", "true AS valid")
-    return bank.scope_match(d, cards, "p_partkey").select("p_partkey", "model_id", "applicability")
+    d = table(spark, sf, "part").selectExpr("p_partkey", "array(p_type, p_brand) AS tags", "split(p_name, ' ') AS atoms", "p_size AS carbon_count", "p_partkey % 17 <> 0 AS valid")
+    return bank.scope_match(d, card_table(spark), "p_partkey")
 
 
 @query("top6_best_mass_candidate", """WITH s AS (SELECT user_id, 'A' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS accession, CAST(floor(value) AS INTEGER) AS pk, CASE WHEN event_type = 'click' THEN 1000 WHEN event_type = 'error' THEN -5000 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN -500 ELSE 300 END + CASE WHEN event_id % 2 = 0 THEN 150 ELSE -150 END + 200 + 150 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE user_id % 10 * 100 + event_id % 5 END AS b FROM events),

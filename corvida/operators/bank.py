@@ -209,31 +209,36 @@ def clear_journal(journal: DataFrame, condition: Column) -> tuple[DataFrame, Dat
     return journal.where(~drop), journal.agg(F.count("*").alias("before"), F.count_if(drop).alias("removed"), F.count_if(~drop).alias("after"))
 
 
-def scope_match(compounds: DataFrame, cards: DataFrame, ident: str) -> DataFrame:
-    """Compound x model-card verdicts. Cards are the model catalogue: collected with a size check and
-    folded into the row expression, so compounds are never shuffled."""
-    rows = cards.limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 model cards: score them in batches")
-    arr = lambda v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
-    tags, atoms, carbon = F.col("tags"), F.col("atoms"), F.col("carbon_count")
-    verdicts = []
-    for c in rows:
-        ex, req = arr(c["excluded_tags"] or []), arr(c["required_tags"] or [])
-        hit, miss = F.array_sort(F.array_intersect(tags, ex)), F.array_sort(F.array_except(req, tags))
-        extra = F.array_except(atoms, arr([*(c["allowed_atoms"] or []), "H"])) if c["allowed_atoms"] else F.array().cast("array<string>")
-        low = carbon < c["carbon_min"] if c["carbon_min"] is not None else F.lit(False)
-        high = carbon > c["carbon_max"] if c["carbon_max"] is not None else F.lit(False)
-        off = ~F.arrays_overlap(tags, arr(c["allowed_tags"])) if c["allowed_tags"] else F.lit(False)
-        hard = (F.size(hit) > 0) | (F.size(miss) > 0) | (F.size(extra) > 0)
-        verdict = (F.when(~F.col("valid"), "not_suitable").when(F.lit(not c["has_scope"]), "undefined").when(hard, "not_suitable")
-                   .when(low | high | off, "partial").otherwise("suitable"))
-        reasons = F.array_compact(F.array(
-            F.when(F.size(hit) > 0, F.concat(F.lit("excluded: "), F.array_join(hit, ", "))), F.when(F.size(miss) > 0, F.concat(F.lit("missing: "), F.array_join(miss, ", "))),
-            F.when(F.size(extra) > 0, F.concat(F.lit("atoms: "), F.array_join(F.array_sort(extra), ", "))), F.when(low, F.lit("carbon below range")), F.when(high, F.lit("carbon above range")),
-            F.when(off, F.lit("no allowed class"))))
-        verdicts.append(F.struct(F.lit(c["model_id"]).alias("model_id"), verdict.alias("applicability"), F.array_join(reasons, "; ").alias("reasons")))
-    return compounds.select(ident, F.explode(F.array(*verdicts)).alias("v")).select(ident, "v.*")
+def scope_match(compounds: DataFrame, cards: DataFrame, ident: str, block: int = 256, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """(id, model_id, applicability, reasons): every compound against every model card, any number of cards.
+
+    ``compounds`` has tags, atoms, carbon_count and valid; ``cards`` has model_id, has_scope, excluded_tags, required_tags,
+    allowed_atoms, carbon_min, carbon_max and allowed_tags. Cards are dealt into blocks of about ``block``; a compound meets one
+    block per joined row. The card table is broadcast only while its counted size is below ``broadcast_bytes``, so that
+    compounds are not shuffled; above that both sides meet by block, and skewed blocks are split."""
+    none = F.array().cast("array<string>")
+    texts = ("excluded_tags", "required_tags", "allowed_atoms", "allowed_tags")
+    cards = cards.select("model_id", F.coalesce("has_scope", F.lit(False)).alias("has_scope"), "carbon_min", "carbon_max", *[F.coalesce(c, none).alias(c) for c in texts])
+    bytes_ = sum((F.coalesce(F.octet_length(F.array_join(c, " ")), F.lit(0)) + 16 * F.size(c) for c in texts), F.octet_length("model_id") + 64)
+    size = cards.agg(F.count("*").alias("n"), F.coalesce(F.sum(bytes_), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-size["n"] // block))
+    cards = cards.withColumn("_block", F.pmod(F.xxhash64("model_id"), F.lit(blocks)).cast("int"))
+    rows = compounds.select(ident, F.coalesce("tags", none).alias("tags"), F.coalesce("atoms", none).alias("atoms"), "carbon_count", F.coalesce("valid", F.lit(False)).alias("valid"),
+                            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    d = rows.join(F.broadcast(cards) if size["b"] <= broadcast_bytes else cards, "_block")
+    hit, miss = F.array_sort(F.array_intersect("tags", "excluded_tags")), F.array_sort(F.array_except("required_tags", "tags"))
+    extra = F.when(F.size("allowed_atoms") > 0, F.array_sort(F.array_except("atoms", F.array_append("allowed_atoms", F.lit("H"))))).otherwise(none)
+    d = d.withColumns({"_hit": hit, "_miss": miss, "_extra": extra, "_low": F.coalesce(F.col("carbon_count") < F.col("carbon_min"), F.lit(False)),
+                       "_high": F.coalesce(F.col("carbon_count") > F.col("carbon_max"), F.lit(False)),
+                       "_off": (F.size("allowed_tags") > 0) & (F.size(F.array_intersect("tags", "allowed_tags")) == 0)})
+    hard = (F.size("_hit") > 0) | (F.size("_miss") > 0) | (F.size("_extra") > 0)
+    verdict = (F.when(~F.col("valid"), "not_suitable").when(~F.col("has_scope"), "undefined").when(hard, "not_suitable")
+               .when(F.col("_low") | F.col("_high") | F.col("_off"), "partial").otherwise("suitable"))
+    listed = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(c, ", ")))
+    found = F.concat_ws("; ", listed("excluded", "_hit"), listed("missing", "_miss"), listed("atoms", "_extra"), F.when(F.col("_low"), "carbon below range"),
+                        F.when(F.col("_high"), "carbon above range"), F.when(F.col("_off"), "no allowed class"))
+    reasons = F.when(~F.col("valid"), "invalid structure").when(~F.col("has_scope"), "no scope").when(found == "", "scope matches").otherwise(found)
+    return d.select(ident, "model_id", verdict.alias("applicability"), reasons.alias("reasons"))
 
 
 def first_of_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvida.catalog.registry import query, r, rounded, table
 from corvida.operators import bank, spectra
-from corvida.sources import parsers, tables
+from corvida.sources import ingest, parsers, tables
 
 EV = "SELECT event_id, user_id, event_type, ts, CAST(value AS DOUBLE) AS value FROM events"
 
@@ -433,6 +433,31 @@ def src14(spark, sf):
     return parsers.index_files(f, known).groupBy("status").agg(F.count("*").alias("n"))
 
 
+IMPORT_KEY = "translate(lpad(CAST(p_partkey AS {t}), 14, '0'), '0123456789', 'ABCDEFGHIJ') || '-UHFFFAOYSA-N'"
+
+
+@query("src14_import_points", f"""WITH f AS (SELECT p_partkey, p_size, p_size % 5 AS k, {IMPORT_KEY.format(t='VARCHAR')} AS ik FROM part),
+q AS (SELECT p_partkey, k, ik, unnest(CASE WHEN k = 2 THEN [10, 11, 12, 20] WHEN k IN (0, 1) THEN [1.5, 2] ELSE [] END::DOUBLE[]) AS x, unnest(CASE WHEN k = 2 THEN [p_size, 2, 30, -1] WHEN k IN (0, 1) THEN [p_size, 3] ELSE [] END::DOUBLE[]) AS y FROM f),
+g AS (SELECT p_partkey, count(*) AS n, sum(y) AS sy, min(x) AS lo, max(x) AS hi FROM q GROUP BY 1)
+SELECT p_partkey, CASE k WHEN 3 THEN 'unsupported_format' WHEN 4 THEN 'parse_error' WHEN 1 THEN 'unmatched_compound' WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'already_registered' ELSE 'imported_local' END ELSE 'imported_local' END AS status,
+ CASE WHEN k = 2 OR (k = 0 AND p_partkey % 3 <> 0) THEN n END AS points, CASE WHEN k = 2 OR (k = 0 AND p_partkey % 3 <> 0) THEN sy END AS total, CASE WHEN k = 2 OR (k = 0 AND p_partkey % 3 <> 0) THEN lo END AS x_min,
+ CASE WHEN k = 2 OR (k = 0 AND p_partkey % 3 <> 0) THEN hi END AS x_max, CASE WHEN k = 2 THEN 'gas' WHEN k = 0 AND p_partkey % 3 <> 0 THEN 'unknown' END AS phase FROM f LEFT JOIN g USING (p_partkey)""")
+def src14_import(spark, sf):
+    """Raw texts made of part rows: two columns with and without a key, JCAMP with packed and exponent numbers, words, JCAMP without points."""
+    nl = "|| chr(10) ||"
+    key = IMPORT_KEY.format(t="STRING")
+    part = table(spark, sf, "part")
+    files = part.selectExpr(f"'/raw/' || p_partkey || '/' || CASE WHEN p_size % 5 = 1 THEN 'x' ELSE {key} END || '.txt' AS path",
+                            f"CASE p_size % 5 WHEN 2 THEN '##TITLE=a' {nl} '##STATE=Gas' {nl} '##XYDATA=(X++(Y..Y))' {nl} '10 ' || p_size || '+2+3e1' {nl} '20 -1' WHEN 3 THEN 'plain words' WHEN 4 THEN '##TITLE=a' {nl} '##XYDATA=1' {nl} '##END='"
+                            f" ELSE '1.5;' || p_size {nl} '2;3 # c' {nl} '2;9' END AS text")
+    index = part.where("p_size % 5 = 0 AND p_partkey % 3 = 0").selectExpr(f"{key} AS inchikey", "'IR' AS spectrum_type", "'Local' AS source_database", "'' AS source_url", "'' AS comment",
+                                                                          "1.5D AS wavenumber_min", "2D AS wavenumber_max", "2 AS n_points_processed", "true AS active")
+    status, points, rows = ingest.import_files(files, index)
+    got = points.groupBy("spectrum_id").agg(F.count("*").alias("points"), F.sum("y").alias("total"))
+    kept = rows.join(got, "spectrum_id").select("spectrum_id", "points", "total", F.col("wavenumber_min").alias("x_min"), F.col("wavenumber_max").alias("x_max"), "phase")
+    return status.withColumn("p_partkey", F.split("path", "/")[2].cast("bigint")).join(kept, "spectrum_id", "left").select("p_partkey", "status", "points", "total", "x_min", "x_max", "phase")
+
+
 @query("src15_key_from_name", "SELECT CASE p_size % 3 WHEN 0 THEN 'AAAQKTZKLRYKHR-UHFFFAOYSA-N' WHEN 1 THEN 'AAAQKTZKLRYKHR' ELSE '' END AS inchikey, CASE p_size % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'short' ELSE '' END AS key_kind, count(*) AS n FROM part GROUP BY ALL")
 def src15(spark, sf):
     d = table(spark, sf, "part").selectExpr("'/raw/' || CASE p_size % 3 WHEN 0 THEN 'nist_aaaqktzklrykhr-uhfffaoysa-n_' WHEN 1 THEN 'q_AAAQKTZKLRYKHR-UH' ELSE 'p' END || p_partkey || '.jdx' AS p")

@@ -10,7 +10,7 @@ from corvida.functions.columns import case_map, col
 from corvida.functions.labels import safe_part
 
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
-JCAMP_NUMBER = r"[-+]?\d*\.\d+|[-+]?\d+"
+JCAMP_NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?"  # in packed lines a sign starts the next number
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,14 +54,14 @@ def jcamp_points(df: DataFrame, key: str, text: str) -> DataFrame:
     d = df.select(key, F.regexp_extract(text, r"(?is)##(?:XYDATA|PEAK TABLE)=[^\r\n]*[\r\n]+(.*)$", 1).alias("_body"))
     ln = lines_of(d, key, "_body").where(~F.col("line").startswith("##")).withColumn("n", _numbers(F.col("line"), JCAMP_NUMBER)).where(F.size("n") >= 2)
     pts = ln.select(key, "line_no", "n", F.explode(F.sequence(F.lit(1), F.size("n") - 1)).alias("i"))
-    pts = pts.select(key, (F.element_at("n", 1) + F.col("i") - 1).alias("x"), F.get("n", F.col("i")).alias("y"), F.struct("line_no", "i").alias("_o"))
+    pts = pts.select(key, (F.get("n", F.lit(0)) + F.col("i") - 1).alias("x"), F.get("n", F.col("i")).alias("y"), F.struct("line_no", "i").alias("_o"))
     return pts.groupBy(key, "x").agg(F.min_by("y", "_o").alias("y"))
 
 
 def two_column_points(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, x, y): first two numbers of every line, ``#`` comments cut, first x wins."""
     ln = lines_of(df.withColumn("_t", F.regexp_replace(text, r"#[^\r\n]*", "")), key, "_t").withColumn("n", _numbers(F.col("line"), NUMBER)).where(F.size("n") >= 2)
-    return ln.groupBy(key, F.element_at("n", 1).alias("x")).agg(F.min_by(F.element_at("n", 2), "line_no").alias("y"))
+    return ln.groupBy(key, F.get("n", F.lit(0)).alias("x")).agg(F.min_by(F.get("n", F.lit(1)), "line_no").alias("y"))
 
 
 def peak_pairs(text) -> Column:
@@ -83,7 +83,7 @@ def msp_peaks(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, mz, intensity) after ``Num Peaks`` (all lines when absent); the larger intensity wins."""
     body = F.coalesce(F.nullif(F.regexp_extract(text, r"(?is)(?:^|[\r\n])\s*num\s*peaks[^\r\n]*[\r\n]+(.*)$", 1), F.lit("")), F.col(text))
     ln = lines_of(df.select(key, body.alias("_b")), key, "_b").withColumn("n", _numbers(F.col("line"), NUMBER)).where(F.size("n") >= 2)
-    return ln.groupBy(key, F.element_at("n", 1).alias("mz")).agg(F.max(F.element_at("n", 2)).alias("intensity"))
+    return ln.groupBy(key, F.get("n", F.lit(0)).alias("mz")).agg(F.max(F.get("n", F.lit(1))).alias("intensity"))
 
 
 META = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))

@@ -150,6 +150,45 @@ def test_knn_exact_with_copies(spark):
         assert g["tid"].tolist() == want
 
 
+@pytest.mark.parametrize("shape", ["spread", "one distance", "copies", "few"])
+def test_knn_rounds_match_brute_force(spark, shape):
+    """Other queries than training rows, string ids, rings of one distance that are cut by hash, copies, fewer rows than k."""
+    rng = np.random.default_rng(2)
+    t = rng.normal(size=(400, 3)) + 100
+    if shape == "one distance":
+        t = rng.normal(size=(400, 3))
+        t[1:] /= np.linalg.norm(t[1:], axis=1)[:, None]
+        t[0] = 0
+    if shape == "copies":
+        t[:260] = t[0]
+    if shape == "few":
+        t = t[:2]
+    q = np.vstack([t[:5], rng.normal(size=(120, 3)) + (100 if shape != "one distance" else 0)])
+    q[5:90] = q[5]
+    train = frame(spark, [(f"t{i:03d}", v.tolist()) for i, v in enumerate(t)] + [(None, [0.0, 0.0, 0.0]), ("bad", [float("nan"), 0.0, 0.0]), ("none", None)], "id string, v array<double>")
+    queries = frame(spark, [(f"q{i:03d}", v.tolist()) for i, v in enumerate(q)], "id string, v array<double>")
+    for pivots in (1, 6):
+        got = knn.nearest_neighbours(queries, train, "id", "id", "v", 4, pivots=pivots, block_rows=16).toPandas().sort_values(["qid", "rank"])
+        assert got["qid"].nunique() == len(q)
+        for i, g in got.groupby("qid"):
+            d = np.sqrt(((t - q[int(i[1:])]) ** 2).sum(1))
+            want = sorted(range(len(t)), key=lambda j: (d[j], j))[:4]
+            assert g["tid"].tolist() == [f"t{j:03d}" for j in want]
+
+
+def test_knn_sends_little(spark):
+    """Far clusters: a query meets its own block and few others, so routed rows stay near the rows themselves."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2)) * 0.1 + rng.integers(0, 40, size=(3000, 2)) * 10
+    table = knn.training_blocks(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "tid bigint, v array<double>"), 4, 64, 32)[1]
+    tree = np.sqrt(((x[:300, None] - x[None]) ** 2).sum(2))
+    bound = np.sort(tree, axis=1)[:, 3]
+    reached = (table.reach(x[:300], bound) * table.parts[None, :]).sum(1)
+    assert reached.mean() < 0.1 * table.parts.sum()
+    assert knn.nearest_neighbours(frame(spark, [], "i bigint, v array<double>"), frame(spark, [(1, [0.0])], "i bigint, v array<double>"), "i", "i", "v").count() == 0
+    assert knn.nearest_neighbours(frame(spark, [(1, [0.0])], "i bigint, v array<double>"), frame(spark, [], "i bigint, v array<double>"), "i", "i", "v").count() == 0
+
+
 
 def test_reference_hierarchy_matches_sequential(spark):
     rng = np.random.default_rng(4)

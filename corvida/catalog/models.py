@@ -86,17 +86,41 @@ def mdl10(spark, sf):
     return spark.createDataFrame(models.grid_search(lines(spark, sf), FEATS, "y", "row_id", [0.1, 1.0, 10.0], [None, 0.5, 1.0]), "alpha double, l1_ratio double, cv_rmse double, q2 double")
 
 
+FARTHEST = 30
+CUSTOMERS_SQL = """cm AS (SELECT c_custkey AS row_id, c_acctbal::DOUBLE AS x1, x2, x3, y FROM customer JOIN
+ (SELECT o_custkey, count(*)::DOUBLE AS x2, avg(o_totalprice) AS y, avg(month(o_orderdate)) AS x3 FROM orders GROUP BY 1) ON c_custkey = o_custkey)"""
+
+
+def farthest_sql(k: int) -> str:
+    """CTE ``picked`` (row_id): the greedy walk as a recursion over the table of distances to the picked rows."""
+    z = ", ".join(f"(x{i} - (SELECT avg(x{i}) FROM cm)) / (SELECT stddev_pop(x{i}) FROM cm) AS z{i}" for i in (1, 2, 3))
+    centre = ", ".join(f"first_value(z{i}) OVER w AS c{i}" for i in (1, 2, 3))
+    gap = " + ".join(f"(z{i} - c{i}) * (z{i} - c{i})" for i in (1, 2, 3))
+    return f"""zs AS (SELECT row_id, {z} FROM cm), rec AS (SELECT 1 AS step, row_id, z1, z2, z3, 'inf'::DOUBLE AS d FROM zs UNION ALL
+ SELECT step + 1, row_id, z1, z2, z3, least(d, {gap}) FROM (SELECT *, {centre} FROM rec WHERE step < {k} WINDOW w AS (ORDER BY d DESC, row_id))),
+picked AS (SELECT row_id FROM rec WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY step ORDER BY d DESC, row_id) = 1)"""
+
+
 @query("val6_farthest_holdout")
 def val6(spark, sf):
     d = customer_matrix(spark, sf)
-    ids = selection.farthest_first(d, ["x1", "x2", "x3"], "row_id", 30)
+    ids = selection.farthest_first(d, ["x1", "x2", "x3"], "row_id", FARTHEST)
     _, s = validation.holdout(d, ["x1", "x2", "x3"], "y", "row_id", test_ids=ids)
     return validation.split_metrics(s, ["split"], "y")
 
 
-@query("sim12_farthest_first")
+@query("val6_farthest_two_columns", f"""WITH RECURSIVE {CUSTOMERS_SQL}, {farthest_sql(FARTHEST)}, d AS (SELECT *, CASE WHEN row_id IN (SELECT row_id FROM picked) THEN 'test' ELSE 'train' END AS split FROM cm),
+{ridge_sql('m', 'd', where="split = 'train'")}, s AS (SELECT d.*, {PRED} AS p FROM d, m) SELECT split, n, {r('rmse', 4, 'rmse')}, {r('r2', 6, 'r2')}, {r('mae', 4, 'mae')} FROM ({score_sql('s', 'split')})""")
+def val6_two(spark, sf):
+    d = customer_matrix(spark, sf)
+    ids = selection.farthest_first(d, ["x1", "x2", "x3"], "row_id", FARTHEST)
+    _, s = validation.holdout(d, X, "y", "row_id", test_ids=ids)
+    return rounded(validation.split_metrics(s, ["split"], "y").select("split", "n", "rmse", "r2", "mae"), 4, r2=6)
+
+
+@query("sim12_farthest_first", f"WITH RECURSIVE {CUSTOMERS_SQL}, {farthest_sql(FARTHEST)} SELECT row_id FROM picked")
 def sim12(spark, sf):
-    return selection.farthest_first(customer_matrix(spark, sf), ["x1", "x2", "x3"], "row_id", 30)
+    return selection.farthest_first(customer_matrix(spark, sf), ["x1", "x2", "x3"], "row_id", FARTHEST)
 
 
 @query("sim11_mahalanobis", f"""WITH {ORDERS_SQL}, c AS (SELECT avg(x1) AS m1, avg(x2) AS m2, var_samp(x1) AS v1, var_samp(x2) AS v2, covar_samp(x1, x2) AS c FROM om)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,29 +19,33 @@ def mahalanobis(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumn("mahalanobis", F.sqrt(F.greatest(quadratic_form(features, g.mean[:g.p], inv), F.lit(0.0))))
 
 
-def _chunk_anchors(x: np.ndarray, k: int) -> list[int]:
-    picked, dist = [0], np.linalg.norm(x - x[0], axis=1)
-    while len(picked) < min(k, len(x)):
-        j = int(dist.argmax())
-        if dist[j] <= 0:
+def farthest_first(df: DataFrame, features: Sequence[str], ident: str, k: int, keep: int = 16) -> DataFrame:
+    """The k rows of the greedy k-centre walk in standardised space: the smallest id first, then always the row farthest from
+    all picked ones, ties by the smaller id. Ends early when every row equals a picked one. Rows without an id or with a cell
+    that is NULL, NaN or infinite do not take part; an empty table gives no rows.
+
+    Every pick is one aggregate over the rows with their distance to the picked set so far, combined within partitions; no group
+    of rows is ever held in a task. After ``keep`` picks the distances are written, so a pass reads old distances and adds at most
+    ``keep`` new ones. The picks (k rows) pass through the driver.
+    """
+    found = grams(df.withColumn("_zero", F.lit(0.0)), features, "_zero")
+    if not found:
+        return df.sparkSession.createDataFrame([], df.select(ident).schema)
+    g = found[()]
+    z = F.array(*[(F.col(c).cast("double") - float(g.mean[i])) / float(g.scales()[i]) for i, c in enumerate(features)])
+    whole = F.forall("z", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = cut_lineage(df.select(F.col(ident).alias("id"), z.alias("z")).where(F.col("id").isNotNull() & whole).withColumn("d", F.lit(float("inf"))))
+    schema = f"`{ident}` {rows.schema['id'].dataType.simpleString()}"
+    picked = []
+    near = rows
+    while len(picked) < k:
+        best = near.agg(F.min(F.struct((-F.col("d")).alias("below"), "id", "z")).alias("m")).first()["m"]
+        if best is None or best["below"] >= 0:
             break
-        picked.append(j)
-        dist = np.minimum(dist, np.linalg.norm(x - x[j], axis=1))
-    return picked
-
-
-def farthest_first(df: DataFrame, features: Sequence[str], ident: str, k: int, chunks: int = 64) -> DataFrame:
-    """k rows far apart in standardised space, in two rounds at every size: each of ``chunks`` hash chunks proposes k
-    anchors, and the final k come from at most chunks * k proposals. Raise ``chunks`` with the rows; it is part of the method."""
-    g = grams(df.withColumn("_zero", F.lit(0.0)), features, "_zero")[()]
-    z = F.array(*[(F.col(c) - float(g.mean[i])) / float(g.scales()[i]) for i, c in enumerate(features)])
-    d = df.select(F.col(ident).alias("id"), z.alias("z"))
-    schema = d.schema
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        return pdf.iloc[_chunk_anchors(np.vstack(pdf["z"].to_numpy()), k)]
-
-    for parts in (chunks, 1):
-        d = cut_lineage(d.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("_c").applyInPandas(lambda p: pick(p[["id", "z"]]), schema))
-    return d.select(F.col("id").alias(ident))
+        picked.append((best["id"],))
+        centre = F.array(*[F.lit(float(x)) for x in best["z"]])
+        gap = F.aggregate(F.zip_with("z", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+        near = near.withColumn("d", F.least("d", gap))
+        if len(picked) % keep == 0 and len(picked) < k:
+            near = cut_lineage(near)
+    return df.sparkSession.createDataFrame(picked, schema)

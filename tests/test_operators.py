@@ -256,10 +256,27 @@ def test_validation_designs(spark):
 
 def test_farthest_first_spreads(spark):
     pdf = pd.DataFrame({"id": range(60), "a": np.r_[np.zeros(50), np.linspace(5, 50, 10)], "b": 0.0})
-    got = {r["id"] for r in selection.farthest_first(spark.createDataFrame(pdf), ["a", "b"], "id", 4, chunks=3).collect()}
+    got = {r["id"] for r in selection.farthest_first(spark.createDataFrame(pdf), ["a", "b"], "id", 4).collect()}
     assert len(got) == 4 and 59 in got
 
 
+def test_farthest_first_matches_the_sequential_walk(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 2)).round(1)  # ties and copies
+    pdf = pd.DataFrame({"id": np.arange(90), "a": x[:, 0], "b": x[:, 1]})
+    df = spark.createDataFrame(pdf).unionByName(frame(spark, [(None, 50.0, 50.0), (500, None, 9.0), (501, float("nan"), 9.0)], "id long, a double, b double"))
+    kept = np.vstack([x, [[50.0, 50.0]]])  # the row without an id counts for the scale alone
+    z = (x - kept.mean(0)) / kept.std(0)
+    want, d = [0], np.full(90, np.inf)
+    while len(want) < 20:
+        d = np.minimum(d, ((z - z[want[-1]]) ** 2).sum(1))
+        want.append(int(np.flatnonzero(d >= d.max() * (1 - 1e-12))[0]))
+    assert {r["id"] for r in selection.farthest_first(df, ["a", "b"], "id", 20, keep=7).collect()} == set(want)
+    same = frame(spark, [(i, 1.0, 2.0) for i in range(9)], "id long, a double, b double")
+    assert [r["id"] for r in selection.farthest_first(same, ["a", "b"], "id", 3).collect()] == [0]
+    assert selection.farthest_first(same.limit(0), ["a", "b"], "id", 3).count() == 0
+
+
 def test_spectrum_edges(spark):
     pts = frame(spark, [("s", 0.0, 0.0), ("s", 4.0, 8.0), ("far", 90.0, 1.0), ("far", 95.0, 2.0), ("one", 1.0, 1.0)], "id string, x double, y double")
     d = spectra.describe(pts, "id", 0.0, 5.0, 1.0, "none", bit_width=2, band_width=3).toPandas().set_index("id")

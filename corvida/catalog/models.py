@@ -8,7 +8,7 @@ from corvida.catalog.banks import _scratch
 from corvida.catalog.modelling import PRED, X, customer_matrix, embeddings, ridge_sql, score_sql
 from corvida.catalog.registry import LINES_SQL, ORDERS_SQL, fold_sql, lines, order_matrix, query, r, rounded, table
 from corvida.functions.columns import HASH_PRIME, poisson_weight_sql, portable_hash_sql
-from corvida.operators import bank, importance, models, selection, stats, validation
+from corvida.operators import bank, extra_trees, importance, models, selection, stats, validation
 from corvida.operators.gram import grams
 from corvida.plans import flows
 
@@ -44,12 +44,27 @@ def mdl4(spark, sf):
 def mdl5(spark, sf):
     d = lines(spark, sf)
     out = None
-    for kind, params in (("tree", {"maxDepth": 5}), ("forest", {"numTrees": 10, "maxDepth": 5}), ("extra", {"numTrees": 10, "maxDepth": 5}), ("boosted", {"maxIter": 5, "maxDepth": 3})):
+    for kind, params in (("tree", {"maxDepth": 5}), ("forest", {"numTrees": 10, "maxDepth": 5}), ("extra", {"trees": 100, "depth": 5}), ("boosted", {"maxIter": 5, "maxDepth": 3})):
         m = _metrics(models.fit_tree(d, FEATS, "y", kind, **params)[1](d), kind)
         out = m if out is None else out.unionByName(m)
     return out
 
 
+STUMPS = 20
+STUMP_CUTS = ", ".join(f"({j}, (SELECT min({c}) FROM lines), (SELECT max({c}) FROM lines))" for j, c in enumerate(FEATS))
+STUMP_SUMS = " UNION ALL ".join(f"SELECT t, f, cut, count(*) FILTER (WHERE {c} <= cut) AS nl, sum(y) FILTER (WHERE {c} <= cut) AS sl, count(*) AS n, sum(y) AS s FROM lines, cuts WHERE f = {j} GROUP BY t, f, cut" for j, c in enumerate(FEATS))
+
+
+@query("mdl5_extra_trees_depth_one", f"""WITH {LINES_SQL}, rg(f, lo, hi) AS (VALUES {STUMP_CUTS}), tr AS (SELECT unnest(range({STUMPS})) AS t),
+cuts AS (SELECT t, f, lo + ({portable_hash_sql(f't * {extra_trees.TREE_STRIDE} + {extra_trees.NODE_STRIDE} + f')} + 0.5::DOUBLE) / {HASH_PRIME} * (hi - lo) AS cut FROM tr, rg), sums AS ({STUMP_SUMS}),
+best AS (SELECT * FROM sums WHERE nl > 0 AND nl < n QUALIFY row_number() OVER (PARTITION BY t ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f) = 1)
+SELECT CAST(t AS INTEGER) AS tree, 'x' || (f + 1) AS descriptor, {r('cut', 6, 'cut')}, {r('sl / nl', 4, 'left_mean')}, {r('(s - sl) / (n - nl)', 4, 'right_mean')} FROM best""")
+def mdl5_stumps(spark, sf):
+    m = models.fit_tree(lines(spark, sf), FEATS, "y", "extra", trees=STUMPS, depth=1)[0]
+    rows = [(t, FEATS[m.feature[t, 1]], float(m.cut[t, 1]), float(m.value[t, 2]), float(m.value[t, 3])) for t in range(STUMPS)]
+    return rounded(spark.createDataFrame(rows, "tree int, descriptor string, cut double, left_mean double, right_mean double"), 4, cut=6)
+
+
 @query("mdl7_voting", f"""WITH {ORDERS_SQL}, {ridge_sql('m', 'om')}, p AS (SELECT row_id, {PRED} AS a, 250000.0 AS b FROM om, m) SELECT row_id, {r('(3 * a + b) / 4', 2, 'y_pred')} FROM p""")
 def mdl7(spark, sf):
     d = order_matrix(spark, sf)

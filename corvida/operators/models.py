@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.functions.columns import dot
+from corvida.operators import extra_trees
 from corvida.operators.gram import Gram, LinearModel, grams, total
 from corvida.operators.validation import fold_column, kfold
 
@@ -54,10 +55,12 @@ def hinge_basis(df: DataFrame, cols: Sequence[str], knots: int = 3) -> tuple[Dat
 
 
 def fit_tree(df: DataFrame, features: Sequence[str], target: str, kind: str = "forest", **params):
-    """Spark ML tree model: ``tree``, ``forest``, ``extra`` (all rows per tree) or ``boosted``."""
+    """Tree model and its scorer: ``tree``, ``forest`` or ``boosted`` of Spark ML, or ``extra`` (:mod:`corvida.operators.extra_trees`)."""
+    if kind == "extra":
+        model = extra_trees.fit(df, features, target, **params)
+        return model, model.score
     make = {
         "tree": lambda: DecisionTreeRegressor(seed=42, **params), "forest": lambda: RandomForestRegressor(seed=42, **params),
-        "extra": lambda: RandomForestRegressor(seed=42, bootstrap=False, featureSubsetStrategy="onethird", **params),
         "boosted": lambda: GBTRegressor(seed=42, **params),
     }[kind]()
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")

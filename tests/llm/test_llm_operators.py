@@ -131,6 +131,26 @@ def test_sharding(docs, empty, rows):
     assert sharding.shard(empty).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = np.random.default_rng(5)
+    words = ["ab", "cde", "fghi", "j"]
+    texts = [" ".join(rng.choice(words, rng.integers(5, 60))) + f" {i}" for i in range(900)]
+    rows = [(i, texts[i]) for i in range(900)] + [(1000 + i, texts[i % 60]) for i in range(300)] + [(2000 + i, texts[77]) for i in range(25)] + [(3000 + i, None if i % 2 else "") for i in range(700)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=12).toPandas()
+    homes = got[got["size"] > 8].groupby("text_crc32")["shard"].nunique()
+    assert (homes == 1).all()
+    assert got[got["size"] == 8]["shard"].nunique() > 1  # more rows than a shard's share, so this group alone is split
+    load = got.groupby("shard")[["size", "tokens"]].sum()
+    assert len(load) == 12 and np.ptp(load["size"]) <= 0.01 * load["size"].mean()
+
+
+def test_groups_without_room_by_hand():
+    capacity = np.array([100.0, 100.0, 10.0])
+    groups = np.array([[60, 1, 1], [60, 1, 1], [60, 1, 1], [30, 1, 11], [250, 1, 1]], float)
+    assert sharding.without_room(groups[:3], capacity, 2, 0.05).tolist() == [False, False, True]
+    assert sharding.without_room(groups[3:], capacity, 5, 0.05).tolist() == [True, True]
+
+
 def test_bundles_balance_all_dimensions():
     rng = np.random.default_rng(1)
     v = rng.lognormal(8, 1, (2000, 3)).round()

@@ -1,15 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and word pairs are gathered from all training documents. Frequent words (at most ``TABLE_WORDS``) keep exact
-counts in a small table; rarer words and all pairs seen at least twice go to the filter as quantised counts: an n-gram of
+counts in a small table; rarer words and all pairs, those seen once too, go to the filter as quantised counts: an n-gram of
 level q is entered with 1, 2, ..., q appended, and its level is read back by probing 1, 2, ... until one is missing. Levels
 are powers of two. All probes of an n-gram fall into one block of the filter, so tasks build whole blocks without merging.
 The filter is broadcast in segments of at most ``SEGMENT_BLOCKS`` blocks (128 MB); a larger filter takes several passes, each
 adding the levels of its own blocks to the documents, so memory stays bounded and the result is the same.
 
 P(w|v) = a(v) c(vw) / c(v) + (1 - a(v)) c(w) / (N + (V + 1) / 2), with c rounded down above and up below the bar, one half for
-an unseen word, and a(v) = ``TRUST`` for words seen twice, else 0. So the probabilities of a context never sum above one but for the
-filter's false hits (about one in a hundred pairs).
+an unseen word, and a(v) = a for words seen twice, else 0. The trust a is learnt: one less the share of training pairs that
+occur once, which estimates how often the next pair is one seen before. So the probabilities of a context never sum above one
+but for the filter's false hits (about one in a hundred pairs).
 
 The base score needs exact counts of all words: frequent ones come from the table, the tokens of the others are joined
 with the count table, one row per document and word.
@@ -35,7 +36,6 @@ TABLE_WORDS = 1 << 19
 BLOCK_BITS = 1 << 20
 SEGMENT_BLOCKS = 1024
 BITS_PER_ENTRY, PROBES, MAX_LEVEL = 10, 4, 40
-TRUST = 0.3
 END = U64(0x2545F4914F6CDD1D)
 START = U64(0x27BB2EE687B0B0FD)
 
@@ -164,9 +164,11 @@ def with_levels(docs: DataFrame, segment: np.ndarray, low: int, blocks: int) ->
 def score_documents(docs: DataFrame, table_words: int = TABLE_WORDS, segment_blocks: int = SEGMENT_BLOCKS, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), is_held_out(F.col(ident)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = written(ngram_counts(rows.where("NOT held_out").select("text")).where("NOT pair OR n > 1"))
+    counts = written(ngram_counts(rows.where("NOT held_out").select("text")))
     words = counts.where("NOT pair").select("key", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    one = F.count_if(F.col("pair") & (F.col("n") == 1))
+    total, distinct, once = counts.agg(F.coalesce(F.sum(F.when(~F.col("pair"), F.col("n"))), F.lit(0)), F.count_if(~F.col("pair")), one).first()
+    believed = 1 - once / total if total else 0.0  # every token ends one pair, so N counts the pairs too
 
     frequency = sorted(((r["n"], r["words"]) for r in words.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
     least, held = (1 << 62), 0
@@ -181,7 +183,7 @@ def score_documents(docs: DataFrame, table_words: int = TABLE_WORDS, segment_blo
 
     rare = words.where(F.col("n") < least)
     level = (F.floor(F.log2("n") + 1e-9)).cast("long")
-    entries = rare.select("key", (level + 1).alias("level")).unionByName(counts.where("pair").select("key", level.alias("level")))
+    entries = rare.select("key", (level + 1).alias("level")).unionByName(counts.where("pair").select("key", (level + 1).alias("level")))
     n_entries = entries.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
     parts, blocks = build_filter(entries, n_entries)
 
@@ -221,9 +223,9 @@ def score_documents(docs: DataFrame, table_words: int = TABLE_WORDS, segment_blo
                 before[first[:-1]] = 0.0
                 low_before = np.concatenate(([0.0], n_low[:-1]))
                 low_before[first[:-1]] = 0.0
-                trust = np.where(low_before >= 2, TRUST, 0.0)
+                trust = np.where(low_before >= 2, believed, 0.0)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    seen = np.where((pair > 0) & (trust > 0), np.minimum(2.0**pair / before, 1.0), 0.0)
+                    seen = np.where((pair > 0) & (trust > 0), np.minimum(2.0 ** (pair - 1) / before, 1.0), 0.0)
                 p = trust * seen + (1 - trust) * np.maximum(n_low, 0.5) / below
 
                 def per_doc(v):

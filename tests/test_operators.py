@@ -300,15 +300,3 @@ def test_empty_and_repartitioned(spark, skewed):
     b = errors.error_metrics(e.repartition(7), ["k"]).toPandas().sort_values("k").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
     assert errors.error_metrics(e.limit(0), ["k"]).count() == 0
-
-
-def test_stream_upsert(spark, tmp_path):
-    from corvida.streaming.flows import upsert_stream
-
-    src = str(tmp_path / "in")
-    frame(spark, [("a", 1, 1.0), ("a", 2, 5.0), ("b", 1, 2.0)], "k string, ts int, v double").write.parquet(src)
-    stream = spark.readStream.schema("k string, ts int, v double").parquet(src)
-    q = upsert_stream(stream, str(tmp_path / "t"), ["k"], ["ts"], str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    got = {(r["k"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t" / "v0")).collect()}
-    assert got == {("a", 5.0), ("b", 2.0)}

@@ -6,9 +6,10 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from corvida.catalog.registry import query, r, rounded, table
+from corvida.catalog.registry import CHECKS, query, r, rounded, table
 from corvida.operators import bank, spectra
 from corvida.sources import ingest, parsers, tables
+from corvida.streaming import flows
 
 EV = "SELECT event_id, user_id, event_type, ts, CAST(value AS DOUBLE) AS value FROM events"
 
@@ -151,6 +152,35 @@ def win10(spark, sf):
     return bank.journal_decision(journal(spark, sf), "nist")
 
 
+def _as_stream(spark, rows, pieces: int = 3):
+    """A file stream over rows written to a scratch folder, one file per batch."""
+    path = _scratch(spark)
+    rows.repartition(pieces).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(writer) -> None:
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("win9_stream_upsert", CHECKS["win9_keep_last_upsert"])
+def win9_stream(spark, sf):
+    e = events(spark, sf)
+    path = _scratch(spark)
+    _run(flows.upsert_stream(_as_stream(spark, e), path, ["user_id", "event_type"], ["ts", "event_id"], f"{path}/progress", buckets=16))
+    return flows.read_upserted(spark, path, e.schema).select("user_id", "event_type", "event_id", "value")
+
+
+@query("win10_journal_stream", CHECKS["win10_journal_decision"])
+def win10_stream(spark, sf):
+    j = journal(spark, sf)
+    path = _scratch(spark)
+    _run(flows.journal_stream(_as_stream(spark, j), "nist", path, f"{path}/progress", buckets=16))
+    schema = bank.journal_decision(j, "nist").withColumn("decided_in", F.lit(0).cast("long")).schema
+    return flows.read_upserted(spark, path, schema).drop("decided_in")
+
+
 # Requests carry two identities; the second one counts where the journal has no row for the first.
 JR2 = f"jq AS (SELECT CASE WHEN user_id % 3 = 0 THEN '' ELSE 'K' || user_id END AS ik, 'S' || user_id % 50 AS cs, {STATUS} AS status, CASE WHEN event_id % 4 = 0 THEN '' WHEN user_id % 2 = 0 THEN 'nist|mona' ELSE 'nist' END AS sk0, CASE WHEN user_id % 2 = 0 THEN 'nist | mona' ELSE 'nist' END AS ss, event_id FROM events)"
 

@@ -101,6 +101,29 @@ def mdl10(spark, sf):
     return spark.createDataFrame(models.grid_search(lines(spark, sf), FEATS, "y", "row_id", [0.1, 1.0, 10.0], [None, 0.5, 1.0]), "alpha double, l1_ratio double, cv_rmse double, q2 double")
 
 
+ALPHAS = (0.1, 1.0, 10.0, 1000.0)
+GRID_SQL = ", ".join(f"{ridge_sql(f'g{i}', 'kt', 'f', alpha=a)}" for i, a in enumerate(ALPHAS))
+GRID_ROWS = " UNION ALL ".join(f"SELECT {a}::DOUBLE AS alpha, y, {PRED} AS p FROM kd JOIN g{i} ON f = fold" for i, a in enumerate(ALPHAS))
+
+
+@query("mdl10_ridge_grid", f"""WITH {ORDERS_SQL}, kd AS (SELECT *, {fold_sql('row_id', 5)} AS fold FROM om), kt AS (SELECT f, kd.* FROM kd, range(5) q(f) WHERE fold <> f), {GRID_SQL}, al AS ({GRID_ROWS})
+SELECT alpha, {r('rmse', 3, 'cv_rmse')}, {r('r2', 8, 'q2')} FROM ({score_sql('al', 'alpha')})""")
+def mdl10_ridge(spark, sf):
+    t = models.grid_search(order_matrix(spark, sf), X, "y", "row_id", ALPHAS)
+    return rounded(spark.createDataFrame([(x["alpha"], x["cv_rmse"], x["q2"]) for x in t], "alpha double, cv_rmse double, q2 double"), 3, q2=8)
+
+
+@query("mdl10_tree_search")
+def mdl10_trees(spark, sf):
+    """Four settings drawn from a grid of eight for a forest, all four of a grid for randomised trees; place 1 is the best point."""
+    d = lines(spark, sf)
+    forest = models.tree_search(d, FEATS, "y", "row_id", {"maxDepth": [3, 6], "numTrees": [5, 15], "minInstancesPerNode": [1, 50]}, k=3, draws=4)[0]
+    extra = models.tree_search(d, FEATS, "y", "row_id", {"depth": [3, 6], "trees": [20], "min_leaf": [1, 50]}, "extra", k=3)[0]
+    rows = [(kind, i, s.get("maxDepth") or s["depth"], s.get("numTrees") or s["trees"], s.get("minInstancesPerNode") or s["min_leaf"], s["cv_rmse"])
+            for kind, t in (("forest", forest), ("extra", extra)) for i, s in enumerate(t, 1)]
+    return spark.createDataFrame(rows, "model string, place int, depth int, trees int, min_leaf int, cv_rmse double")
+
+
 FARTHEST = 30
 CUSTOMERS_SQL = """cm AS (SELECT c_custkey AS row_id, c_acctbal::DOUBLE AS x1, x2, x3, y FROM customer JOIN
  (SELECT o_custkey, count(*)::DOUBLE AS x2, avg(o_totalprice) AS y, avg(month(o_orderdate)) AS x3 FROM orders GROUP BY 1) ON c_custkey = o_custkey)"""
@@ -195,11 +218,11 @@ def prd2(spark, sf):
 
 
 # Shuffles order the positions by the salted hash; a group of descriptors moves together.
-SHUFFLE_SQL = f"""{ORDERS_SQL}, {ridge_sql('m', 'om')}, ps AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM om),
-ev AS (SELECT pos, y - ({PRED}) AS res, b1 * x1 AS s1, b2 * x2 AS s2 FROM ps, m),
-sh AS (SELECT k, s1 AS o1, s2 AS o2, row_number() OVER (PARTITION BY k ORDER BY {portable_hash_sql('pos', 'k + 5003')}) - 1 AS spot FROM ev, range(30) t(k)),
+POSITIONS_SQL = "ps AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos FROM om)"
+MOVED_SQL = f"""sh AS (SELECT k, s1 AS o1, s2 AS o2, row_number() OVER (PARTITION BY k ORDER BY {portable_hash_sql('pos', 'k + 5003')}) - 1 AS spot FROM ev, range(30) t(k)),
 ch AS (SELECT k, res, s1 - o1 AS d1, s2 - o2 AS d2 FROM ev JOIN sh ON pos = spot),
 rs AS (SELECT k, sqrt(avg((res + d1) * (res + d1))) - sqrt(avg(res * res)) AS r1, sqrt(avg((res + d2) * (res + d2))) - sqrt(avg(res * res)) AS r2, sqrt(avg((res + d1 + d2) * (res + d1 + d2))) - sqrt(avg(res * res)) AS r12 FROM ch GROUP BY k)"""
+SHUFFLE_SQL = f"{ORDERS_SQL}, {ridge_sql('m', 'om')}, {POSITIONS_SQL}, ev AS (SELECT pos, y - ({PRED}) AS res, b1 * x1 AS s1, b2 * x2 AS s2 FROM ps, m), {MOVED_SQL}"
 
 
 def rise_sql(name: str, column: str) -> str:
@@ -212,6 +235,33 @@ def imp2(spark, sf):
     return rounded(importance.permutation_importance(d, grams(d, X, "y")[()].ridge(1.0), "y", "row_id"), 3)
 
 
+# Trees with one cut add up column by column, so moving a column moves its trees' share.
+FEW_STUMPS = 12
+ORDER_STUMPS_SQL = f"""rg(f, lo, hi) AS (VALUES (0, (SELECT min(x1) FROM om), (SELECT max(x1) FROM om)), (1, (SELECT min(x2) FROM om), (SELECT max(x2) FROM om))), tr AS (SELECT unnest(range({FEW_STUMPS})) AS t),
+cuts AS (SELECT t, f, lo + ({portable_hash_sql(f't * {extra_trees.TREE_STRIDE} + {extra_trees.NODE_STRIDE} + f')} + 0.5::DOUBLE) / {HASH_PRIME} * (hi - lo) AS cut FROM tr, rg),
+sums AS ({' UNION ALL '.join(f"SELECT t, f, cut, count(*) FILTER (WHERE {c} <= cut) AS nl, sum(y) FILTER (WHERE {c} <= cut) AS sl, count(*) AS n, sum(y) AS s FROM om, cuts WHERE f = {j} GROUP BY t, f, cut" for j, c in enumerate(X))}),
+stumps AS (SELECT t, f, cut, sl / nl AS le, (s - sl) / (n - nl) AS ri FROM sums WHERE nl > 0 AND nl < n QUALIFY row_number() OVER (PARTITION BY t ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f) = 1)"""
+STUMP_SHARES_SQL = f"""{ORDERS_SQL}, {ORDER_STUMPS_SQL}, {POSITIONS_SQL},
+e0 AS (SELECT pos, any_value(y) AS y, coalesce(sum(CASE WHEN x1 <= cut THEN le ELSE ri END) FILTER (WHERE f = 0), 0) / {FEW_STUMPS} AS s1, coalesce(sum(CASE WHEN x2 <= cut THEN le ELSE ri END) FILTER (WHERE f = 1), 0) / {FEW_STUMPS} AS s2 FROM ps, stumps GROUP BY pos),
+ev AS (SELECT pos, y - s1 - s2 AS res, s1, s2 FROM e0), {MOVED_SQL}"""
+
+
+def stump_importance(spark, sf, groups):
+    d = order_matrix(spark, sf)
+    m = models.fit_tree(d, X, "y", "extra", trees=FEW_STUMPS, depth=1)[0]
+    return rounded(importance.model_permutation_importance(d, m.predict, X, "y", "row_id", groups=groups), 3)
+
+
+@query("imp2_tree_permutation", f"WITH {STUMP_SHARES_SQL} {rise_sql('x1', 'r1')} UNION ALL {rise_sql('x2', 'r2')}")
+def imp2_trees(spark, sf):
+    return stump_importance(spark, sf, None)
+
+
+@query("imp4_tree_grouped_permutation", f"WITH {STUMP_SHARES_SQL} {rise_sql('both', 'r12')} UNION ALL {rise_sql('second', 'r2')}")
+def imp4_trees(spark, sf):
+    return stump_importance(spark, sf, {"both": X, "second": ["x2"]})
+
+
 RANK_SQL = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {n}" for c, n in (("x1", "ra"), ("x1 * x1", "rb"), ("x5", "rc")))
 
 

@@ -336,7 +336,7 @@ SELECT name, n, {r('p', 6, 'pearson')}, {r('s', 6, 'spearman')},
   CASE WHEN abs(p) >= .7 THEN 'strong' WHEN abs(p) >= .4 THEN 'moderate' WHEN abs(p) >= .2 THEN 'weak' ELSE 'very_weak' END AS strength,
   CASE WHEN p > 0 THEN 'positive' WHEN p < 0 THEN 'negative' ELSE 'none' END AS direction FROM c""")
 def agg11(spark, sf):
-    return rounded(stats.target_correlations(lines(spark, sf), FEATS, "y").drop("pearson_p"))
+    return rounded(stats.target_correlations(lines(spark, sf), FEATS, "y").drop("pearson_p", "spearman_p"))
 
 
 @query("agg12_collinear_pairs", f"""WITH {LINES_SQL}, m AS (SELECT corr(x1, y) AS a, corr(x1, y_pred) AS b, corr(y, y_pred) AS c, corr(x1, x5) AS d, corr(x5, y) AS e, corr(x5, y_pred) AS f FROM lines),

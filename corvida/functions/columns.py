@@ -98,8 +98,8 @@ def portable_hash_block(x: np.ndarray, salts: np.ndarray) -> np.ndarray:
 
 
 def portable_text_hash(c, salt: int | Column = 0) -> Column:
-    """The same for text keys: over the CRC-32 of the UTF-8 bytes."""
-    return portable_hash(F.crc32(F.encode(col(c), "UTF-8")), salt)
+    """The same for text keys: over the first 32 bits of the MD5 sum of the UTF-8 bytes."""
+    return portable_hash(F.conv(F.substring(F.md5(F.encode(col(c), "UTF-8")), 1, 8), 16, 10), salt)
 
 
 def portable_hash_sql(expr: str, salt: str | int = 0) -> str:
@@ -111,6 +111,10 @@ def portable_hash_sql(expr: str, salt: str | int = 0) -> str:
     return f"(({fifth} * {HASH_A} + (CAST({salt} AS BIGINT) % {p}) * {HASH_C} + 7919) % {p})"
 
 
+def portable_text_hash_sql(expr: str, salt: str | int = 0) -> str:
+    return portable_hash_sql(f"('0x' || substr(md5({expr}), 1, 8))", salt)
+
+
 # P(N <= k) of a unit-mean Poisson variable, scaled to the hash range, as far as the range can tell values apart.
 POISSON_CUTS = tuple(int(math.fsum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * HASH_PRIME) for k in range(12))
 

@@ -28,6 +28,9 @@ class LinearModel:
     intercept: float
     info: dict = field(default_factory=dict)
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.intercept + x @ np.asarray(self.coef, dtype=float)
+
     def column(self) -> Column:
         return F.lit(float(self.intercept)) + dot(self.coef, self.features)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvida.functions.ranks import bounded_groups, with_average_rank, with_position
-from corvida.operators.gram import LinearModel
+from corvida.operators.gram import LinearModel, complete_rows
 from corvida.operators.stats import correlation_matrix
 from corvida.operators.validation import shuffled_positions
 from corvida.session import cut_lineage
@@ -47,6 +49,47 @@ def permutation_importance(df: DataFrame, model: LinearModel, target: str, ident
         F.avg("r.d").alias("importance_mean"), F.stddev_pop("r.d").alias("importance_std"), F.avg(F.when(F.col("r.d") > 0, 1.0).otherwise(0.0)).alias("positive_repeats_fraction"))
 
 
+def model_permutation_importance(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], features: Sequence[str], target: str, ident: str,
+                                 repeats: int = 30, groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """The same for any model: ``predict`` maps a (rows, features) block to predictions and travels to the tasks.
+
+    A row meets one whole feature vector of another row per repeat; a task puts the columns of each descriptor (or group) into its
+    block in turn, scores it and adds up squared errors, so what is shuffled afterwards are repeats x descriptors sums per task.
+    Rows with a NULL, NaN or infinite feature or target are left out; a table without complete rows gives no rows.
+    """
+    groups = groups or {f: [f] for f in features}
+    place = {f: i for i, f in enumerate(features)}
+    moved_columns = [[place[c] for c in cols] for cols in groups.values()]
+    p, parts = len(features), len(groups)
+    vector = F.array(*[F.col(c).cast("double") for c in features])
+    rows = with_position(complete_rows(df, [*features, target]), [], ident, "_pos").select("_pos", F.col(target).cast("double").alias("_y"), vector.alias("_own"))
+    moved = shuffled_positions(rows.select("_pos", F.col("_own").alias("_other")), repeats, "repeat")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, base, moved_sse = np.zeros(repeats, dtype=np.int64), np.zeros(repeats), np.zeros((repeats, parts))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            repeat, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x, other = (batch.column(i).flatten().to_numpy().reshape(-1, p).copy() for i in (2, 3))
+            n += np.bincount(repeat, minlength=repeats)
+            base += np.bincount(repeat, (y - predict(x)) ** 2, repeats)
+            for g, cols in enumerate(moved_columns):
+                kept = x[:, cols]
+                x[:, cols] = other[:, cols]
+                moved_sse[:, g] += np.bincount(repeat, (y - predict(x)) ** 2, repeats)
+                x[:, cols] = kept
+        for i in np.flatnonzero(n):
+            yield pa.RecordBatch.from_pydict({"repeat": [int(i)] * parts, "part": list(range(parts)), "n": [int(n[i])] * parts, "base": [base[i]] * parts, "sse": moved_sse[i].tolist()},
+                                             schema=pa.schema([("repeat", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("base", pa.float64()), ("sse", pa.float64())]))
+
+    sums = rows.join(moved, "_pos").select("repeat", "_y", "_own", "_other").mapInArrow(add_up, "repeat int, part int, n long, base double, sse double")
+    rise = sums.groupBy("repeat", "part").agg((F.sqrt(F.sum("sse") / F.sum("n")) - F.sqrt(F.sum("base") / F.sum("n"))).alias("d"))
+    name = F.get(F.array(*[F.lit(g) for g in groups]), F.col("part"))
+    return rise.groupBy(name.alias("descriptor")).agg(F.avg("d").alias("importance_mean"), F.stddev_pop("d").alias("importance_std"),
+                                                      F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0)).alias("positive_repeats_fraction"))
+
+
 def correlation_groups(df: DataFrame, features: Sequence[str], ident: str, threshold: float = 0.9) -> list[list[str]]:
     """Connected groups of descriptors with absolute rank correlation at or above the threshold."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)]))

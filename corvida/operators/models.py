@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
+from pyspark.util import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import dot
+from corvida.functions.columns import dot, portable_hash_block
 from corvida.operators import extra_trees
-from corvida.operators.gram import Gram, LinearModel, grams, total
+from corvida.operators.gram import Gram, LinearModel, complete_rows, grams, total
 from corvida.operators.validation import fold_column, kfold
+from corvida.session import cut_lineage
 
 
 def model_table(spark: SparkSession, models: dict[str, LinearModel]) -> DataFrame:
@@ -54,20 +62,72 @@ def hinge_basis(df: DataFrame, cols: Sequence[str], knots: int = 3) -> tuple[Dat
     return df.withColumns(new), list(new)
 
 
+ML_TREES = {"tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosted": GBTRegressor}
+
+
 def fit_tree(df: DataFrame, features: Sequence[str], target: str, kind: str = "forest", **params):
     """Tree model and its scorer: ``tree``, ``forest`` or ``boosted`` of Spark ML, or ``extra`` (:mod:`corvida.operators.extra_trees`)."""
     if kind == "extra":
         model = extra_trees.fit(df, features, target, **params)
         return model, model.score
-    make = {
-        "tree": lambda: DecisionTreeRegressor(seed=42, **params), "forest": lambda: RandomForestRegressor(seed=42, **params),
-        "boosted": lambda: GBTRegressor(seed=42, **params),
-    }[kind]()
+    make = ML_TREES[kind](seed=42, **params)
     asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     model = make.setFeaturesCol("_features").setLabelCol(target).setPredictionCol("y_pred").fit(asm.transform(df.drop("y_pred")))
     return model, lambda d: model.transform(asm.transform(d.drop("y_pred"))).drop("_features")
 
 
+@dataclass
+class NumericTrees:
+    """A Spark ML tree model over numeric columns as arrays, for use inside tasks: node i of a tree goes left (to i + 1) up to its cut,
+    else to ``right[i]``; feature -1 marks a leaf. The prediction is the weighted sum over the trees."""
+
+    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    weights: list[float]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for (feature, cut, right, value), w in zip(self.trees, self.weights):
+            node = np.zeros(len(x), dtype=np.int64)
+            live = np.flatnonzero(feature[node] >= 0)
+            while len(live):
+                at = node[live]
+                node[live] = np.where(x[live, feature[at]] <= cut[at], at + 1, right[at])
+                live = live[feature[node[live]] >= 0]
+            out += w * value[node]
+        return out
+
+
+_LINE = re.compile(r"\s*(?:Tree \d+ \(weight (?P<w>\S+)\)|(?P<if>If) \(feature (?P<f>\d+) <= (?P<c>[^)]+)\)|(?P<else>Else) \(feature \d+ > |Predict: (?P<v>\S+))")
+
+
+def numeric_trees(model) -> NumericTrees:
+    """Read a fitted Spark ML tree, forest or boosted model from its printed form, which lists nodes in depth-first order."""
+    trees, weights, open_nodes = [], [], []
+    for line in model.toDebugString.splitlines()[1:]:
+        m = _LINE.match(line)
+        if m is None:
+            if line.strip():
+                raise ValueError(f"not a split on a numeric column: {line.strip()}")
+            continue
+        if m["w"] is not None or not trees:
+            trees.append([])
+            weights.append(float(m["w"] or 1.0))
+            if m["w"] is not None:
+                continue
+        nodes = trees[-1]
+        if m["if"]:
+            open_nodes.append(len(nodes))
+            nodes.append([int(m["f"]), float(m["c"]), -1, np.nan])
+        elif m["else"]:
+            nodes[open_nodes.pop()][2] = len(nodes)
+        else:
+            nodes.append([-1, np.nan, -1, float(m["v"])])
+    if not hasattr(model, "evaluateEachIteration"):  # only boosted trees add up: a forest prints weight 1 for each tree and takes their mean
+        weights = [w / sum(weights) for w in weights]
+    arrays = [tuple(np.array(c, dtype=t) for c, t in zip(zip(*nodes), (np.int64, float, np.int64, float))) for nodes in trees]
+    return NumericTrees(arrays, weights)
+
+
 def vote(predictions: DataFrame, row: str, weights: dict[str, float]) -> DataFrame:
     """Weighted mean of a long prediction table."""
     w = F.element_at(F.create_map(*[x for m, v in weights.items() for x in (F.lit(m), F.lit(float(v)))]), F.col("model"))
@@ -190,6 +250,41 @@ def grid_search(df: DataFrame, features: Sequence[str], target: str, ident: str,
     return sorted(out, key=lambda r: (r["cv_rmse"], r["alpha"]))
 
 
+def tree_search(df: DataFrame, features: Sequence[str], target: str, ident: str, grid: Mapping[str, Sequence], kind: str = "forest", k: int = 5,
+                draws: int | None = None, salt: int = 0, parallelism: int = 4):
+    """(settings with ``cv_rmse`` from best to worst, scorer of the best one fitted on all rows).
+
+    Every combination of ``grid``, or ``draws`` of them picked by a portable hash of their number. The folds are those of the other
+    validation designs, and ``cv_rmse`` is the mean of the folds' RMSE. ``parallelism`` models are fitted at a time.
+    Rows with a NULL, NaN or infinite feature or target take no part; ties go to the earlier setting.
+    """
+    settings = [dict(zip(grid, values)) for values in product(*grid.values())]
+    if draws is not None and draws < len(settings):
+        h = portable_hash_block(np.arange(len(settings)), np.array([salt]))[:, 0]
+        settings = [settings[i] for i in sorted(np.argsort(h, kind="stable")[:draws])]
+    rows = cut_lineage(complete_rows(df, [*features, target]).select(*[F.col(c).cast("double").alias(c) for c in [*features, target]], fold_column(ident, k).alias("fold")))
+    if kind == "extra":
+        def fold_rmse(setting: dict, f: int) -> float:
+            scored = extra_trees.fit(rows.where(F.col("fold") != f), features, target, **setting).score(rows.where(F.col("fold") == f))
+            e = F.col("y_pred") - F.col(target)
+            return scored.agg(F.sqrt(F.avg(e * e))).first()[0]
+
+        held = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+        with ThreadPool(parallelism) as pool:
+            each = pool.starmap(inheritable_thread_target(df.sparkSession)(fold_rmse), [(s, f) for s in settings for f in held])
+        errors = np.array(each).reshape(len(settings), -1).mean(axis=1).tolist()
+    else:
+        assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
+        est = ML_TREES[kind](seed=42, featuresCol="_features", labelCol=target, predictionCol="y_pred")
+        maps = [{est.getParam(name): v for name, v in s.items()} for s in settings]
+        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(predictionCol="y_pred", labelCol=target, metricName="rmse"),
+                            numFolds=k, foldCol="fold", parallelism=parallelism)
+        errors = [float(v) for v in cv.fit(assembled).avgMetrics]
+    table = sorted(({**s, "cv_rmse": e} for s, e in zip(settings, errors)), key=lambda row: row["cv_rmse"])
+    best = {name: v for name, v in table[0].items() if name != "cv_rmse"}
+    return table, fit_tree(rows, features, target, kind, **best)[1]
+
+
 def leaderboard(metrics: DataFrame, **extra: DataFrame) -> DataFrame:
     """Models ordered by rating, K-fold Q2, leave-one-out Q2 and hold-out R2, with their place; extra tables add columns."""
     from pyspark.sql import Window

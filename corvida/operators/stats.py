@@ -143,6 +143,7 @@ def target_correlations(df: DataFrame, cols: Sequence[str], target: str, top: in
         "strength": correlation_strength("pearson"),
         "direction": F.when(F.col("pearson") > 0, "positive").when(F.col("pearson") < 0, "negative").otherwise("none"),
         "pearson_p": p_value("pearson", "n"),
+        "spearman_p": p_value("spearman", "n"),  # the same t distribution over ranks
     })
     return res.orderBy(F.abs("pearson").desc(), "name").limit(top) if top else res
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import HASH_PRIME, portable_hash
+from corvida.functions.columns import HASH_PRIME, portable_hash, portable_text_hash
 from corvida.functions.labels import quality_label
 from corvida.functions.ranks import exact_quantiles, with_position
 from corvida.operators.gram import Gram, draws_poisson, grams, indexed_prediction, replicate_grams, total
@@ -106,12 +106,21 @@ def leave_one_out(df: DataFrame, features, target: str, alpha: float = 1.0, keep
 
 
 def group_holdout(df: DataFrame, features, target: str, group_hash: Column, fraction: float = 0.2, alpha: float = 1.0):
-    """(model, scored table): whole groups go to one side, decided by the hash of the group key."""
+    """(model, scored table): whole groups go to one side, decided by the hash of the group key (an error when none is left to train on)."""
     d = df.withColumn("split", F.when(group_hash < int(fraction * HASH_PRIME), "test").otherwise("train"))
-    model = grams(d, features, target, ["split"])["train"].ridge(alpha)
+    train = grams(d, features, target, ["split"]).get("train")
+    if train is None:
+        raise ValueError("no group on the training side")
+    model = train.ridge(alpha)
     return model, d.withColumn("y_pred", model.column())
 
 
+def scaffold_holdout(df: DataFrame, features, target: str, scaffold: str, ident: str, valid: Column | None = None, fraction: float = 0.2, alpha: float = 1.0):
+    """(model, scored table with ``group``): rows of one scaffold stay together, rows without one go alone."""
+    d = df.withColumn("group", scaffold_label(scaffold, ident, valid))
+    return group_holdout(d, features, target, portable_text_hash("group"), fraction, alpha)
+
+
 def scaffold_label(scaffold: str, ident: str, valid: Column | None = None) -> Column:
     """Group label; rows without a scaffold or with an invalid structure stand alone."""
     lab = F.coalesce(F.when(F.trim(F.col(scaffold)) != "", F.col(scaffold)), F.concat(F.lit("acyclic::"), F.col(ident).cast("string")))

@@ -65,7 +65,8 @@ def merge_batch(batch: DataFrame, epoch: int, path: str, keys: Sequence[str], or
         if not touched:
             return
         old = _read(spark, path, batch.schema, {b: e for b, e in _versions(spark, path, epoch).items() if b in touched})
-        upsert(old, batch, keys, order).withColumn(BUCKET, bucket).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows/{EPOCH}={epoch}")
+        # Rebalancing gives a bucket few files and splits a large one, such as that of the rows without a key.
+        upsert(old, batch, keys, order).withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/rows/{EPOCH}={epoch}")
         spark.createDataFrame([(b, epoch) for b in sorted(touched)], COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={epoch}")
     finally:
         batch.unpersist()

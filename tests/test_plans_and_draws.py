@@ -75,5 +75,5 @@ def test_gram_row_rule(spark, columns):
 def test_farthest_first_does_not_depend_on_partitions(spark):
     x = np.random.default_rng(2).normal(size=(500, 2))
     d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
-    picks = [{r["id"] for r in farthest_first(d.repartition(n), ["a", "b"], "id", 10, chunks=4).collect()} for n in (1, 7)]
+    picks = [{r["id"] for r in farthest_first(d.repartition(n), ["a", "b"], "id", 10, keep=4).collect()} for n in (1, 7)]
     assert picks[0] == picks[1] and len(picks[0]) == 10

@@ -91,9 +91,12 @@ def model_permutation_importance(df: DataFrame, predict: Callable[[np.ndarray],
 
 
 def correlation_groups(df: DataFrame, features: Sequence[str], ident: str, threshold: float = 0.9) -> list[list[str]]:
-    """Connected groups of descriptors with absolute rank correlation at or above the threshold."""
+    """Connected groups of descriptors with absolute rank correlation at or above the threshold.
+
+    ``ident`` may repeat or be null: the cells of a row meet again under a number of its own, fixed by the checkpoint."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)]))
-    long = cut_lineage(df.select(F.col(ident).alias("_id"), cells.alias("c")).select("_id", "c.*").where("v IS NOT NULL"))
+    numbered = df.select(*features).withColumn("_id", F.monotonically_increasing_id())
+    long = cut_lineage(numbered.select("_id", cells.alias("c")).select("_id", "c.*").where("v IS NOT NULL"))
     ranked = with_average_rank(long, ["k"], "v", "r", bounded=bounded_groups(long, ["k"]))  # all descriptors in one pass
     row = ranked.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "r"))).alias("m"))
     names = [f"_r_{f}" for f in features]

@@ -97,3 +97,9 @@ def test_replicates_equal_copied_rows(spark, table):
         assert drawn[b][1] + left[b][1] == len(table)
     assert len(uncertainty.bootstrap_models(df, ["x1", "x2"], "y", "id", 7)) == 7
     assert len(validation.repeated_holdout(df, ["x1", "x2"], "y", "id", 4)) == 4
+
+
+def test_correlation_groups_with_ids_that_repeat_or_are_null(spark):
+    rows = [(i // 3 if i % 5 else None, float(i), float(i * i), float((i * 7919) % 101)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    assert importance.correlation_groups(df, ["a", "b", "c"], "id") == [["a", "b"], ["c"]]

@@ -190,6 +190,31 @@ def test_knn_sends_little(spark):
 
 
 
+def test_knn_tasks_hold_little(monkeypatch):
+    """A query that reaches every block goes out in bounded frames; distances are taken for a bounded part of a block at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    table = knn.Blocks(x[:20], np.arange(20), np.zeros(20), np.zeros(20), np.full(20, 1e9), np.full(20, 2))
+    pdf = pd.DataFrame({"qid": np.arange(400), "v": list(x), "block": np.arange(400) % 40, "bound": 1e9})
+    monkeypatch.setattr(knn, "AT_ONCE", 1600)
+    frames = list(knn._routed_frames(pdf, table))
+    assert max(map(len, frames)) <= 100
+    assert {(q, b) for f in frames for q, b in zip(f["qid"], f["block"])} == {(q, b) for q in range(400) for b in range(40) if b != q % 40}
+    monkeypatch.undo()
+    a, b = rng.normal(size=(2048, 8)), rng.normal(size=(4096, 8))
+    tracemalloc.start()
+    found = list(knn._pick(np.arange(2048), np.arange(4096), a, b, 3, np.full(2048, np.inf), True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    for i in range(0, 2048, 97):
+        d = np.sqrt(((b - a[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert found[i][0].tolist() == np.argsort(d)[:3].tolist()
+
+
 def test_reference_hierarchy_matches_sequential(spark):
     rng = np.random.default_rng(4)
     pts = [("d", f"s{i}", float(c), 10.0 * c * (1 + 0.02 * i) + (rng.normal() * (0 if i % 3 else 12)), 1.0) for i in range(9) for c in range(6)]

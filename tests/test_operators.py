@@ -325,3 +325,17 @@ def test_empty_and_repartitioned(spark, skewed):
     b = errors.error_metrics(e.repartition(7), ["k"]).toPandas().sort_values("k").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
     assert errors.error_metrics(e.limit(0), ["k"]).count() == 0
+
+
+def test_quantiles_of_few_keys_leave_the_rows_where_they_are(spark):
+    """Column medians: the brackets travel to the rows, so the cells of one column do not meet in one task."""
+    df = spark.range(6000).selectExpr("if(id < 5500, 'a', 'b') AS name", "cast(id * 7919 % 6007 AS double) AS value")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ranks.exact_quantiles(df, ["name"], "value", {"m": 0.5}, accuracy=200, few=True)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        want = df.toPandas().groupby("name")["value"].median().to_dict()
+        assert {r["name"]: r["m"] for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

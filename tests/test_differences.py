@@ -4,7 +4,9 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corvida.operators import differences, series
 
@@ -70,3 +72,17 @@ def test_hundred_thousand_by_hundred_thousand(spark):
     e = series.pattern_edges(series.pattern_points(df, "f", "p", "v"))
     got = series.edge_medians(e, df, "f", "p", "v").collect()
     assert len(got) == 1 and got[0]["median_delta"] == sum(want) / 2
+
+
+def test_rows_with_blocks_travel_in_small_batches(spark):
+    before = spark.conf.get(differences.BATCH_LIMIT, None)
+    rows = spark.range(0, 1200, 1, 1).select(F.array_repeat(F.col("id").cast("double"), differences.BLOCK).alias("v"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    with differences.small_batches(spark):
+        got = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 1200 and max(got) * differences.BLOCK * 8 < 2 * differences.BATCH_BYTES
+    assert spark.conf.get(differences.BATCH_LIMIT, None) == before

@@ -92,6 +92,25 @@ def test_labels(spark):
     assert a == b == "methyl@2"
 
 
+@pytest.mark.parametrize("block", [1, 4, 16, 1000])
+def test_concordance_in_blocks(spark, block):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(x), float(y)) for k, n, m in (("a", 150, 400), ("b", 90, 6), ("c", 1, 2), ("d", 60, 1)) for x, y in rng.integers(0, m, (n, 2))]
+    rows += [("a", 7.0, float(i)) for i in range(60)] + [("b", float(i), 3.0) for i in range(40)] + [("a", None, 1.0), ("b", float("nan"), 2.0), (None, 1.0, 2.0)]
+    got = {r["k"]: (r["comparable"], r["preserved"]) for r in ranks.concordance(frame(spark, rows, "k string, x double, y double"), ["k"], "x", "y", True, block).collect()}
+    for k in "abcd":
+        pts = [(np.inf if x != x else x, y) for q, x, y in rows if q == k and x is not None]
+        pairs = [(p, q) for p, q in itertools.combinations(pts, 2) if p[0] != q[0]]
+        assert got[k] == (len(pairs), sum((p[0] < q[0]) == (p[1] < q[1]) and p[1] != q[1] for p, q in pairs))
+
+
+def test_concordance_sends_each_point_twice(spark):
+    pts = spark.range(4000).select(F.lit(0).alias("_g"), F.lit(4000).alias("_n"), F.col("id").alias("_u"), ((F.col("id") * 7) % 4000).alias("_v"))
+    pts = pts.withColumns({"_bu": F.floor(F.col("_u") / 256) * 2, "_bv": F.floor(F.col("_v") / 256) * 2})
+    sizes = ranks.concordance_blocks(pts, 256).groupBy("_g", "_b").count().agg(F.sum("count"), F.max("count")).first()
+    assert tuple(sizes) == (8000, 256)
+
+
 def test_similar_pairs_with_hot_token_and_copies(spark):
     rng = np.random.default_rng(5)
     sets = [sorted(set(rng.integers(0, 30, 8).tolist()) | {1000}) for _ in range(60)] + [[1, 2, 3, 1000]] * 25

@@ -111,6 +111,14 @@ def test_concordance_sends_each_point_twice(spark):
     assert tuple(sizes) == (8000, 256)
 
 
+def test_token_set_makes_its_tokens_once(spark):
+    d = frame(spark, [(1, "a b"), (2, " "), (3, None), (4, "b a b")], "id bigint, s string").select("id", F.filter(F.split("s", " "), lambda w: w != "").alias("t"))
+    sets = similarity.token_set(d, "t")
+    assert str(sets._jdf.queryExecution().optimizedPlan()).count("split(") == 1
+    got = {r["id"]: r["set"] for r in sets.collect()}
+    assert set(got) == {1, 4} and got[1] == got[4] == sorted(got[1]) and len(got[1]) == 2
+
+
 def test_similar_pairs_with_hot_token_and_copies(spark):
     rng = np.random.default_rng(5)
     sets = [sorted(set(rng.integers(0, 30, 8).tolist()) | {1000}) for _ in range(60)] + [[1, 2, 3, 1000]] * 25

@@ -429,6 +429,17 @@ def test_fuzzy_passages_compare_more_than_the_first(spark):
     assert [(r["other_start"], r["other_end"], r["start"], r["end"]) for r in got if r["doc_id"] == r["other_id"]] == [(20, 80, 170, 230)]
 
 
+def test_fuzzy_passages_reach_every_occurrence(spark):
+    """A passage is found though documents that hold all its seeds in shreds stand first and between its two places."""
+    rng = random.Random(15)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    p = text(60)
+    shreds = lambda: [w for k in rng.sample(range(0, 50, 8), 7) for w in text(40) + p[k : k + 16]]
+    data = [(i, " ".join(text(20) + p + text(20) if i in (1, 5) else shreds())) for i in range(6)]
+    got = passages.fuzzy_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert any((r["doc_id"], r["other_id"], r["start"], r["end"], r["other_start"]) == (5, 1, 20, 80, 20) for r in got)
+
+
 def test_rows_without_id(spark):
     """op8 leaves rows without an id out; near dedup never drops them."""
     t = " ".join(f"w{i}" for i in range(60))

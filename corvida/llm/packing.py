@@ -13,6 +13,7 @@ are packed each; only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,11 +28,14 @@ from corvida.llm.common import KEPT, trim, written
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 OTHER_SPACE = "\t\n\x0b\x0c\r"
 CACHED_WORDS, CACHED_LENGTH = 500_000, 48
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
+PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]*)")  # the tokenizer parts letters from marks and folds case, so such words share their parts
 
 
 class WordCache:
     """Token ids per white-space word as packed bytes. The tokenizer drops white space and never joins words, so a text's
-    ids are its words' ids in a row; frequent words are encoded once per worker. The first ``CACHED_WORDS`` are kept."""
+    ids are its words' ids in a row; frequent words are encoded once per worker. The first ``CACHED_WORDS`` are kept.
+    A new word of letters and closing marks takes the ids of its lower-case letters and of its marks, which are kept as well."""
 
     _by_path: dict[str, WordCache] = {}
 
@@ -43,6 +47,9 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)  # ids that end a part
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordCache:
@@ -50,8 +57,35 @@ class WordCache:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """One call for all: a part is one run for the tokenizer, so its ids go up to the next one that ends a run."""
+        if not parts:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(cut) != len(parts) or cut[-1] != 4 * len(ids):  # a tokenizer of another make
+            return self._each(parts)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
+
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        cut = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, None) for w in words]
+        known, odd = self.parts, [w for w, marks in cut if marks is None]
+        new = list({p for pair in cut if pair[1] is not None for p in pair if p not in known})
+        fresh = dict(zip(new, self._encode_parts(new)))
+        if len(known) < CACHED_WORDS:
+            known.update((p, b) for p, b in fresh.items() if len(p) <= CACHED_LENGTH)
+        fresh |= zip(odd, self._each(odd))
+
+        def of(p):
+            return fresh[p] if p in fresh else known[p]
+
+        return [of(a) if b is None else of(a) + of(b) for a, b in cut]
 
     def ids(self, text: str) -> bytes:
         for c in OTHER_SPACE:

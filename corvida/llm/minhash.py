@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.llm.common import LOWER, U64, SpanHash, as_long, id_bitmap, maybe_in, mix, text_slices, word_bounds, written
@@ -33,6 +33,7 @@ from corvida.llm.common import LOWER, U64, SpanHash, as_long, id_bitmap, maybe_i
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 40, 6
+LOT, LOT_SHINGLES = 128, 1 << 18
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -123,26 +124,61 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def lots_of(n: Column, shingles: Column) -> Column:
+    """Number of lots for ``n`` sets: a lot holds about ``LOT`` members and ``LOT_SHINGLES`` shingles (one longer set is its own lot)."""
+    return F.ceil(F.greatest(n / LOT, shingles / LOT_SHINGLES)).cast("int")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets share at least ``percent`` of their union."""
-    wanted = written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = written(shingle_sets(docs, wanted))
-
-    @F.arrow_udf("boolean")
-    def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y):
-            a, b = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (p, q))
-            if not len(a) or not len(b):
-                out.append(False)
-                continue
-            common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-            out.append(100 * common >= percent * (len(a) + len(b) - common))
-        return pa.array(out, pa.bool_())
+    """u, v of the pairs (hub, node, n_shingles of the node) whose full sets share at least ``percent`` of their union.
+
+    The texts, which compress well, meet the list of lots they belong to; a set is made there and sent once to each of its
+    pairs. A hub's nodes are cut into lots of bounded size, and the hub's set goes to each of them."""
+    hubs = pairs.groupBy("hub").agg(lots_of(F.count(F.lit(1)), F.sum("n_shingles")).alias("lots"))
+    hubs = written(hubs)
+    nodes = pairs.join(hubs, "hub").select(F.col("node").alias("of"), "hub", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int").alias("lot"))
+    sides = nodes.unionByName(hubs.select(F.col("hub").alias("of"), "hub", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")))
+    asked = written(sides.groupBy("of").agg(F.collect_list(F.struct("hub", "lot")).alias("lots")))
+    bitmap, bits = id_bitmap(asked, "of")
+    texts = docs.where(maybe_in(docs, "doc_id", bitmap, bits)).dropDuplicates(["doc_id"]).join(asked, F.col("doc_id") == F.col("of"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], names=["hub", "lot", "node", "shingles"])
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u")
-    both = both.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
-    return written(both.where(linked("x", "y")).select("u", "v"))
+        for batch in batches:
+            ids, lots = batch.column(0).to_pylist(), batch.column(2)
+            for a, b, buf, off in text_slices(batch.column(1)):
+                h, first = shingles(buf, off)
+                rows, held = [], 0
+                for i in range(a, b):
+                    own = h[first[i - a] : first[i - a + 1]].tobytes()
+                    for r in lots[i].as_py():
+                        rows.append((r["hub"], r["lot"], ids[i], own))
+                        held += len(own)
+                        if held > 1 << 22:
+                            yield made(rows)
+                            rows, held = [], 0
+                yield made(rows)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            for u, v, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                b = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+                if u == v:
+                    hub, own = u, b.copy()
+                elif u == hub and len(own) and len(b):
+                    common = int((b[np.minimum(np.searchsorted(b, own), len(b) - 1)] == own).sum())
+                    if 100 * common >= percent * (len(own) + len(b) - common):
+                        out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out)) or [[]] * 2], names=["u", "v"])
+
+    sets = texts.select("doc_id", "text", "lots").mapInArrow(send, "hub long, lot int, node long, shingles binary")
+    lots = sets.repartition("hub", "lot").sortWithinPartitions("hub", "lot", F.col("node") != F.col("hub"))  # a lot begins with its hub
+    return written(lots.mapInArrow(compare, "u long, v long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,7 +277,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
         pivot = written(member.groupBy("band").agg(F.min_by(F.struct("node", "n_shingles", *(["component"] if i else [])), by).alias("pivot")))
         far = member.join(pivot, "band").where(F.col("component") != F.col("pivot.component") if i else F.col("node") != F.col("pivot.node"))
         small, large = F.least("pivot.n_shingles", "n_shingles"), F.greatest("pivot.n_shingles", "n_shingles")
-        pairs = written(far.where(100 * small >= percent * large).select(F.least("pivot.node", "node").alias("u"), F.greatest("pivot.node", "node").alias("v")).distinct())
+        pairs = written(far.where(100 * small >= percent * large).select(F.col("pivot.node").alias("hub"), "node", "n_shingles").distinct())
         found = confirmed(pairs, docs, percent)
         edges = found if edges is None else written(edges.unionByName(found))
         member = _open_members(member, components(edges))

@@ -429,6 +429,24 @@ def test_fuzzy_passages_compare_more_than_the_first(spark):
     assert [(r["other_start"], r["other_end"], r["start"], r["end"]) for r in got if r["doc_id"] == r["other_id"]] == [(20, 80, 170, 230)]
 
 
+def test_words_share_their_parts():
+    """A word that differs from known ones in case and marks only is not encoded anew; ids are those of the whole text."""
+    cache = packing.WordCache(tokenizer("word_bpe_49k.json"))
+    t = "House, house. ÉTÉ? ab's don't 12. é\u0301a. x<|endoftext|>, ẞ. ΣΑΣ; a.,b"
+    assert np.frombuffer(cache.ids(t), "<u4").tolist() == cache.tokenizer.encode(t, add_special_tokens=False).ids
+    want, cache.tokenizer = cache.tokenizer.encode("HOUSE. hOUSE, Été? été.", add_special_tokens=False).ids, None
+    assert np.frombuffer(cache.ids("HOUSE. hOUSE, Été? été."), "<u4").tolist() == want
+
+
+def test_near_pairs_in_lots(spark, monkeypatch):
+    """The nodes of a hub are confirmed in lots of bounded size; every lot meets the hub."""
+    monkeypatch.setattr(minhash, "LOT", 4)
+    base = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(base[: 120 - i])) for i in range(40)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i, 116 - i) for i in range(1, 40)], "hub long, node long, n_shingles long")
+    assert {tuple(r) for r in minhash.confirmed(pairs, docs, 85).collect()} == {(0, i) for i in range(1, 40) if 100 * (116 - i) >= 85 * 116}
+
+
 def test_fuzzy_passages_reach_every_occurrence(spark):
     """A passage is found though documents that hold all its seeds in shreds stand first and between its two places."""
     rng = random.Random(15)

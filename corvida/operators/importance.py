@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corvida.functions.ranks import bounded_groups, with_average_rank, with_position
 from corvida.operators.gram import LinearModel, complete_rows
 from corvida.operators.stats import correlation_matrix
-from corvida.operators.validation import shuffled_positions
+from corvida.operators.validation import meet_shuffled
 from corvida.session import cut_lineage
 
 
@@ -29,24 +29,44 @@ def native_table(spark: SparkSession, model, features: Sequence[str]) -> DataFra
 def permutation_importance(df: DataFrame, model: LinearModel, target: str, ident: str, repeats: int = 30, groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """RMSE increase when a descriptor (or a correlated group, moved together) comes from another row.
 
-    A linear prediction changes only by the moved columns' share, so one array of shares per row travels in the join,
-    once per repeat; the squared errors are summed per descriptor in the same pass.
+    A linear prediction changes only by the moved columns' share, so a row's shares travel once per repeat to the block of
+    positions they meet; squared errors are summed there, so what is shuffled afterwards are repeats x descriptors sums per block.
     """
     groups = groups or {f: [f] for f in model.features}
     coef = dict(zip(model.features, model.coef))
-    pos = with_position(df, [], ident, "_pos").withColumn("_res", F.col(target) - model.column())
-    share = F.array(*[sum((F.lit(float(coef[c])) * F.col(c) for c in cols), F.lit(0.0)) for cols in groups.values()])
-    own = pos.select("_pos", "_res", share.alias("_own"))
-    moved = shuffled_positions(own.select("_pos", F.col("_own").alias("_other")), repeats, "repeat")
-    j = own.join(moved, "_pos")
-    sums = []
-    for i in range(len(groups)):
-        e = F.col("_res") + F.col("_own")[i] - F.col("_other")[i]
-        sums.append(F.avg(e * e).alias(f"m{i}"))
-    rep = j.groupBy("repeat").agg(F.avg(F.col("_res") * F.col("_res")).alias("m"), *sums)
-    rise = F.explode(F.array(*[F.struct(F.lit(g).alias("descriptor"), (F.sqrt(f"m{i}") - F.sqrt("m")).alias("d")) for i, g in enumerate(groups)]))
-    return rep.select(rise.alias("r")).groupBy(F.col("r.descriptor").alias("descriptor")).agg(
-        F.avg("r.d").alias("importance_mean"), F.stddev_pop("r.d").alias("importance_std"), F.avg(F.when(F.col("r.d") > 0, 1.0).otherwise(0.0)).alias("positive_repeats_fraction"))
+    shares = [f"_s{i}" for i in range(len(groups))]
+    share = [sum((F.lit(float(coef[c])) * F.col(c) for c in cols), F.lit(0.0)).alias(s) for s, cols in zip(shares, groups.values())]
+    rows = with_position(df, [], ident, "_pos").select("_pos", (F.col(target) - model.column()).cast("double").alias("_res"), *share)
+
+    def errors(own: pa.Table, met: Iterator[tuple[int, np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        have = own["_res"].is_valid().to_numpy()
+        res, mine = own["_res"].to_numpy(), [own[s].to_numpy() for s in shares]
+        for k, at, others in met:
+            e, there = res[at], have[at]
+            base, n = float((e[there] ** 2).sum()), int(there.sum())
+            out = []
+            for s, x in zip(shares, mine):
+                both = there & others[s].is_valid().to_numpy()
+                out.append((k, len(out), n, base, int(both.sum()), float(((e + x[at] - others[s].to_numpy())[both] ** 2).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SUM_KINDS)], names=SUM_NAMES)
+
+    return _rises(meet_shuffled(rows, repeats, shares, ["_res", *shares], errors, SUMS), list(groups))
+
+
+SUMS = "repeat int, part int, n long, base double, moved_n long, sse double"
+SUM_NAMES = ["repeat", "part", "n", "base", "moved_n", "sse"]
+SUM_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+
+
+def _rises(sums: DataFrame, names: list[str]) -> DataFrame:
+    """Mean, deviation and positive share of the RMSE increase per descriptor, from the sums of :data:`SUMS`."""
+    def rmse(total: str, n: str) -> Column:
+        return F.sqrt(F.sum(total) / F.nullif(F.sum(n), F.lit(0)))
+
+    rise = sums.groupBy("repeat", "part").agg((rmse("sse", "moved_n") - rmse("base", "n")).alias("d"))
+    name = F.get(F.array(*[F.lit(g) for g in names]), F.col("part"))
+    return rise.groupBy(name.alias("descriptor")).agg(F.avg("d").alias("importance_mean"), F.stddev_pop("d").alias("importance_std"),
+                                                      F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0)).alias("positive_repeats_fraction"))
 
 
 def model_permutation_importance(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], features: Sequence[str], target: str, ident: str,
@@ -54,40 +74,31 @@ def model_permutation_importance(df: DataFrame, predict: Callable[[np.ndarray],
     """The same for any model: ``predict`` maps a (rows, features) block to predictions and travels to the tasks.
 
     A row meets one whole feature vector of another row per repeat; a task puts the columns of each descriptor (or group) into its
-    block in turn, scores it and adds up squared errors, so what is shuffled afterwards are repeats x descriptors sums per task.
+    block in turn, scores it and adds up squared errors, so what is shuffled afterwards are repeats x descriptors sums per block.
     Rows with a NULL, NaN or infinite feature or target are left out; a table without complete rows gives no rows.
     """
     groups = groups or {f: [f] for f in features}
     place = {f: i for i, f in enumerate(features)}
     moved_columns = [[place[c] for c in cols] for cols in groups.values()]
-    p, parts = len(features), len(groups)
-    vector = F.array(*[F.col(c).cast("double") for c in features])
-    rows = with_position(complete_rows(df, [*features, target]), [], ident, "_pos").select("_pos", F.col(target).cast("double").alias("_y"), vector.alias("_own"))
-    moved = shuffled_positions(rows.select("_pos", F.col("_own").alias("_other")), repeats, "repeat")
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, base, moved_sse = np.zeros(repeats, dtype=np.int64), np.zeros(repeats), np.zeros((repeats, parts))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            repeat, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x, other = (batch.column(i).flatten().to_numpy().reshape(-1, p).copy() for i in (2, 3))
-            n += np.bincount(repeat, minlength=repeats)
-            base += np.bincount(repeat, (y - predict(x)) ** 2, repeats)
-            for g, cols in enumerate(moved_columns):
-                kept = x[:, cols]
-                x[:, cols] = other[:, cols]
-                moved_sse[:, g] += np.bincount(repeat, (y - predict(x)) ** 2, repeats)
-                x[:, cols] = kept
-        for i in np.flatnonzero(n):
-            yield pa.RecordBatch.from_pydict({"repeat": [int(i)] * parts, "part": list(range(parts)), "n": [int(n[i])] * parts, "base": [base[i]] * parts, "sse": moved_sse[i].tolist()},
-                                             schema=pa.schema([("repeat", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("base", pa.float64()), ("sse", pa.float64())]))
-
-    sums = rows.join(moved, "_pos").select("repeat", "_y", "_own", "_other").mapInArrow(add_up, "repeat int, part int, n long, base double, sse double")
-    rise = sums.groupBy("repeat", "part").agg((F.sqrt(F.sum("sse") / F.sum("n")) - F.sqrt(F.sum("base") / F.sum("n"))).alias("d"))
-    name = F.get(F.array(*[F.lit(g) for g in groups]), F.col("part"))
-    return rise.groupBy(name.alias("descriptor")).agg(F.avg("d").alias("importance_mean"), F.stddev_pop("d").alias("importance_std"),
-                                                      F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0)).alias("positive_repeats_fraction"))
+    names = [f"_x{i}" for i in range(len(features))]
+    rows = with_position(complete_rows(df, [*features, target]), [], ident, "_pos").select(
+        "_pos", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(c) for f, c in zip(features, names)])
+
+    def errors(own: pa.Table, met: Iterator[tuple[int, np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        y, x = own["_y"].to_numpy(), np.stack([own[c].to_numpy() for c in names], axis=1)
+        squares = (y - predict(x.copy())) ** 2
+        for k, at, others in met:
+            z, other, want = x[at], [others[c].to_numpy() for c in names], y[at]
+            base, out = float(squares[at].sum()), []
+            for cols in moved_columns:
+                kept = z[:, cols]
+                for c in cols:
+                    z[:, c] = other[c]
+                out.append((k, len(out), len(at), base, len(at), float(((want - predict(z)) ** 2).sum())))
+                z[:, cols] = kept
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SUM_KINDS)], names=SUM_NAMES)
+
+    return _rises(meet_shuffled(rows, repeats, names, ["_y", *names], errors, SUMS), list(groups))
 
 
 def correlation_groups(df: DataFrame, features: Sequence[str], ident: str, threshold: float = 0.9) -> list[list[str]]:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from corvida.functions.columns import HASH_PRIME, portable_hash, portable_text_hash
+from corvida.functions.columns import HASH_PRIME, portable_hash, portable_hash_block, portable_text_hash
 from corvida.functions.labels import quality_label
 from corvida.functions.ranks import exact_quantiles, with_position
 from corvida.operators.gram import Gram, draws_poisson, grams, indexed_prediction, replicate_grams, total
 from corvida.operators.stats import regression_metrics
+from corvida.session import cut_lineage
 
 
 def fold_column(ident: str, k: int, salt: int | Column = 0) -> Column:
@@ -202,14 +207,102 @@ def validation_table(df: DataFrame, features, target: str, ident: str, alpha: fl
     return out.withColumn("quality", quality_label("r2"))
 
 
+def meet_shuffled(rows: DataFrame, times: int, moved: Sequence[str], kept: Sequence[str], meet: Callable[[pa.Table, Iterator[tuple[int, np.ndarray, pa.Table]]], Iterator[pa.RecordBatch]],
+                  schema: StructType | str, held: int = 1 << 22) -> DataFrame:
+    """``times`` shuffles of ``rows`` beside the rows whose places they take, one block of positions at a time.
+
+    ``rows`` has ``_pos``, gapless from 0. In shuffle k a row takes the place that the salted hash of its position has among
+    all; the hash is one-to-one below its prime, so there are no ties there. The hashes of each shuffle are counted in cells of
+    equal width, and the counts say which blocks of places a cell falls into. So a row's ``moved`` columns are sent once per
+    shuffle, straight to the block (twice where a cell lies across two blocks), and what is broadcast are the counts, some
+    8 per block and shuffle. ``meet(own, met)`` gets the rows of a block (``_pos`` and ``kept``) by position and, for each k, the
+    positions there (counted from 0 in the block) with the rows that take them. A block holds about ``held`` values."""
+    rows = cut_lineage(rows.select("_pos", *dict.fromkeys([*kept, *moved])))
+    n, spark = rows.count(), rows.sparkSession
+    block = max(256, held // (times * (len(moved) + 2)))
+    at_once = max(64, held // 2 // (times * (len(moved) + 2)))  # rows sent at a time
+    cells = 8 * max(1, -(-n // block))
+    salts = np.arange(times) + 5003
+    row0 = np.arange(times) * cells
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(times * cells, np.int64)
+        for batch in batches:
+            counts += np.bincount((portable_hash_block(batch.column(0).to_numpy(), salts) * cells // HASH_PRIME + row0).ravel(), minlength=times * cells)
+        cell = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], names=["cell", "n"])
+
+    ends = np.zeros(times * cells, np.int64)
+    for r in rows.select("_pos").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        ends[r["cell"]] = r["n"]
+    ends = np.cumsum(ends.reshape(times, cells), axis=1)
+    sent = spark.sparkContext.broadcast(np.concatenate((np.zeros((times, 1), np.int64), ends), axis=1))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = sent.value
+        first, last = before[:, :-1].ravel() // block, (before[:, 1:].ravel() - 1) // block
+        for whole in batches:
+            for a in range(0, whole.num_rows, at_once):
+                batch = whole.slice(a, at_once)
+                h = portable_hash_block(batch.column(0).to_numpy(), salts)
+                cell = (h * cells // HASH_PRIME + row0).ravel()
+                copies = last[cell] - first[cell] + 1
+                item = np.repeat(np.arange(len(cell)), copies)
+                to = first[cell[item]] + np.arange(len(item)) - np.repeat(np.cumsum(copies) - copies, copies)
+                order = np.argsort(to, kind="stable")
+                item, to = item[order], to[order]
+                cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+                offsets = pa.array(np.append(cut, len(to)), pa.int32())
+                taken = batch.take(pa.array(item // times))
+                lists = [pa.array((item % times).astype(np.int32)), pa.array(h.ravel()[item]), *(taken.column(i + 1) for i in range(len(moved)))]
+                yield pa.RecordBatch.from_arrays([pa.array(to[cut]), *(pa.ListArray.from_arrays(offsets, v) for v in lists)], names=["_block", "_k", "_h", *moved])
+
+    def met(items: pa.Table, low: int, size: int) -> Iterator[tuple[int, np.ndarray, pa.Table]]:
+        k, h = (pc.list_flatten(items[c]).to_numpy() for c in ("_k", "_h"))
+        columns = pa.table({c: pc.list_flatten(items[c]) for c in moved})
+        order = np.lexsort((h, k))
+        cut = np.searchsorted(k[order], np.arange(times + 1))
+        for i in range(times):
+            mine = order[cut[i] : cut[i + 1]]
+            if len(mine):
+                place = sent.value[i, h[mine[0]] * cells // HASH_PRIME] + np.arange(len(mine)) - low
+                inside = (place >= 0) & (place < size)
+                yield i, place[inside], columns.take(pa.array(mine[inside]))
+
+    def join(own: pa.Table, items: pa.Table) -> pa.Table:
+        if not own.num_rows or not items.num_rows:
+            return arrow.empty_table()
+        own = own.sort_by("_pos")
+        low = own["_pos"][0].as_py() // block * block
+        parts = list(meet(own, met(items, low, own.num_rows)))
+        return pa.Table.from_batches(parts).cast(arrow) if parts else arrow.empty_table()
+
+    empty = spark.createDataFrame([], schema)
+    if not n:
+        return empty
+    schema = StructType([StructField(f.name, f.dataType) for f in empty.schema])
+    arrow = to_arrow_schema(schema)
+    kinds = dict(rows.dtypes)
+    items = rows.select("_pos", *moved).mapInArrow(send, "_block long, _k array<int>, _h array<long>, " + ", ".join(f"`{c}` array<{kinds[c]}>" for c in moved))
+    own = rows.select("_pos", *kept, F.expr(f"_pos div {block}").alias("_block"))
+    return own.groupBy("_block").cogroup(items.groupBy("_block")).applyInArrow(join, schema)
+
+
 def shuffled_positions(rows: DataFrame, times: int, number: str) -> DataFrame:
     """Every row once per ``number`` (0 to times - 1), with ``_pos`` replaced by its place in that shuffle.
 
-    The hash is one-to-one below its prime, so the order has no ties there; the place is a distributed rank.
+    ``_pos`` is gapless from 0; the place is the rank of its salted hash (:func:`meet_shuffled`).
     """
-    d = rows.withColumn(number, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    d = d.withColumn("_h", portable_hash("_pos", F.col(number) + 5003))
-    return with_position(d, [number], "_h", "_to").drop("_pos", "_h").withColumnRenamed("_to", "_pos")
+    moved = [c for c in rows.columns if c != "_pos"]
+    out = rows.select(*moved, F.lit(0).alias(number), F.col("_pos").cast("long")).schema
+
+    def place(own: pa.Table, met: Iterator[tuple[int, np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        pos = own["_pos"].to_numpy()
+        for k, at, others in met:
+            others = others.combine_chunks().append_column(number, pa.array(np.full(len(at), k, np.int32))).append_column("_pos", pa.array(pos[at]))
+            yield from others.to_batches()
+
+    return meet_shuffled(rows, times, moved, [], place, out)
 
 
 def permuted_target(df: DataFrame, ident: str, target: str, permutations: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corvida.functions.columns import portable_hash_block
 from corvida.operators import extra_trees, importance, models, validation
 from corvida.operators.gram import grams
 
@@ -52,6 +54,53 @@ def test_interacting_trees_against_a_loop(spark, data):
     assert got["a"][0] > got["c"][0] and got["b"][0] > got["c"][0]
 
 
+def test_a_row_is_sent_once_per_repeat(spark, data):
+    """Each shuffle is one grouping by blocks of positions, whatever the number of repeats: no sketch, rank or join of all the repeats' rows."""
+    df = data[0].drop("repeat", "n")
+    m = grams(df, COLS, "y")[()].ridge(1.0)
+    for out in (importance.permutation_importance(df, m, "y", "id", 6), importance.model_permutation_importance(df, m.predict, COLS, "y", "id", 6)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("held", [1 << 22, 5000])
+def test_blocks_against_sorted_hashes(spark, held):
+    """Many blocks and few give the same places, and every type of column comes through with its nulls."""
+    n, times = 3000, 4
+    rows = spark.range(n).select(F.col("id").alias("_pos"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("name"), F.expr("IF(id % 7 = 0, NULL, id / 2.0D)").alias("v")).repartition(6)
+
+    def pairs(own, met):
+        for k, at, others in met:
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), own["_pos"].combine_chunks().take(pa.array(at)), *(others[c].combine_chunks() for c in ("name", "v"))], names=["k", "spot", "name", "v"])
+
+    got = validation.meet_shuffled(rows, times, ["name", "v"], [], pairs, "k int, spot long, name string, v double", held).toPandas()
+    assert len(got) == n * times
+    hashes = portable_hash_block(np.arange(n), np.arange(times) + 5003)
+    for k in range(times):
+        part, source = got[got["k"] == k].sort_values("spot"), np.argsort(hashes[:, k], kind="stable")
+        assert part["spot"].tolist() == list(range(n))
+        assert [x or None for x in part["name"]] == [str(i) if i % 3 else None for i in source]
+        assert np.array_equal(part["v"].to_numpy(), np.where(source % 7 == 0, np.nan, source / 2.0), equal_nan=True)
+
+
+def test_rows_with_nulls_keep_their_places(spark):
+    """A null share is left out of its descriptor's mean only; a row without a residual is left out of all."""
+    x = [(i, None if i % 5 == 0 else float(i % 7), float(i % 3), None if i % 11 == 0 else float(i % 13)) for i in range(200)]
+    df = spark.createDataFrame(x, "id long, a double, b double, y double")
+    m = grams(df.na.drop(), ["a", "b"], "y")[()].ridge(1.0)
+    got = as_dict(importance.permutation_importance(df, m, "y", "id", 3))
+    hashes = portable_hash_block(np.arange(200), np.arange(3) + 5003)
+    a, b, y = (np.array([np.nan if r[i] is None else r[i] for r in x]) for i in (1, 2, 3))
+    res, coef = y - m.predict(np.stack((a, b), axis=1)), dict(zip(m.features, m.coef))
+    for name, v in (("a", a), ("b", b)):
+        rise = []
+        for k in range(3):
+            o = v[np.argsort(hashes[:, k])]
+            rise.append(np.sqrt(np.nanmean((res + coef[name] * (v - o)) ** 2)) - np.sqrt(np.nanmean(res ** 2)))
+        assert np.allclose(got[name], (np.mean(rise), np.std(rise), np.mean(np.array(rise) > 0)))
+    assert importance.permutation_importance(df.limit(0), m, "y", "id", 3).count() == 0
+
+
 def test_incomplete_and_empty_rows(spark, data):
     df = data[0]
     m = extra_trees.fit(df, COLS, "y", trees=3, depth=2)

@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,17 @@ from corvida.llm.common import KEPT, trim, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 OTHER_SPACE = "\t\n\x0b\x0c\r"
-CACHED_WORDS, CACHED_LENGTH = 500_000, 48
+CACHED_WORDS, CACHED_LENGTH = 250_000, 48
+SEEN = 1 << 20
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 PLAIN = re.compile(f"([{LETTERS}]+)([{MARKS}]*)")  # the tokenizer parts letters from marks and folds case, so such words share their parts
 
 
 class WordCache:
     """Token ids per white-space word as packed bytes. The tokenizer drops white space and never joins words, so a text's
-    ids are its words' ids in a row; frequent words are encoded once per worker. The first ``CACHED_WORDS`` are kept.
-    A new word of letters and closing marks takes the ids of its lower-case letters and of its marks, which are kept as well."""
+    ids are its words' ids in a row; frequent words are encoded twice per worker at most. A new word of letters and closing marks takes the
+    ids of its lower-case letters and of its marks. Parts and the words that come a second time (a table of 1 MB marks what
+    was seen) are kept, in one table, since a part is a word too: the first ``CACHED_WORDS`` of both."""
 
     _by_path: dict[str, WordCache] = {}
 
@@ -47,7 +49,7 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.seen = bytearray(SEEN)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)  # ids that end a part
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -57,6 +59,18 @@ class WordCache:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def _keep(self, fresh: Iterable[tuple[str, bytes]]) -> None:
+        seen, known = self.seen, self.known
+        for w, b in fresh:
+            if len(known) >= CACHED_WORDS:
+                return
+            k = hash(w) % SEEN
+            if seen[k]:
+                if len(w) <= CACHED_LENGTH:
+                    known[w] = b
+            else:
+                seen[k] = 1
+
     def _each(self, words: list[str]) -> list[bytes]:
         if not words:
             return []
@@ -75,11 +89,12 @@ class WordCache:
 
     def _encode(self, words: list[str]) -> list[bytes]:
         cut = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, None) for w in words]
-        known, odd = self.parts, [w for w, marks in cut if marks is None]
+        known, odd = self.known, [w for w, marks in cut if marks is None]
         new = list({p for pair in cut if pair[1] is not None for p in pair if p not in known})
         fresh = dict(zip(new, self._encode_parts(new)))
+        whole = set(words)  # these are kept as words
         if len(known) < CACHED_WORDS:
-            known.update((p, b) for p, b in fresh.items() if len(p) <= CACHED_LENGTH)
+            known.update((p, b) for p, b in fresh.items() if p not in whole and len(p) <= CACHED_LENGTH)
         fresh |= zip(odd, self._each(odd))
 
         def of(p):
@@ -96,8 +111,7 @@ class WordCache:
             new = list({w for w, b in zip(words, got) if b is None})
             fresh = dict(zip(new, self._encode(new)))
             got = [fresh[w] if b is None else b for w, b in zip(words, got)]
-            if len(self.known) < CACHED_WORDS:
-                self.known.update((w, b) for w, b in fresh.items() if len(w) <= CACHED_LENGTH)
+            self._keep(fresh.items())
         return b"".join(got)
 
 
@@ -117,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()  # what earlier operators freed in this worker goes back before the cache grows
-        cache = WordCache.of(tokenizer)
+        cache, done = WordCache.of(tokenizer), 0
         for batch in batches:
             rows: list[tuple] = []
             ids: list[np.ndarray] = []
@@ -135,6 +149,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 arrays.append(pa.array(ids, type=pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            done += batch.nbytes
+            if done > 1 << 24:  # what the tokenizer needed for these texts goes back
+                done = 0
+                trim()
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)

@@ -438,6 +438,21 @@ def test_words_share_their_parts():
     assert np.frombuffer(cache.ids("HOUSE. hOUSE, Été? été."), "<u4").tolist() == want
 
 
+def test_words_that_come_once_are_not_kept():
+    """The table of a worker holds words from their second time on, whatever the number of words that come once."""
+    cache = packing.WordCache(tokenizer("word_bpe_49k.json"))
+    once, twice = [f"x{i}y{i * 7919 % 10007}z" for i in range(3000)], ["q1w2", "q3w4"]
+    t = " ".join(once + twice)
+    cache.ids(t)
+    assert len(cache.known) < 200
+    assert np.frombuffer(cache.ids(" ".join(twice)), "<u4").tolist() == cache.tokenizer.encode(" ".join(twice), add_special_tokens=False).ids
+    assert all(w in cache.known for w in twice) and not any(w in cache.known for w in once[:20])
+    before = len(cache.known)
+    cache.ids("house")
+    cache.ids("house")
+    assert len(cache.known) == before + 1  # a part and the word it makes are one entry
+
+
 def test_near_pairs_in_lots(spark, monkeypatch):
     """The nodes of a hub are confirmed in lots of bounded size; every lot meets the hub."""
     monkeypatch.setattr(minhash, "LOT", 4)

@@ -186,7 +186,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Aggregated tables are written before they are joined, so that a hub's rows can be split among tasks."""
     e = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
+    signed = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = signed(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -194,7 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = written(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(low, "v").select(F.col("m").alias("v0"), F.col("u").alias("x")).where("v0 <> x").unionByName(low.select(F.col("m").alias("v0"), F.col("v").alias("x")))
         e = written(small.select(F.col("v0").alias("u"), F.col("x").alias("v")).distinct())
-        sign = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        sign = signed(e)
         if sign == before:
             break
         before = sign
@@ -280,12 +281,14 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
         pairs = written(far.where(100 * small >= percent * large).select(F.col("pivot.node").alias("hub"), "node", "n_shingles").distinct())
         found = confirmed(pairs, docs, percent)
         edges = found if edges is None else written(edges.unionByName(found))
-        member = _open_members(member, components(edges))
+        label = components(edges)
+        member = _open_members(member, label)
         if not member.take(1):
             break
     else:
-        edges = written(edges.unionByName(open_links(member, docs, percent)))
-    label = components(edges)
+        more = open_links(member, docs, percent)
+        if more.take(1):  # stars of the components found so far, and the links across them
+            label = components(label.select(F.col("component").alias("u"), F.col("node").alias("v")).unionByName(more))
     top = classes.join(label, "node", "left").select("set_key", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = signs.select("doc_id", "n_shingles", "set_key").join(written(top), ["set_key", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

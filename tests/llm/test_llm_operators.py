@@ -462,6 +462,20 @@ def test_near_pairs_in_lots(spark, monkeypatch):
     assert {tuple(r) for r in minhash.confirmed(pairs, docs, 85).collect()} == {(0, i) for i in range(1, 40) if 100 * (116 - i) >= 85 * 116}
 
 
+def test_components_of_settled_links_are_found_once(spark, monkeypatch):
+    """Where the pivots settle every bucket, their components are the result's, and stars stand still after one pass."""
+    runs, passes, real, write = [], [], minhash.components, minhash.written
+    monkeypatch.setattr(minhash, "components", lambda edges: runs.append(1) or real(edges))
+    base = [f"w{i}" for i in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(base[: 120 - i] if i < 5 else [f"v{i}x{k}" for k in range(20)])) for i in range(8)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(docs).collect()}
+    assert got == {i: 0 if i < 5 else i for i in range(8)} and len(runs) == 1
+    monkeypatch.setattr(minhash, "written", lambda df: passes.append(1) or write(df))
+    star = spark.createDataFrame([(3, i) for i in range(4, 40)], "u long, v long")
+    assert {tuple(r) for r in real(star).collect()} == {(i, 3) for i in range(3, 40)}
+    assert len(passes) == 6  # the links, four tables of a pass, the result
+
+
 def test_fuzzy_passages_reach_every_occurrence(spark):
     """A passage is found though documents that hold all its seeds in shreds stand first and between its two places."""
     rng = random.Random(15)

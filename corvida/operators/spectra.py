@@ -12,13 +12,15 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.functions.columns import to_number
+from corvida.functions.columns import nan_to_null, once, to_number
 from corvida.functions.ranks import bounded_groups, with_neighbours, with_position
 
 
 def clean_points(df: DataFrame, key: str, x: str, y: str, order: str) -> DataFrame:
     """Numeric points, first value wins on a repeated x."""
-    d = df.select(F.col(key), to_number(x).alias("x"), to_number(y).alias("y"), F.col(order).alias("_o")).where("x IS NOT NULL AND y IS NOT NULL")
+    kinds = dict(df.dtypes)
+    number = lambda c: nan_to_null(c) if kinds.get(c) == "double" else to_number(c)  # noqa: E731  (the way through text gives a double back as it is)
+    d = df.select(F.col(key), number(x).alias("x"), number(y).alias("y"), F.col(order).alias("_o")).where("x IS NOT NULL AND y IS NOT NULL")
     return d.groupBy(key, "x").agg(F.min_by("y", "_o").alias("y"))
 
 
@@ -47,18 +49,29 @@ def _sum(a, f=lambda v: v) -> Column:
 
 def normalized_grid(covered: DataFrame, key: str, size: int, method: str = "min-max", invert: bool = False) -> DataFrame:
     """(key, grid): gaps filled with the spectrum's median, optional inversion, then min-max / sum / vector / none."""
-    g = covered.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("g", "v"))).alias("m"), F.percentile("v", 0.5).alias("med"))
-    g = g.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.col("med"))).alias("grid"))
-    if invert:
-        g = g.withColumn("_hi", F.array_max("grid")).select(key, F.transform("grid", lambda v: F.col("_hi") - v).alias("grid"))
-    if method == "none":
-        return g
-    if method == "min-max":
-        g = g.withColumns({"_a": F.array_min("grid"), "_d": F.array_max("grid") - F.array_min("grid")})
-        return g.select(key, F.transform("grid", lambda v: F.when(F.col("_d") > 1e-12, (v - F.col("_a")) / F.when(F.col("_d") > 1e-12, F.col("_d"))).otherwise(0.0)).alias("grid"))
-    norm = _sum("grid", F.abs) if method == "sum" else F.sqrt(_sum("grid", lambda v: v * v))
-    g = g.withColumn("_n", norm)
-    return g.select(key, F.transform("grid", lambda v: v / F.when(F.col("_n") > 1e-12, F.col("_n")).otherwise(1.0)).alias("grid"))
+    g = covered.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("g", "v"))).alias("m"))
+
+    def filled(values: Column) -> Column:
+        known = F.array_sort(F.array_compact(values))
+        middle = lambda s: 0.5 * F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + 0.5 * F.get(s, F.floor(F.size(s) / 2).cast("int"))
+        return once(once(known, middle), lambda med: F.transform(values, lambda v: F.coalesce(v, med)))
+
+    cells = once(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("m", i)), filled)
+
+    # Each grid and scalar is bound once: a column named inside a lambda is put in its place and computed for every element.
+    def inverted(a: Column) -> Column:
+        return once(F.array_max(a), lambda hi: F.transform(a, lambda v: hi - v))
+
+    def scaled(a: Column) -> Column:
+        if method == "min-max":
+            return once(F.array_min(a), lambda lo: once(F.array_max(a) - lo, lambda d: F.transform(
+                a, lambda v: F.when(d > 1e-12, (v - lo) / F.when(d > 1e-12, d)).otherwise(0.0))))
+        norm = _sum(a, F.abs) if method == "sum" else F.sqrt(_sum(a, lambda v: v * v))
+        return once(norm, lambda n: F.transform(a, lambda v: v / F.when(n > 1e-12, n).otherwise(1.0)))
+
+    grid = once(cells, inverted) if invert else cells
+    # The generator is a barrier: filters and sums on the grid would else move below it and make it again.
+    return g.select(key, F.explode(F.array(grid if method == "none" else once(grid, scaled))).alias("grid"))
 
 
 def windows(lo: float, hi: float, step: float, width: int) -> list[tuple[int, int, int, int]]:

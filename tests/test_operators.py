@@ -337,6 +337,22 @@ def test_spectrum_edges(spark):
     assert d.loc["far", "grid"] is None and d.loc["one", "grid"] is None
 
 
+def test_grid_scalars_are_computed_once(spark):
+    rng = np.random.default_rng(3)
+    cells = {"a": {g: float(rng.normal()) for g in range(0, 40, 2)}, "b": {3: 1.5, 7: -2.0}}
+    df = frame(spark, [(k, g, v) for k, c in cells.items() for g, v in c.items()], "id string, g int, v double")
+    want = {k: np.array([c.get(g, np.median(list(c.values()))) for g in range(40)]) for k, c in cells.items()}
+    want = {k: v.max() - v for k, v in want.items()}
+    how = {"min-max": lambda v: (v - v.min()) / np.ptp(v), "sum": lambda v: v / np.abs(v).sum(), "vector": lambda v: v / np.sqrt((v * v).sum()), "none": lambda v: v}
+    for method, f in how.items():
+        g = spectra.normalized_grid(df, "id", 40, method, invert=True)
+        twice = g.where(F.array_max("grid") >= 0).select("id", "grid", F.array_max("grid").alias("top"))
+        for r in twice.collect():
+            assert np.allclose(r["grid"], f(want[r["id"]])) and r["top"] == max(r["grid"])
+        # A scalar named inside a lambda stands for the whole grid again, once per cell, in each of the nested steps.
+        assert twice._jdf.queryExecution().optimizedPlan().toString().count("element_at(") == 1
+
+
 def test_bank_split_and_upsert(spark):
     b = frame(spark, [("k1", 1, 1.0), ("k1", 2, 2.0), (None, 1, 9.0), ("k2", 1, 3.0)], "bank_key string, created_at int, d double")
     keys = frame(spark, [(1, "k1"), (2, None), (3, "k9")], "id int, bank_key string")

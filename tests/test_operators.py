@@ -157,6 +157,61 @@ def test_similar_pairs_with_hot_token_and_copies(spark):
         assert best[i] == pytest.approx(max(len(set(s) & set(t)) / len(set(s) | set(t)) for t in sets[:20]))
 
 
+def _sets_with_a_family(n=240):
+    """Variants of a few texts, a token that all have, copies, and sets of all sizes."""
+    rng = np.random.default_rng(11)
+    base = [set(rng.integers(0, 4000, 60).tolist()) for _ in range(4)]
+    sets = []
+    for i in range(n):
+        s = set(base[i % 4]) if i % 3 else set(rng.integers(0, 400, int(rng.integers(1, 40))).tolist())
+        for t in list(s)[: int(rng.integers(0, 20))]:
+            s.discard(t)
+        sets.append(sorted(s | {9999} | set(rng.integers(5000, 9000, int(rng.integers(0, 6))).tolist())))
+    return sets + sets[:9]
+
+
+def test_similar_sets_meet_in_buckets(spark):
+    sets = _sets_with_a_family()
+    df = frame(spark, list(enumerate(sets)), "id bigint, t array<int>")
+    nodes, _ = similarity.collapse_copies(similarity.token_set(df, "t"))
+    ids = sorted(r["node"] for r in nodes.collect())
+    for threshold in (0.5, 0.85):
+        want = {}
+        for a, b in itertools.combinations(ids, 2):
+            n = len(set(sets[a]) & set(sets[b]))
+            if n / (len(sets[a]) + len(sets[b]) - n) >= threshold:
+                want[a, b] = n
+        for hot, bucket in ((20_000, 1 << 18), (7, 200)):
+            got = [(r["a"], r["b"], r["inter"]) for r in similarity.similar_pairs(nodes, threshold, hot, bucket).collect()]
+            assert len(got) == len(want) > 50 and {(a, b): n for a, b, n in got} == want
+
+
+def test_pairs_and_matches_are_not_shuffled(spark):
+    """Sets travel to buckets and blocks; what is sent does not follow the number of pairs that share a token."""
+    sets = [[i, 70_000 + i // 2, *range(100_000, 100_030)] for i in range(600)]
+    df = frame(spark, list(enumerate(sets)), "id bigint, t array<int>")
+    both = similarity.token_set(df, "t")
+    nodes, _ = similarity.collapse_copies(both)
+    for made in (similarity.similar_pairs(nodes, 0.5), similarity.best_match(both.where("id % 2 = 0"), both.where("id % 2 = 1"))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_intersect" not in plan and " token#" not in plan and "[token#" not in plan
+    assert similarity.similar_pairs(nodes, 0.5).count() == 600 * 599 // 2
+
+
+def test_best_match_in_blocks(spark):
+    sets = _sets_with_a_family()
+    sets[5], sets[7] = [123_456], [123_457, 9999]
+    df = frame(spark, list(enumerate(sets)), "id bigint, t array<int>")
+    q, t = (similarity.token_set(df.where(w), "t") for w in ("id % 2 = 1", "id % 2 = 0"))
+    for block in (1 << 20, 300):
+        got = {r["id"]: (r["best"], r["similarity"]) for r in similarity.best_match(q, t, block_tokens=block).collect()}
+        for i in range(1, len(sets), 2):
+            s = set(sets[i])
+            sims = [(len(s & set(sets[j])) / len(s | set(sets[j])), -j) for j in range(0, len(sets), 2)]
+            top = max(sims)
+            assert got[i] == ((-top[1], pytest.approx(top[0])) if top[0] else (None, None))
+
+
 def test_components_hub_and_chain(spark):
     edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 340)] + [(500, 501)]
     nodes = [(i,) for i in sorted({x for e in edges for x in e} | {999})]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvida.catalog.registry import query, r, rounded, table
 from corvida.operators import series
+from corvida.session import cut_lineage, stored
 
 # ------------------------------------------------------------------ pattern edges over parts
 PP_SQL = """pp AS (SELECT p_partkey AS id, p_size AS formula, (p_partkey % 3) || '-' || lower(p_type) AS pattern, lower(p_type) AS fam, CAST(p_retailprice AS DOUBLE) AS v FROM part),
@@ -250,8 +251,9 @@ hz AS (SELECT *, CASE WHEN evidence_types >= 3 OR (own_breaks > 0 AND reference_
 
 
 def suspicion_layers(spark, sf):
-    m = memberships(spark, sf)
-    p = series.series_points(m)
+    # Every layer reads the memberships again, so they are made once.
+    m = stored(memberships(spark, sf))
+    p = cut_lineage(series.series_points(m))
     _, od, _ = series.own_series(p)
     _, rd = series.compare_series(p, p, 3, F.col("candidate") > F.col("reference"))
     _, td = series.transformation_rules(series.transformation_pairs(m, 3))

@@ -18,7 +18,7 @@ from corvida.functions.labels import quality_label
 from corvida.functions.ranks import exact_quantiles, with_position
 from corvida.operators.gram import Gram, draws_poisson, grams, indexed_prediction, replicate_grams, total
 from corvida.operators.stats import regression_metrics
-from corvida.session import cut_lineage
+from corvida.session import cut_lineage, release
 
 
 def fold_column(ident: str, k: int, salt: int | Column = 0) -> Column:
@@ -208,7 +208,7 @@ def validation_table(df: DataFrame, features, target: str, ident: str, alpha: fl
 
 
 def meet_shuffled(rows: DataFrame, times: int, moved: Sequence[str], kept: Sequence[str], meet: Callable[[pa.Table, Iterator[tuple[int, np.ndarray, pa.Table]]], Iterator[pa.RecordBatch]],
-                  schema: StructType | str, held: int = 1 << 22) -> DataFrame:
+                  schema: StructType | str, held: int = 1 << 22, first: int = 0, made: bool = False) -> DataFrame:
     """``times`` shuffles of ``rows`` beside the rows whose places they take, one block of positions at a time.
 
     ``rows`` has ``_pos``, gapless from 0. In shuffle k a row takes the place that the salted hash of its position has among
@@ -216,13 +216,15 @@ def meet_shuffled(rows: DataFrame, times: int, moved: Sequence[str], kept: Seque
     equal width, and the counts say which blocks of places a cell falls into. So a row's ``moved`` columns are sent once per
     shuffle, straight to the block (twice where a cell lies across two blocks), and what is broadcast are the counts, some
     8 per block and shuffle. ``meet(own, met)`` gets the rows of a block (``_pos`` and ``kept``) by position and, for each k, the
-    positions there (counted from 0 in the block) with the rows that take them. A block holds about ``held`` values."""
-    rows = cut_lineage(rows.select("_pos", *dict.fromkeys([*kept, *moved])))
+    positions there (counted from 0 in the block) with the rows that take them. A block holds about ``held`` values. The shuffles
+    are those from number ``first`` on; ``made`` says that ``rows`` has been cut from its lineage already."""
+    rows = rows.select("_pos", *dict.fromkeys([*kept, *moved]))
+    rows = rows if made else cut_lineage(rows)
     n, spark = rows.count(), rows.sparkSession
     block = max(256, held // (times * (len(moved) + 2)))
     at_once = max(64, held // 2 // (times * (len(moved) + 2)))  # rows sent at a time
     cells = 8 * max(1, -(-n // block))
-    salts = np.arange(times) + 5003
+    salts = np.arange(first, first + times) + 5003
     row0 = np.arange(times) * cells
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,6 +314,44 @@ def permuted_target(df: DataFrame, ident: str, target: str, permutations: int) -
     return pos.drop(target).join(y, "_pos").withColumnRenamed("_y", target).drop("_pos")
 
 
+def permuted_grams(df: DataFrame, features, target: str, ident: str, permutations: int, k: int, shift: np.ndarray, at_once: int = 1 << 24) -> dict[tuple[int, int | None], Gram]:
+    """{(permutation, fold): statistics} of the rows with the target of another row, in the order of :func:`permuted_target`.
+
+    A row's target travels once per permutation to the rows it meets, where the products are summed, so that only sums leave the
+    blocks; the permutations go in lots of about ``at_once`` targets, one after the other."""
+    x = [f"_x{i}" for i in range(len(features))]
+    rows = with_position(df, [], ident, "_pos").select("_pos", fold_column(ident, k).alias("_fold"), *[F.col(f).cast("double").alias(c) for f, c in zip(features, x)], F.col(target).cast("double").alias("_y"))
+    rows = cut_lineage(rows)
+    p1 = len(x) + 1
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        return column.fill_null(np.nan).to_numpy()
+
+    def sums(own: pa.Table, met: Iterator[tuple[int, np.ndarray, pa.Table]]) -> Iterator[pa.RecordBatch]:
+        fold = own["_fold"].fill_null(-1).to_numpy()
+        z = np.stack([numbers(own[c]) for c in x], axis=1) - shift[:-1]
+        whole = np.isfinite(z).all(axis=1)
+        for j, at, others in met:
+            y = numbers(others["_y"]) - shift[-1]
+            kept = whole[at] & np.isfinite(y)
+            m, f, out = np.column_stack((np.ones(kept.sum()), z[at[kept]], y[kept])), fold[at[kept]], []
+            for v in np.unique(f):
+                own_fold = m[f == v]
+                out.append((j, int(v), (own_fold.T @ own_fold).ravel().tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int32(), pa.int32(), pa.list_(pa.float64())))], names=["permutation", "fold", "q"])
+
+    out: dict[tuple[int, int | None], np.ndarray] = {}
+    lot = max(1, at_once // max(1, rows.count()))
+    for first in range(0, permutations, lot):
+        times = min(lot, permutations - first)
+        parts = meet_shuffled(rows, times, ["_y"], ["_fold", *x], sums, "permutation int, fold int, q array<double>", first=first, made=True)
+        for r in parts.select("permutation", "fold", F.posexplode("q").alias("i", "v")).groupBy("permutation", "fold", "i").agg(F.sum("v").alias("v")).toLocalIterator():
+            out.setdefault((first + r["permutation"], None if r["fold"] < 0 else r["fold"]), np.zeros((p1 + 1) ** 2))[r["i"]] = r["v"]
+        del parts
+        release(df.sparkSession)
+    return {key: Gram(tuple(features), shift, q[0], q[1:p1 + 1], q.reshape(p1 + 1, p1 + 1)[1:, 1:]) for key, q in out.items()}
+
+
 def y_randomization(df: DataFrame, features, target: str, ident: str, permutations: int = 20, k: int = 5, alpha: float = 1.0) -> dict:
     """Cross-validated Q2 of the real and of permuted targets; p = (1 + #permuted >= real) / (1 + permutations)."""
     def q2(g: dict[int, Gram]) -> float:
@@ -319,9 +359,9 @@ def y_randomization(df: DataFrame, features, target: str, ident: str, permutatio
         sse = sum(v.sse((tot - v).ridge(alpha)) for v in g.values())
         return 1 - sse / float(tot.centred[-1, -1])
 
-    real = q2(grams(df.withColumn("fold", fold_column(ident, k)), features, target, ["fold"]))
-    perm = permuted_target(df, ident, target, permutations).withColumn("fold", fold_column(ident, k))
-    g = grams(perm, features, target, ["permutation", "fold"])
+    own = grams(df.withColumn("fold", fold_column(ident, k)), features, target, ["fold"])
+    real = q2(own)
+    g = permuted_grams(df, features, target, ident, permutations, k, next(iter(own.values())).shift)
     vals = [q2({f: v for (j, f), v in g.items() if j == i}) for i in range(permutations)]
     return {"q2": real, "permuted": vals, "permuted_mean": float(np.mean(vals)), "permuted_max": float(np.max(vals)),
             "p_value": (1 + sum(v >= real for v in vals)) / (1 + permutations)}

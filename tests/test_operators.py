@@ -392,6 +392,38 @@ def test_spectrum_edges(spark):
     assert d.loc["far", "grid"] is None and d.loc["one", "grid"] is None
 
 
+def test_permuted_products_are_summed_where_the_targets_land(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(rng.normal()), None if i % 17 == 0 else float(rng.normal()), float("nan") if i % 23 == 0 else float(rng.normal()), None if i % 29 == 0 else 100.0 + float(rng.normal())) for i in range(300)]
+    df = frame(spark, rows + rows[:5], "row_id bigint, a double, b double, c double, y double")
+    feats, shift = ["a", "b", "c"], np.array([0.1, 0.0, -0.2, 100.0])
+    perm = validation.permuted_target(df, "row_id", "y", 5).withColumn("fold", validation.fold_column("row_id", 3))
+    want = gram.grams(perm, feats, "y", ["permutation", "fold"], shift=shift)
+    for at_once in (1 << 24, 600):
+        got = validation.permuted_grams(df, feats, "y", "row_id", 5, 3, shift, at_once)
+        assert set(got) == set(want)
+        for key, g in got.items():
+            assert g.n == want[key].n and np.allclose(g.s, want[key].s) and np.allclose(g.ss, want[key].ss)
+
+
+def test_suspicion_reads_memberships_made_once(spark, tmp_path):
+    from corvida.catalog import consistency
+
+    rng = np.random.default_rng(4)
+    orders = pd.DataFrame({"o_orderkey": range(900), "o_custkey": rng.integers(0, 60, 900), "o_orderstatus": rng.choice(list("OFP"), 900), "o_totalprice": rng.lognormal(10, 1, 900).round(2),
+                           "o_orderdate": pd.to_datetime("1994-01-01") + pd.to_timedelta(rng.integers(0, 700, 900), "D"), "o_orderpriority": rng.choice(["1-URGENT", "5-LOW"], 900)})
+    customer = pd.DataFrame({"c_custkey": range(60), "c_nationkey": rng.integers(0, 4, 60), "c_mktsegment": rng.choice(["BUILDING", "FURNITURE"], 60)})
+    for name, t in (("orders", orders), ("customer", customer)):
+        spark.createDataFrame(t).write.parquet(f"{tmp_path}/{name}.parquet")
+    m, got = consistency.suspicion_layers(spark, str(tmp_path))
+    assert not any(x in m._jdf.queryExecution().optimizedPlan().toString() for x in ("Join", "Aggregate"))
+    w = consistency.memberships(spark, str(tmp_path))
+    p = series.series_points(w)
+    want = series.hierarchical_suspicion(w, series.own_series(p)[1], series.compare_series(p, p, 3, F.col("candidate") > F.col("reference"))[1], series.transformation_rules(series.transformation_pairs(w, 3))[1])
+    key = lambda d: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in d.collect())
+    assert key(got) == key(want) and got.count() > 20
+
+
 def test_grid_scalars_are_computed_once(spark):
     rng = np.random.default_rng(3)
     cells = {"a": {g: float(rng.normal()) for g in range(0, 40, 2)}, "b": {3: 1.5, 7: -2.0}}

@@ -392,6 +392,18 @@ def test_spectrum_edges(spark):
     assert d.loc["far", "grid"] is None and d.loc["one", "grid"] is None
 
 
+def test_neighbours_in_lots_of_queries(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(400, 12)), 1)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for at_once in (1 << 26, 30_000):
+        out = knn.nearest_neighbours(df, df, "id", "id", "v", 3, exclude_self=True, block_rows=32, routed_at_once=at_once)
+        got = {(r["qid"], r["rank"]): (r["tid"], r["distance"]) for r in out.collect()}
+        assert len(got) == out.count() == 1200 and all(np.allclose([got[i, r][1] for r in (1, 2, 3)], np.sort(d[i])[:3]) for i in range(400))
+
+
 def test_permuted_products_are_summed_where_the_targets_land(spark):
     rng = np.random.default_rng(8)
     rows = [(i, float(rng.normal()), None if i % 17 == 0 else float(rng.normal()), float("nan") if i % 23 == 0 else float(rng.normal()), None if i % 29 == 0 else 100.0 + float(rng.normal())) for i in range(300)]
